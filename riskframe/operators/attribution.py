@@ -8,7 +8,7 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskframe.functions import hash_order
+from riskframe.functions import hash_order, hash_uniform
 from riskframe.operators.learners import score
 from riskframe.operators.ordering import exact_quantiles
 
@@ -121,7 +121,7 @@ def permuted_columns(
     """
     groups = max(1, -(-df.count() // group_rows))
     placed = df.withColumn("__order", hash_order(key, seed)).withColumn(
-        "__group", F.pmod(F.xxhash64("__order"), F.lit(groups))
+        "__group", F.floor(hash_uniform(key, f"{seed}:group") * F.lit(float(groups)))
     )
     ordered = Window.partitionBy("__group").orderBy("__order")
     whole = ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)

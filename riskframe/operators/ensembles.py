@@ -61,4 +61,4 @@ def stack_meta_features(
         models = {learner.name: learner.fit(train, features, target) for learner in learners}
         scored = score_columns(held.select(key, target, fold, *features), models)
         parts.append(scored.select(key, target, fold, *models))
-    return reduce(DataFrame.unionByName, parts)
+    return reduce(lambda a, b: a.unionByName(b), parts)

@@ -80,7 +80,7 @@ def top_k_features(df: DataFrame, k: int, value: str = "average_importance", on:
 
 def method_votes(votes: DataFrame, methods: Sequence[str], feature: str = "feature") -> DataFrame:
     """One boolean column per selection method and their number per feature."""
-    wide = votes.groupBy(feature).pivot("method", list(methods)).agg(F.count("*"))
+    wide = votes.groupBy(feature).pivot("method", list(methods)).agg(F.count(F.lit(1)))
     flags = [F.coalesce(F.col(f"`{m}`") > 0, F.lit(False)).alias(m) for m in methods]
     chosen = wide.select(feature, *flags)
     count = reduce(lambda x, y: x + y, [F.col(f"`{m}`").cast("int") for m in methods])

@@ -221,6 +221,12 @@ def with_previous(
     return found.select(*df.columns, *[F.col(f"__prev.{c}").alias(f"prev_{c}") for c in payload])
 
 
+def number_rows(df: DataFrame, order: str, output: str = "number") -> DataFrame:
+    """Add 1, 2, 3 ... in ascending ``order`` over the whole table; the order is numeric and unique."""
+    placed = range_buckets(df, [order]).transform(df).withColumn("__one", F.lit(1).cast("bigint"))
+    return running(placed, order, bucket_name(order), {output: ("sum", "__one")}).select(*df.columns, output)
+
+
 def exact_quantiles(df: DataFrame, columns: Sequence[str], probabilities: Mapping[str, float]) -> DataFrame:
     """Nearest-rank quantiles of each numeric column, as (column, n, <name>...), without holding a column
     in one task: values are counted, counts are accumulated over value ranges."""

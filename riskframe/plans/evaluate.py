@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
+from contextlib import contextmanager, nullcontext
 from dataclasses import dataclass
 from functools import reduce
 
@@ -47,6 +48,16 @@ class FittedEnsemble:
         return vote_soft(scored, names).select(*out) if self.kind == "soft" else score(self.final, scored, keep)
 
 
+@contextmanager
+def kept(df: DataFrame) -> Iterator[DataFrame]:
+    """Hold the narrow rows many fits read; a lost executor recomputes its part from the source."""
+    held = df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        yield held
+    finally:
+        held.unpersist()
+
+
 def run_threads(jobs: Sequence[Callable], parallelism: int) -> list:
     """Run driver-side jobs a few at a time; each submits Spark jobs of its own."""
     with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
@@ -76,14 +87,15 @@ def fit_stack(
 
     The folds are made inside the training rows with a seed of their own, apart from evaluation folds.
     """
-    folded = stratified_kfold(train.select(key, target, *features), key, target, k, seed, "__stack_fold")
-    meta = stack_meta_features(folded, learners, features, target, key, k, "__stack_fold")
-    meta = meta.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        fitted = final.fit(meta, [learner.name for learner in learners], target)
-    finally:
-        meta.unpersist()
-    return FittedEnsemble(base or fit_base(train, learners, features, target), "stack", fitted)
+    with kept(train.select(key, target, *features)) as rows:
+        with kept(_meta_table(rows, learners, features, target, key, k, seed)) as meta:
+            fitted = final.fit(meta, [learner.name for learner in learners], target)
+        return FittedEnsemble(base or fit_base(rows, learners, features, target), "stack", fitted)
+
+
+def _meta_table(rows, learners, features, target, key, k, seed) -> DataFrame:
+    folded = stratified_kfold(rows, key, target, k, seed, "__stack_fold")
+    return stack_meta_features(folded, learners, features, target, key, k, "__stack_fold")
 
 
 def fit_panel(
@@ -95,26 +107,22 @@ def fit_panel(
     key: str,
     k: int = 5,
     parallelism: int = 2,
+    hold: bool = True,
 ) -> dict[str, object]:
-    """All base models, fitted once, and the ensembles over them. Stacks share one out-of-fold table."""
-    base = fit_base(train, learners, features, target, parallelism)
-    panel: dict[str, object] = dict(base)
-    stacks = [e for e in ensembles if e.kind == "stack"]
-    meta = None
-    if stacks:
-        folded = stratified_kfold(train.select(key, target, *features), key, target, k, "stack", "__stack_fold")
-        meta = stack_meta_features(folded, learners, features, target, key, k, "__stack_fold")
-        meta = meta.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        for e in ensembles:
-            if e.kind == "stack":
-                final = e.final.fit(meta, list(base), target)
-                panel[e.name] = FittedEnsemble(base, "stack", final)
-            else:
-                panel[e.name] = FittedEnsemble(base, e.kind)
-    finally:
-        if meta is not None:
-            meta.unpersist()
+    """All base models, fitted once, and the ensembles over them. Stacks share one out-of-fold table.
+
+    ``hold=False`` is for training rows the caller already keeps in memory.
+    """
+    narrow = train.select(key, target, *features)
+    with kept(narrow) if hold else nullcontext(narrow) as rows:
+        base = fit_base(rows, learners, features, target, parallelism)
+        panel: dict[str, object] = dict(base)
+        panel.update({e.name: FittedEnsemble(base, e.kind) for e in ensembles if e.kind != "stack"})
+        stacks = [e for e in ensembles if e.kind == "stack"]
+        if stacks:
+            with kept(_meta_table(rows, learners, features, target, key, k, "stack")) as meta:
+                for e in stacks:
+                    panel[e.name] = FittedEnsemble(base, "stack", e.final.fit(meta, list(base), target))
     return panel
 
 
@@ -194,11 +202,12 @@ def cross_validate(
     whatever the number of metrics taken from the result."""
     folded = stratified_kfold(df.select(key, target, *features), key, target, k, seed, fold)
     parts = []
-    for i in range(k):
-        train, held = folded.where(F.col(fold) != i), folded.where(F.col(fold) == i)
-        panel = fit_panel(train, learners, ensembles, features, target, key, k, parallelism)
-        parts.append(score_panel(panel, held, [key, target, fold]))
-    return reduce(DataFrame.unionByName, parts)
+    with kept(folded):
+        for i in range(k):
+            train, held = folded.where(F.col(fold) != i), folded.where(F.col(fold) == i)
+            panel = fit_panel(train, learners, ensembles, features, target, key, k, parallelism, hold=False)
+            parts.append(score_panel(panel, held, [key, target, fold]))
+    return reduce(lambda a, b: a.unionByName(b), parts)
 
 
 def cv_report(scored: DataFrame, target: str, by: Sequence[str] = ("model",), fold: str = "fold") -> DataFrame:

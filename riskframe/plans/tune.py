@@ -3,15 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
+from functools import reduce
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskframe.operators.learners import Learner, score
 from riskframe.operators.metrics import accuracy
 from riskframe.operators.sampling import stratified_kfold
-from riskframe.plans.evaluate import cross_validate, cv_report, run_threads
+from riskframe.plans.evaluate import cross_validate, cv_report, kept, run_threads
 
 TRIAL_SCHEMA = "study string, trial bigint, params map<string,string>, score double, std double"
 
@@ -77,30 +77,23 @@ def search_trials(
     spark = df.sparkSession
     settings = trials.select("trial", "params").orderBy("trial").collect()
     folded = stratified_kfold(df.select(key, target, *features), key, target, k, seed)
-    folded = folded.where("fold IS NOT NULL").persist(StorageLevel.MEMORY_AND_DISK)
-    per_fold = {(r[0], r["fold"]): r["count"] for r in folded.groupBy(target, "fold").count().collect()}
-
-    def class_totals(left_out: int) -> dict:
-        totals: dict = {}
-        for (label, fold), n in per_fold.items():
-            totals[label] = totals.get(label, 0) + (n if fold != left_out else 0)
-        return totals
-
-    def one(row) -> tuple:
-        learner, scored = build(row["params"]), None
-        for i in range(k):
-            train, held = folded.where(F.col("fold") != i), folded.where(F.col("fold") == i)
-            part = score(learner.fit(train, features, target, class_totals(i)), held, [target, "fold"])
-            scored = part if scored is None else scored.unionByName(part)
-        summary = accuracy(scored, target, "prediction", ["fold"]).agg(F.avg("accuracy"), F.stddev_pop("accuracy"))
-        mean, std = summary.first()
-        return study, int(row["trial"]), dict(row["params"]), mean, std
-
-    try:
-        rows = run_threads([lambda row=row: one(row) for row in settings], parallelism)
-    finally:
-        folded.unpersist()
-    return spark.createDataFrame(rows, TRIAL_SCHEMA)
+    with kept(folded.where("fold IS NOT NULL")) as rows:
+        per_fold = {(r[0], r["fold"]): r["count"] for r in rows.groupBy(target, "fold").count().collect()}
+        labels = {label for label, _ in per_fold}
+
+        def one(setting) -> tuple:
+            learner, parts = build(setting["params"]), []
+            for i in range(k):
+                train, held = rows.where(F.col("fold") != i), rows.where(F.col("fold") == i)
+                totals = {c: sum(n for (label, f), n in per_fold.items() if label == c and f != i) for c in labels}
+                parts.append(score(learner.fit(train, features, target, totals), held, [target, "fold"]))
+            scored = reduce(lambda a, b: a.unionByName(b), parts)
+            values = accuracy(scored, target, "prediction", ["fold"])
+            mean, std = values.agg(F.avg("accuracy"), F.stddev_pop("accuracy")).first()
+            return study, int(setting["trial"]), dict(setting["params"]), mean, std
+
+        found = run_threads([lambda setting=setting: one(setting) for setting in settings], parallelism)
+    return spark.createDataFrame(found, TRIAL_SCHEMA)
 
 
 def final_cv_check(

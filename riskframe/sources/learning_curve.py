@@ -12,9 +12,12 @@ CURVE_SCHEMA = (
 )
 
 
-def read_learning_curve(spark: SparkSession, path: str, schema: str = CURVE_SCHEMA) -> DataFrame:
-    """One JSON document per file, one row per iteration."""
-    return flatten_learning_curve(spark.read.schema(schema).option("multiLine", True).json(path))
+def read_learning_curve(
+    spark: SparkSession, path: str, schema: str = CURVE_SCHEMA, one_per_file: bool = True, keep: Sequence[str] = ()
+) -> DataFrame:
+    """One row per iteration. A file holds one JSON document, or one document per line."""
+    documents = spark.read.schema(schema).option("multiLine", one_per_file).json(path)
+    return flatten_learning_curve(documents, keep)
 
 
 def flatten_learning_curve(documents: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
