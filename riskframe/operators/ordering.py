@@ -146,7 +146,9 @@ def range_buckets(df: DataFrame, columns: Sequence[str], buckets: int | None = N
         )
     else:
         edges = [[] for _ in columns]
-    splits = [[float("-inf"), *sorted({e for e in found if abs(e) != float("inf")}), float("inf")] for found in edges]
+    # a bucketizer wants at least one inner edge; any value serves for an empty or all-null column
+    finite = [sorted({e for e in found if abs(e) != float("inf")}) or [0.0] for found in edges]
+    splits = [[float("-inf"), *inner_edges, float("inf")] for inner_edges in finite]
     return Bucketizer(
         splitsArray=splits,
         inputCols=list(columns),
