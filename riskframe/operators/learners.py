@@ -243,14 +243,20 @@ def fit_ridge(
 ) -> PipelineModel:
     """Least squares on a -1/+1 target with an L2 penalty alpha on the summed loss; class by sign."""
     rows = _rows(df, features, target, weight).withColumn("__signed", F.when(F.col(target) == 1, 1.0).otherwise(-1.0))
-    mass = rows.agg(F.sum(F.col(weight) if weight else F.lit(1.0))).first()[0] or 1.0
+    amount = F.col(weight) if weight else F.lit(1.0)
+    mass, signed = rows.agg(F.sum(amount), F.sum(amount * F.col("__signed"))).first()
+    mass = mass or 1.0
+    mean = (signed or 0.0) / mass
+    direct = len(features) <= 1000
+    # Spark ML divides the penalty by the label's deviation; multiplying by it keeps alpha in label units
+    spread = math.sqrt(max(1.0 - mean * mean, 0.0)) * (1.0 if direct else math.sqrt(mass / max(mass - 1.0, 1.0)))
     learner = LinearRegression(
         featuresCol="__features",
         labelCol="__signed",
         elasticNetParam=0.0,
-        regParam=alpha / mass,
+        regParam=alpha / mass * (spread or 1.0),
         standardization=False,
-        solver="normal" if len(features) <= 1000 else "l-bfgs",
+        solver="normal" if direct else "l-bfgs",
     )
     if weight:
         learner.setParams(weightCol=weight)

@@ -10,7 +10,7 @@ from functools import reduce
 
 from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskframe.functions import decode_label
@@ -58,10 +58,10 @@ def kept(df: DataFrame) -> Iterator[DataFrame]:
         held.unpersist()
 
 
-def run_threads(jobs: Sequence[Callable], parallelism: int) -> list:
+def run_threads(spark: SparkSession, jobs: Sequence[Callable], parallelism: int) -> list:
     """Run driver-side jobs a few at a time; each submits Spark jobs of its own."""
     with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
-        waiting = [pool.submit(inheritable_thread_target(job)) for job in jobs]
+        waiting = [pool.submit(inheritable_thread_target(spark)(job)) for job in jobs]
         return [w.result() for w in waiting]
 
 
@@ -69,7 +69,7 @@ def fit_base(
     train: DataFrame, learners: Sequence[Learner], features: Sequence[str], target: str, parallelism: int = 2
 ) -> dict[str, PipelineModel]:
     jobs = [lambda learner=learner: learner.fit(train, features, target) for learner in learners]
-    return dict(zip([learner.name for learner in learners], run_threads(jobs, parallelism)))
+    return dict(zip([learner.name for learner in learners], run_threads(train.sparkSession, jobs, parallelism)))
 
 
 def fit_stack(

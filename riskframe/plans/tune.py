@@ -92,7 +92,7 @@ def search_trials(
             mean, std = values.agg(F.avg("accuracy"), F.stddev_pop("accuracy")).first()
             return study, int(setting["trial"]), dict(setting["params"]), mean, std
 
-        found = run_threads([lambda setting=setting: one(setting) for setting in settings], parallelism)
+        found = run_threads(spark, [lambda setting=setting: one(setting) for setting in settings], parallelism)
     return spark.createDataFrame(found, TRIAL_SCHEMA)
 
 
