@@ -43,7 +43,7 @@ def select_features(df: DataFrame, features: Sequence[str], keep: Sequence[str]
 
 def missing_features(required: DataFrame, actual: DataFrame, on: str = "feature") -> DataFrame:
     """Rows of a required-feature table with no counterpart in an actual-feature table."""
-    return required.join(actual, on, "left_anti")
+    return required.join(actual.select(on).distinct(), on, "left_anti")
 
 
 def decode_label(df: DataFrame, prediction: str, positive: str, negative: str, output: str) -> DataFrame:

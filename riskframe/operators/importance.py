@@ -9,7 +9,7 @@ from pyspark.ml import Model
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.regression import LinearRegression
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from riskframe.session import scratch_path
@@ -67,9 +67,8 @@ def combine_importance(
     a, b = F.col(left_value).cast("double"), F.col(right_value).cast("double")
     joined = left.select(on, left_value).join(right.select(on, right_value), on)
     if mode == "normalized":
-        totals = joined.agg(F.sum(a).alias("__ta"), F.sum(b).alias("__tb"))
-        joined = joined.join(F.broadcast(totals))  # one row
-        a, b = a / F.col("__ta"), b / F.col("__tb")
+        table = Window.partitionBy()  # one row per feature, sorted in one place anyway
+        a, b = a / F.sum(a).over(table), b / F.sum(b).over(table)
     average = ((a + b) / F.lit(2.0)).alias("average_importance")
     return joined.select(on, left_value, right_value, average).orderBy(F.col("average_importance").desc(), on)
 
@@ -94,8 +93,13 @@ def vote_threshold(votes: DataFrame, k: int, feature: str = "feature") -> DataFr
 
 
 def vote_intersection(lists: Sequence[DataFrame]) -> DataFrame:
-    """Features on every list."""
-    return reduce(lambda x, y: x.intersect(y), lists)
+    """Features on every list: as a chain of INTERSECT, but one shuffle whatever the number of lists, and a
+    feature repeated many times is combined before it."""
+    columns = lists[0].columns
+    marked = [df.select(*columns, F.lit(1 << i).cast("bigint").alias("__on")) for i, df in enumerate(lists)]
+    stacked = reduce(lambda x, y: x.unionByName(y), marked)
+    full = (1 << len(lists)) - 1
+    return stacked.groupBy(*columns).agg(F.bit_or("__on").alias("__on")).where(F.col("__on") == full).select(*columns)
 
 
 def _weights_table(spark: SparkSession, features: Sequence[str], weights: Sequence[float]) -> DataFrame:

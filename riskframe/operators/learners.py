@@ -29,7 +29,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskframe.operators.ordering import bucket_name, count_classes, range_buckets
+from riskframe.operators.ordering import MAX_CLASSES, bucket_name, range_buckets
 from riskframe.operators.sampling import balanced_weights, positive_weight
 from riskframe.operators.scorers import GaussianScorer, LinearScorer, StumpScorer
 
@@ -82,6 +82,7 @@ def fit_random_forest(
         minInstancesPerNode=max(min_leaf, math.ceil(min_split / 2)),
         featureSubsetStrategy=subset,
         bootstrap=bootstrap,
+        maxMemoryInMB=512,
         seed=seed,
     )
     return _fit(df, features, target, weight, learner)
@@ -187,8 +188,10 @@ def fit_naive_bayes(df: DataFrame, features: Sequence[str], target: str) -> Pipe
     aggs = [F.count("*").alias("n")]
     for name in features:
         aggs += [F.avg(name).alias(f"m_{name}"), F.var_pop(name).alias(f"v_{name}")]
-    count_classes(df, target)
-    stats = sorted(_rows(df, features, target, None).groupBy(target).agg(*aggs).collect(), key=lambda r: r[target])
+    found = _rows(df, features, target, None).groupBy(target).agg(*aggs).limit(MAX_CLASSES + 1).collect()
+    if len(found) > MAX_CLASSES:
+        raise ValueError(f"{target!r} has more than {MAX_CLASSES} classes; it is not a class column")
+    stats = sorted(found, key=lambda r: r[target])
     total = sum(r["n"] for r in stats)
     scorer = GaussianScorer(
         features=list(features),

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskframe.functions import hash_order
@@ -130,11 +130,9 @@ def sample_n(df: DataFrame, key: str, n: int, seed: int | str = 42) -> DataFrame
 def class_distribution(df: DataFrame, target: str) -> DataFrame:
     """Rows and share per class; null targets are no class."""
     counted = df.where(F.col(target).isNotNull()).groupBy(target).agg(F.count("*").alias("n"))
-    total = counted.agg(F.sum("n").alias("total"))
-    return (
-        counted.join(F.broadcast(total))  # one row
-        .select(target, "n", (F.col("n").cast("double") / F.col("total")).alias("share"))
-        .orderBy(F.col("share").desc(), F.col(target))
+    total = F.sum("n").over(Window.partitionBy())  # over class rows, which are sorted in one place anyway
+    return counted.select(target, "n", (F.col("n").cast("double") / total).alias("share")).orderBy(
+        F.col("share").desc(), F.col(target)
     )
 
 

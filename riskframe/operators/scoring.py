@@ -10,10 +10,9 @@ from pyspark.sql import functions as F
 
 from riskframe.functions import decode_label, percent_text
 from riskframe.operators.columns import encode_target, select_features
-from riskframe.operators.curves import roc_auc
 from riskframe.operators.learners import score
-from riskframe.operators.metrics import accuracy, precision_recall_f1, weighted_prf
 from riskframe.operators.sampling import class_distribution
+from riskframe.operators.summary import all_metrics
 
 
 def batch_score(
@@ -53,17 +52,8 @@ def score_with_truth(
 
 
 def truth_metrics(scored: DataFrame, average: str = "weighted") -> DataFrame:
-    """One row of metrics of a table scored with truth: accuracy, precision, recall, f1, roc_auc."""
-    known = scored.where("actual IS NOT NULL")
-    if average == "weighted":
-        base = weighted_prf(known, "actual", "prediction")
-        base = base.crossJoin(accuracy(known, "actual", "prediction").select("n", "accuracy"))  # one row each
-    elif average == "binary":
-        base = precision_recall_f1(known, "actual", "prediction")
-    else:
-        raise ValueError(f"unknown average {average!r}")
-    area = roc_auc(known, "actual", "probability").select("roc_auc")
-    return base.crossJoin(area).select("n", "accuracy", "precision", "recall", "f1", "roc_auc")  # one row each
+    """One row of metrics of a table scored with truth: n, accuracy, precision, recall, f1, roc_auc."""
+    return all_metrics(scored, (), "actual", "prediction", "probability", average)
 
 
 def prediction_distribution(scored: DataFrame, prediction: str = "prediction") -> DataFrame:

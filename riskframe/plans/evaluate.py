@@ -15,13 +15,12 @@ from pyspark.sql import functions as F
 
 from riskframe.functions import decode_label
 from riskframe.operators.columns import select_features
-from riskframe.operators.curves import roc_auc
 from riskframe.operators.ensembles import score_columns, stack_meta_features, vote_hard, vote_soft
 from riskframe.operators.learners import Learner, score
-from riskframe.operators.metrics import cv_summary, precision_recall_f1, to_long
+from riskframe.operators.metrics import cv_summary, to_long
 from riskframe.operators.sampling import stratified_kfold
-
-METRICS = ("accuracy", "precision", "recall", "f1", "roc_auc")
+from riskframe.operators.summary import METRICS, all_metrics
+from riskframe.session import scratch_path
 
 
 @dataclass(frozen=True)
@@ -58,6 +57,14 @@ def kept(df: DataFrame) -> Iterator[DataFrame]:
         held.unpersist()
 
 
+def written(df: DataFrame, label: str) -> DataFrame:
+    """The table after a round trip through the shared folder: scored once, read by every later step, and
+    still there when executors are lost."""
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def run_threads(spark: SparkSession, jobs: Sequence[Callable], parallelism: int) -> list:
     """Run driver-side jobs a few at a time; each submits Spark jobs of its own."""
     with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
@@ -161,14 +168,6 @@ def score_panel(panel: Mapping[str, object], df: DataFrame, keep: Sequence[str])
     return wide.select(*keep, F.inline(F.array(*cells)))
 
 
-def all_metrics(scored: DataFrame, by: Sequence[str], target: str) -> DataFrame:
-    """accuracy, precision, recall, f1 and roc_auc per group; the area is null without probabilities."""
-    by = list(by)
-    basic = precision_recall_f1(scored, target, "prediction", by)
-    area = roc_auc(scored, target, "probability", by).select(*by, "roc_auc")
-    return basic.join(area, by, "left")
-
-
 def model_panel(
     train: DataFrame,
     test: DataFrame,
@@ -182,7 +181,7 @@ def model_panel(
 ) -> tuple[DataFrame, dict[str, object]]:
     """Hold-out metrics of base models and ensembles in one table, and the fitted models."""
     panel = fit_panel(train, learners, ensembles, features, target, key, k, parallelism)
-    scored = score_panel(panel, test.where(F.col(target).isNotNull()), [key, target])
+    scored = written(score_panel(panel, test.where(F.col(target).isNotNull()), [key, target]), "scored")
     return all_metrics(scored, ["model"], target), panel
 
 
@@ -207,7 +206,7 @@ def cross_validate(
             train, held = folded.where(F.col(fold) != i), folded.where(F.col(fold) == i)
             panel = fit_panel(train, learners, ensembles, features, target, key, k, parallelism, hold=False)
             parts.append(score_panel(panel, held, [key, target, fold]))
-    return reduce(lambda a, b: a.unionByName(b), parts)
+        return written(reduce(lambda a, b: a.unionByName(b), parts), "out_of_fold")
 
 
 def cv_report(scored: DataFrame, target: str, by: Sequence[str] = ("model",), fold: str = "fold") -> DataFrame:

@@ -140,3 +140,26 @@ def test_log_loss_clips(spark):
     df = spark.createDataFrame([(1, 0.0), (0, 0.0)], "y int, p double")
     assert metrics.log_loss(df).first()[0] == pytest.approx(-math.log(1e-15) / 2)
     assert metrics.log_loss(df.withColumn("p", F.lit(None).cast("double"))).first()[0] is None
+
+
+def test_one_pass_metrics_equal_the_single_ones(spark):
+    from riskframe.operators.summary import all_metrics
+
+    rng = random.Random(12)
+    data = [("m", rng.randint(0, 1), round(rng.random(), 1)) for _ in range(200)]
+    df = spark.createDataFrame(data, "g string, y int, probability double").withColumn(
+        "prediction", (F.col("probability") > 0.6).cast("int")
+    )
+    hard = df.select(F.lit("hard").alias("g"), "y", F.lit(None).cast("double").alias("probability"), "prediction")
+    both = df.unionByName(hard)
+    binary = {r["g"]: r for r in all_metrics(both, ["g"]).collect()}
+    single = {r["g"]: r for r in metrics.precision_recall_f1(both, by=["g"]).collect()}
+    area = curves.roc_auc(df, probability="probability").first()["roc_auc"]
+    for g in ("m", "hard"):
+        for name in ("n", "accuracy", "precision", "recall", "f1"):
+            assert binary[g][name] == pytest.approx(single[g][name])
+    assert binary["hard"]["roc_auc"] is None and binary["m"]["roc_auc"] == pytest.approx(area)
+    weighted = all_metrics(df, average="weighted").first()
+    expected = metrics.weighted_prf(df).first()
+    for name in ("precision", "recall", "f1"):
+        assert weighted[name] == pytest.approx(expected[name])
