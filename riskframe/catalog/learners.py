@@ -119,8 +119,8 @@ def vote_hard(spark, sf):
 
 
 def _meta(spark, sf):
-    folded = stratified_kfold(events(spark, sf), "event_id", "y", 3)
-    return ensembles.stack_meta_features(folded, BASE, FEATURES, "y", "event_id", 3)
+    folded = stratified_kfold(events(spark, sf).select("event_id", "y", *FEATURES), "event_id", "y", 3)
+    return ensembles.stack_meta_features(folded, BASE, FEATURES, "y", "event_id", 3, parallelism=4)
 
 
 def stack_meta_features(spark, sf):
@@ -135,7 +135,7 @@ def stack_meta_coverage(spark, sf):
 
 def _stack(spark, sf, final):
     df = events(spark, sf)
-    stack = evaluate.fit_stack(df, BASE, final, FEATURES, "y", "event_id", k=3)
+    stack = evaluate.fit_stack(df, BASE, final, FEATURES, "y", "event_id", k=3, parallelism=4)
     return stack.score(df, KEEP)
 
 

@@ -141,7 +141,7 @@ def training_progress(spark, sf):
     time = df.select(
         "event_type",
         F.col("event_id").alias("iter"),
-        (F.unix_timestamp(F.col("ts").cast("timestamp")) - F.lit(1704067200)).alias("passed"),
+        F.timestamp_diff("SECOND", F.lit("2024-01-01").cast("timestamp_ntz"), F.col("ts")).alias("passed"),
         (F.col("user_id") * 10).alias("remaining"),
     )
     return rounded_columns(D.training_progress(loss, time, ["event_type"]), "loss_drop")

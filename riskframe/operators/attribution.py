@@ -98,17 +98,15 @@ def attribution_summary(
     """Per feature over the table: mean absolute contribution, range and exact quantiles."""
     quantiles = quantiles or {"p25": 0.25, "p50": 0.5, "p75": 0.75}
     wide = df.select(*[_contribution(f, w, means[f]).alias(f) for f, w in weights.items()])
-    basic = (
-        wide.unpivot([], list(weights), "feature", "contribution")
-        .groupBy("feature")
-        .agg(
-            F.avg(F.abs("contribution")).alias("mean_abs"),
-            F.min("contribution").alias("min_value"),
-            F.max("contribution").alias("max_value"),
-        )
+    extra = [
+        (F.sum(F.abs("value") * F.col("k")) / F.sum("k")).alias("mean_abs"),
+        F.min("value").alias("min_value"),
+        F.max("value").alias("max_value"),
+    ]
+    found = exact_quantiles(wide, list(weights), quantiles, extra)
+    return found.select(
+        F.col("column").alias("feature"), "mean_abs", "min_value", "max_value", *quantiles
     )
-    cuts = exact_quantiles(wide, list(weights), quantiles).withColumnRenamed("column", "feature").drop("n")
-    return basic.join(cuts, "feature")
 
 
 def permuted_columns(

@@ -8,7 +8,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskframe.operators.ordering import bucket_name, range_buckets, running
+from riskframe.operators.ordering import bucket_name, range_buckets, running, shuffle_buckets
 
 
 def _scores(
@@ -88,14 +88,24 @@ def roc_auc(
     )
 
 
-def auc_trapezoid(curve: DataFrame, by: Sequence[str] = (), ranges: Bucketizer | None = None) -> DataFrame:
-    """Area under (fpr, tpr) points. Both rates only rise, so the point before is the running maximum."""
+def auc_trapezoid(curve: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Area under (fpr, tpr) points. Both rates only rise, so the point before is the running maximum.
+
+    fpr + tpr runs from 0 to 2 and every point adds at least one row's share to it, so equal steps hold
+    equal numbers of points at most: the ranges need no look at the data.
+    """
     by = list(by)
-    placed = curve.select(*by, "fpr", "tpr", (F.col("fpr") + F.col("tpr")).alias("along"))
-    if ranges is None:
-        ranges = range_buckets(placed, ["along"])
+    parts = max(2, shuffle_buckets(curve))
+    inner = [2.0 * i / parts for i in range(1, parts)]
+    ranges = Bucketizer(
+        splits=[float("-inf"), *inner, float("inf")],
+        inputCol="along",
+        outputCol=bucket_name("along"),
+        handleInvalid="keep",
+    )
+    placed = ranges.transform(curve.select(*by, "fpr", "tpr", (F.col("fpr") + F.col("tpr")).alias("along")))
     steps = running(
-        ranges.transform(placed),
+        placed,
         "along",
         bucket_name("along"),
         {"fpr_before": ("max", "fpr"), "tpr_before": ("max", "tpr")},

@@ -9,6 +9,7 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from riskframe.jobs import run_threads
 from riskframe.operators.learners import Learner, score
 
 
@@ -50,15 +51,18 @@ def stack_meta_features(
     key: str,
     k: int = 5,
     fold: str = "fold",
+    parallelism: int = 2,
 ) -> DataFrame:
     """Out-of-fold probability of each learner: (key, target, fold, one column per learner).
 
     ``df`` carries the fold column. Each fold's models score only rows they were not fitted on.
     """
+    pairs = [(i, learner) for i in range(k) for learner in learners]
+    jobs = [lambda i=i, learner=learner: learner.fit(df.where(F.col(fold) != i), features, target) for i, learner in pairs]
+    fitted = dict(zip([(i, learner.name) for i, learner in pairs], run_threads(df.sparkSession, jobs, parallelism)))
     parts = []
     for i in range(k):
-        train, held = df.where(F.col(fold) != i), df.where(F.col(fold) == i)
-        models = {learner.name: learner.fit(train, features, target) for learner in learners}
-        scored = score_columns(held.select(key, target, fold, *features), models)
-        parts.append(scored.select(key, target, fold, *models))
+        models = {learner.name: fitted[(i, learner.name)] for learner in learners}
+        held = df.where(F.col(fold) == i).select(key, target, fold, *features)
+        parts.append(score_columns(held, models).select(key, target, fold, *models))
     return reduce(lambda a, b: a.unionByName(b), parts)

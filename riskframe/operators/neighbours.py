@@ -8,10 +8,12 @@ hands on k rows per query, never its pairs.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,6 +21,9 @@ from pyspark.sql import types as T
 from riskframe.functions import hash_order
 from riskframe.operators.sampling import sample_n
 
+# tasks get this module's functions with the job, so executors need no installed package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 BROADCAST_CELLS = 4_000_000  # numbers sent to every task at most: 32 MB of doubles
 BLOCK_ROWS = 20_000
 MAX_PIVOTS = 256

@@ -229,9 +229,12 @@ def number_rows(df: DataFrame, order: str, output: str = "number") -> DataFrame:
     return running(placed, order, bucket_name(order), {output: ("sum", "__one")}).select(*df.columns, output)
 
 
-def exact_quantiles(df: DataFrame, columns: Sequence[str], probabilities: Mapping[str, float]) -> DataFrame:
+def exact_quantiles(
+    df: DataFrame, columns: Sequence[str], probabilities: Mapping[str, float], extra: Sequence[Column] = ()
+) -> DataFrame:
     """Nearest-rank quantiles of each numeric column, as (column, n, <name>...), without holding a column
-    in one task: values are counted, counts are accumulated over value ranges."""
+    in one task: values are counted, counts are accumulated over value ranges. ``extra`` aggregates run over
+    (value, k): each distinct value and its count."""
     columns = list(columns)
     placed = range_buckets(df, columns).transform(df)
     cells = F.array(
@@ -252,4 +255,4 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probabilities: Mappin
         rank = F.greatest(F.lit(1), F.ceil(F.round(F.col("n") * F.lit(float(q)), 9)))
         hit = (F.col("upto") >= rank) & (F.col("upto") - F.col("k") < rank)
         picks.append(F.max(F.when(hit, F.col("value"))).alias(name))
-    return cumulative.groupBy("column").agg(F.max("n").alias("n"), *picks)
+    return cumulative.groupBy("column").agg(F.max("n").alias("n"), *picks, *extra)

@@ -2,25 +2,23 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Mapping, Sequence
-from concurrent.futures import ThreadPoolExecutor
-from contextlib import contextmanager, nullcontext
+from collections.abc import Mapping, Sequence
+from contextlib import nullcontext
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskframe.functions import decode_label
+from riskframe.jobs import kept, run_threads, written
 from riskframe.operators.columns import select_features
 from riskframe.operators.ensembles import score_columns, stack_meta_features, vote_hard, vote_soft
 from riskframe.operators.learners import Learner, score
 from riskframe.operators.metrics import cv_summary, to_long
 from riskframe.operators.sampling import stratified_kfold
 from riskframe.operators.summary import METRICS, all_metrics
-from riskframe.session import scratch_path
 
 
 @dataclass(frozen=True)
@@ -47,31 +45,6 @@ class FittedEnsemble:
         return vote_soft(scored, names).select(*out) if self.kind == "soft" else score(self.final, scored, keep)
 
 
-@contextmanager
-def kept(df: DataFrame) -> Iterator[DataFrame]:
-    """Hold the narrow rows many fits read; a lost executor recomputes its part from the source."""
-    held = df.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        yield held
-    finally:
-        held.unpersist()
-
-
-def written(df: DataFrame, label: str) -> DataFrame:
-    """The table after a round trip through the shared folder: scored once, read by every later step, and
-    still there when executors are lost."""
-    path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def run_threads(spark: SparkSession, jobs: Sequence[Callable], parallelism: int) -> list:
-    """Run driver-side jobs a few at a time; each submits Spark jobs of its own."""
-    with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
-        waiting = [pool.submit(inheritable_thread_target(spark)(job)) for job in jobs]
-        return [w.result() for w in waiting]
-
-
 def fit_base(
     train: DataFrame, learners: Sequence[Learner], features: Sequence[str], target: str, parallelism: int = 2
 ) -> dict[str, PipelineModel]:
@@ -89,20 +62,21 @@ def fit_stack(
     base: Mapping[str, PipelineModel] | None = None,
     k: int = 5,
     seed: int | str = "stack",
+    parallelism: int = 2,
 ) -> FittedEnsemble:
     """Final learner on out-of-fold probabilities; base models are those fitted on all training rows.
 
     The folds are made inside the training rows with a seed of their own, apart from evaluation folds.
     """
     with kept(train.select(key, target, *features)) as rows:
-        with kept(_meta_table(rows, learners, features, target, key, k, seed)) as meta:
+        with kept(_meta_table(rows, learners, features, target, key, k, seed, parallelism)) as meta:
             fitted = final.fit(meta, [learner.name for learner in learners], target)
-        return FittedEnsemble(base or fit_base(rows, learners, features, target), "stack", fitted)
+        return FittedEnsemble(base or fit_base(rows, learners, features, target, parallelism), "stack", fitted)
 
 
-def _meta_table(rows, learners, features, target, key, k, seed) -> DataFrame:
+def _meta_table(rows, learners, features, target, key, k, seed, parallelism) -> DataFrame:
     folded = stratified_kfold(rows, key, target, k, seed, "__stack_fold")
-    return stack_meta_features(folded, learners, features, target, key, k, "__stack_fold")
+    return stack_meta_features(folded, learners, features, target, key, k, "__stack_fold", parallelism)
 
 
 def fit_panel(
@@ -127,7 +101,7 @@ def fit_panel(
         panel.update({e.name: FittedEnsemble(base, e.kind) for e in ensembles if e.kind != "stack"})
         stacks = [e for e in ensembles if e.kind == "stack"]
         if stacks:
-            with kept(_meta_table(rows, learners, features, target, key, k, "stack")) as meta:
+            with kept(_meta_table(rows, learners, features, target, key, k, "stack", parallelism)) as meta:
                 for e in stacks:
                     panel[e.name] = FittedEnsemble(base, "stack", e.final.fit(meta, list(base), target))
     return panel

@@ -8,10 +8,11 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from riskframe.jobs import kept, run_threads
 from riskframe.operators.learners import Learner, score
 from riskframe.operators.metrics import accuracy
 from riskframe.operators.sampling import stratified_kfold
-from riskframe.plans.evaluate import cross_validate, cv_report, kept, run_threads
+from riskframe.plans.evaluate import cross_validate, cv_report
 
 TRIAL_SCHEMA = "study string, trial bigint, params map<string,string>, score double, std double"
 
