@@ -161,7 +161,7 @@ def _block_search(known, asked, key, vector, label, k, block_rows, n, seed, sche
 
     def per_cell(blocks: dict[int, int]):
         pairs = [F.lit(part) for item in sorted(blocks.items()) for part in item]
-        return F.create_map(*pairs)[F.col("cell")]
+        return F.try_element_at(F.create_map(*pairs), F.col("cell"))
 
     def slot(blocks: dict[int, int], salt: str):
         return F.pmod(F.xxhash64(hash_order(key, salt)), per_cell(blocks)).cast("int")
@@ -169,24 +169,30 @@ def _block_search(known, asked, key, vector, label, k, block_rows, n, seed, sche
     def every(blocks: dict[int, int]):
         return F.explode(F.sequence(F.lit(0), per_cell(blocks) - 1))
 
+    # a cell no query visits has no query blocks, and its rows go nowhere
+    if not query_blocks:
+        return known.sparkSession.createDataFrame([], schema)
+    # both sides may come from one table: new column names keep them apart in the plan
     left = (
-        placed.where(F.col("cell").isin(list(query_blocks)))
-        .withColumn("t", slot(train_blocks, "train"))
+        placed.withColumn("t", slot(train_blocks, "train"))
         .withColumn("q", every(query_blocks))
-        .select("cell", "t", "q", key, vector, label)
+        .select(
+            "cell", "t", "q", F.col(key).alias("point"), F.col(vector).alias("point_at"), F.col(label).alias("point_label")
+        )
     )
     right = (
         routed.withColumn("q", slot(query_blocks, "query"))
         .withColumn("t", every(train_blocks))
-        .select("cell", "t", "q", key, vector)
+        .select("cell", "t", "q", F.col(key).alias("query"), F.col(vector).alias("query_at"))
     )
 
     def search(points: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         if points.empty or queries.empty:
             return pd.DataFrame({key: [], "neighbour": [], "label": [], "distance": []})
-        keys, labels = points[key].to_numpy(), points[label].to_numpy()
-        q, p, d = _nearest(_matrix(queries[vector]), _matrix(points[vector]), keys, k)
-        return pd.DataFrame({key: queries[key].to_numpy()[q], "neighbour": keys[p], "label": labels[p], "distance": d})
+        keys, labels = points["point"].to_numpy(), points["point_label"].to_numpy()
+        q, p, d = _nearest(_matrix(queries["query_at"]), _matrix(points["point_at"]), keys, k)
+        asked = queries["query"].to_numpy()[q]
+        return pd.DataFrame({key: asked, "neighbour": keys[p], "label": labels[p], "distance": d})
 
     parts = ["cell", "t", "q"]
     return left.groupBy(*parts).cogroup(right.groupBy(*parts)).applyInPandas(search, schema)

@@ -46,8 +46,11 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh path under the shared folder, dropped by the file system when the session ends."""
-    target = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
-    path = spark._jvm.org.apache.hadoop.fs.Path(target)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
-    return target
+    """A fresh path in this application's part of the shared folder, which is dropped when it ends."""
+    root = f"{shared_dir(spark).rstrip('/')}/riskframe-{spark.sparkContext.applicationId}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(path):
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+    return f"{root}/{label}-{uuid.uuid4().hex}"

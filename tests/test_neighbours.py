@@ -38,6 +38,12 @@ def test_neighbours_match_brute_force(spark, options, d, k):
     assert {q: sorted(v) for q, v in mine.items()} == _brute(train, queries, k)
 
 
+def test_both_sides_from_one_table(spark):
+    points = spark.createDataFrame(_points(120, 4, 3), SCHEMA)
+    got = N.score_knn(points.where("id >= 20"), points.where("id < 20"), "id", "v", "label", 3, broadcast_cells=0, block_rows=30)
+    assert got.count() == 20 and len(got.collect()) == 20
+
+
 def test_copies_ties_and_small_tables(spark):
     train = spark.createDataFrame([(i, [0.0, 0.0], i % 2) for i in range(8)], SCHEMA)
     asked = spark.createDataFrame([(100, [0.0, 0.0], 0), (101, [5.0, 5.0], 0)], SCHEMA)
