@@ -138,7 +138,7 @@ def save_load_model(spark, sf):
     loaded: PipelineModel = S.load_model(path)
     before = learners.score(model, df, ["event_id", *FEATURES]).withColumnRenamed("probability", "before").drop("prediction")
     both = learners.score(loaded, before, ["event_id", "before"])
-    return both.select("event_id", "before", "probability", (F.col("before") == F.col("probability")).alias("same"))
+    return both.select("event_id", (F.col("before") == F.col("probability")).alias("same"))
 
 
 def versioned_run_dir(spark, sf):
@@ -191,6 +191,7 @@ p AS (
 newest AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY model_type ORDER BY deployment_timestamp DESC) = 1)"""
 
 ORACLES = {
+    "save_load_model": "SELECT event_id, true AS same FROM events",
     "read_csv_table": _CSV,
     "read_csv_inferred": _CSV,
     "read_tsv_log": "SELECT event_id AS iter, value AS loss FROM events",

@@ -16,6 +16,7 @@ from dataclasses import dataclass
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from riskframe.functions import hash_order
 
@@ -78,48 +79,38 @@ def hash_cuts(
     Rows that share a key share a hash, so all copies of a key fall on the same side of a cut.
     Only rows in the prefixes that hold a wanted rank are looked at again.
     """
-    wanted: dict = {}
+    wanted = []  # class, prefix, rank in the class, rank in the cell: one row per cut
     for label, positions in ranks.items():
         start = 0
         pending = sorted({r for r in positions if r > 0})
-        for bucket in sorted(counts.cells.get(label, {})):
-            end = start + counts.cells[label][bucket]
-            inside = [r for r in pending if start < r <= end]
-            if inside:
-                wanted[(label, bucket)] = (start, inside)
+        for cell in sorted(counts.cells.get(label, {})):
+            end = start + counts.cells[label][cell]
+            wanted += [(label, cell, r, r - start) for r in pending if start < r <= end]
             start = end
     if not wanted:
         return {}
 
-    label_col = F.col(target) if target else F.lit(0)
-    hashed = df.select(label_col.alias("c"), hash_order(key, seed).alias("h"))
-    prefix = F.substring("h", 1, PREFIX_DIGITS)
-    keep = None
-    for label in {pair[0] for pair in wanted}:
-        prefixes = [b for (c, b) in wanted if c == label]
-        hit = (F.col("c") == F.lit(label)) & prefix.isin(prefixes)
-        keep = hit if keep is None else keep | hit
+    kind = df.schema[target].dataType if target else T.IntegerType()
+    schema = T.StructType(
+        [
+            T.StructField("c", kind),
+            T.StructField("b", T.StringType()),
+            T.StructField("rank", T.LongType()),
+            T.StructField("local", T.LongType()),
+        ]
+    )
+    cuts = F.broadcast(df.sparkSession.createDataFrame(wanted, schema))
+    hashed = df.select((F.col(target) if target else F.lit(0)).alias("c"), hash_order(key, seed).alias("h"))
     in_cell = Window.partitionBy("c", "b").orderBy("h").rowsBetween(Window.unboundedPreceding, 0)
     ranked = (
-        hashed.where(keep)
-        .groupBy("c", prefix.alias("b"), "h")
+        hashed.withColumn("b", F.substring("h", 1, PREFIX_DIGITS))
+        .join(cuts, ["c", "b"], "left_semi")
+        .groupBy("c", "b", "h")
         .agg(F.count("*").alias("n"))
         .withColumn("upto", F.sum("n").over(in_cell))
     )
-    crossing = None
-    for (label, bucket), (start, inside) in wanted.items():
-        here = (F.col("c") == F.lit(label)) & (F.col("b") == bucket)
-        for rank in inside:
-            local = rank - start
-            hit = here & (F.col("upto") >= local) & (F.col("upto") - F.col("n") < local)
-            crossing = hit if crossing is None else crossing | hit
-    found: dict = {}
-    for row in ranked.where(crossing).collect():
-        start, inside = wanted[(row["c"], row["b"])]
-        for rank in inside:
-            if row["upto"] - row["n"] < rank - start <= row["upto"]:
-                found[(row["c"], rank)] = row["h"]
-    return found
+    crossing = ranked.join(cuts, ["c", "b"]).where("local <= upto AND local > upto - n").select("c", "rank", "h")
+    return {(row["c"], row["rank"]): row["h"] for row in crossing.collect()}
 
 
 def shuffle_buckets(df: DataFrame) -> int:

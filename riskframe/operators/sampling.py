@@ -61,19 +61,18 @@ def _assign(
             ends.append(total)
         ranks[label] = ends
     cuts = hash_cuts(df, key, target, seed, counts, ranks)
-    hashed, order = df.withColumn(HASH, hash_order(key, seed)), F.col(HASH)
+    hashed = df.withColumn(HASH, hash_order(key, seed))
     result = None
     for label, ends in ranks.items():
-        inner = None
-        for part, end in enumerate(ends):
-            if sizes[label][part] == 0:
-                continue
-            test = order <= F.lit(cuts[(label, end)])
-            inner = F.when(test, F.lit(part)) if inner is None else inner.when(test, F.lit(part))
-        last = F.lit(len(sizes[label]) - 1)
-        value = last if inner is None else inner.otherwise(last)
+        cases = [
+            f"WHEN {HASH} <= '{cuts[(label, end)]}' THEN {part}"
+            for part, end in enumerate(ends)
+            if sizes[label][part]
+        ]
+        last = len(sizes[label]) - 1
+        value = F.expr(f"CASE {' '.join(cases)} ELSE {last} END") if cases else F.lit(last)
         if target is None:
-            return hashed, F.when(order.isNotNull(), value)
+            return hashed, F.when(F.col(HASH).isNotNull(), value)
         hit = F.col(target) == F.lit(label)
         result = F.when(hit, value) if result is None else result.when(hit, value)
     return hashed, F.lit(None).cast("int") if result is None else result
