@@ -144,15 +144,18 @@ def _block_search(known, asked, key, vector, label, k, block_rows, n, seed, sche
 
     @F.pandas_udf("array<int>")
     def visit(vectors: pd.Series) -> pd.Series:
-        gaps = distances(_matrix(vectors))[:, cells_of]
-        farthest, nearest = gaps + high, np.maximum(np.maximum(gaps - high, low - gaps), 0.0)
-        picked = []
-        for far, near in zip(farthest, nearest):
-            order = np.argsort(far)
-            enough = np.searchsorted(np.cumsum(counts[order]), min(k, n))
-            bound = far[order][min(enough, len(order) - 1)]
-            picked.append(np.unique(cells_of[near <= bound + 1e-3]).astype("int32").tolist())
-        return pd.Series(picked)
+        """Cells that can hold one of the k nearest: no farther than rings that surely hold k rows."""
+        matrix, picked = _matrix(vectors), []
+        step = max(1, CHUNK_CELLS // len(cells_of) // 4)
+        for start in range(0, len(matrix), step):
+            gaps = distances(matrix[start : start + step])[:, cells_of]
+            farthest, nearest = gaps + high, np.maximum(np.maximum(gaps - high, low - gaps), 0.0)
+            order = np.argsort(farthest, axis=1)
+            short = (np.cumsum(counts[order], axis=1) < min(k, n)).sum(axis=1)
+            bound = np.take_along_axis(farthest, np.take_along_axis(order, short[:, None], axis=1), axis=1)
+            near = nearest <= bound + 1e-3
+            picked += [np.unique(cells_of[row]).astype("int32").tolist() for row in near]
+        return pd.Series(picked, dtype=object)
 
     routed = asked.withColumn("cell", F.explode(visit(F.col(vector))))
     visits = {r["cell"]: r["count"] for r in routed.groupBy("cell").count().collect()}  # one row per cell
