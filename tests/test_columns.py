@@ -5,10 +5,10 @@ from riskframe.operators import columns as C
 
 
 def test_encode_target_text_only(spark):
-    text = spark.createDataFrame([(1, "HF"), (2, "No HF"), (3, "other")], "id int, y string")
-    assert rows(C.encode_target(text, "y", {"HF": 1, "No HF": 0})) == [(1, 1), (2, 0), (3, None)]
+    text = spark.createDataFrame([(1, "yes"), (2, "no"), (3, "other")], "id int, y string")
+    assert rows(C.encode_target(text, "y", {"yes": 1, "no": 0})) == [(1, 1), (2, 0), (3, None)]
     number = spark.createDataFrame([(1, 0)], "id int, y int")
-    assert C.encode_target(number, "y", {"HF": 1}) is number
+    assert C.encode_target(number, "y", {"yes": 1}) is number
 
 
 def test_split_and_select(spark):
@@ -27,11 +27,11 @@ def test_missing_features_table(spark):
 
 
 def test_decode_drop_reduce(spark):
-    df = spark.createDataFrame([("MPI001", 1.0, 1), ("MPI002", 2.0, 0)], "StudyID string, Na double, p int")
-    labelled = C.decode_label(df, "p", "Heart Failure", "No Heart Failure", "label")
-    assert rows(labelled, "label") == [("Heart Failure",), ("No Heart Failure",)]
-    assert C.drop_key(df, "StudyID").columns == ["Na", "p"]
-    assert C.reduce_columns(df, ["Na"]).columns == ["StudyID", "p"]
+    df = spark.createDataFrame([("k001", 1.0, 1), ("k002", 2.0, 0)], "row_key string, Na double, p int")
+    labelled = C.decode_label(df, "p", "Positive", "Negative", "label")
+    assert rows(labelled, "label") == [("Negative",), ("Positive",)]
+    assert C.drop_key(df, "row_key").columns == ["Na", "p"]
+    assert C.reduce_columns(df, ["Na"]).columns == ["row_key", "p"]
     with pytest.raises(ValueError, match="unknown"):
         C.reduce_columns(df, ["Cl"])
 

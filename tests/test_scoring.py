@@ -20,9 +20,9 @@ SAMPLE = [
 
 def test_batch_score(spark):
     df = spark.createDataFrame([(1, 2.0, 1.0, "x"), (2, 1.0, 1.0, "y")], "id int, b double, a double, other string")
-    got = S.batch_score(df, MODEL, ["a", "b"], ["id"], "Heart Failure", "No Heart Failure")
+    got = S.batch_score(df, MODEL, ["a", "b"], ["id"], "Positive", "Negative")
     assert got.columns == ["id", "prediction", "prediction_label", "probability"]
-    assert [r[:3] for r in rows(got)] == [(1, 0, "No Heart Failure"), (2, 0, "No Heart Failure")]
+    assert [r[:3] for r in rows(got)] == [(1, 0, "Negative"), (2, 0, "Negative")]
     assert rows(got)[1][3] == 0.5
     with pytest.raises(ValueError, match="missing required features: b"):
         S.batch_score(df.drop("b"), MODEL, ["a", "b"])
@@ -31,10 +31,10 @@ def test_batch_score(spark):
 
 
 def test_truth_as_text_is_encoded(spark):
-    df = spark.createDataFrame([(1, 3.0, 1.0, "HF"), (2, 0.0, 1.0, "No HF"), (3, 0.0, 1.0, "?")], "id int, a double, b double, t string")
-    got = S.score_with_truth(df, MODEL, ["a", "b"], "t", ["id"], "Heart Failure", "No Heart Failure", {"HF": 1, "No HF": 0})
+    df = spark.createDataFrame([(1, 3.0, 1.0, "yes"), (2, 0.0, 1.0, "no"), (3, 0.0, 1.0, "?")], "id int, a double, b double, t string")
+    got = S.score_with_truth(df, MODEL, ["a", "b"], "t", ["id"], "Positive", "Negative", {"yes": 1, "no": 0})
     assert rows(got, "id", "actual", "actual_label") == [
-        (1, 1, "Heart Failure"), (2, 0, "No Heart Failure"), (3, None, None)
+        (1, 1, "Positive"), (2, 0, "Negative"), (3, None, None)
     ]
     metrics = S.truth_metrics(got).first()
     assert (metrics["n"], metrics["accuracy"], metrics["roc_auc"]) == (2, 1.0, 1.0)

@@ -17,7 +17,7 @@ def test_csv_round_trip_and_types(spark, tmp_path):
 
 
 def test_tsv_log(spark, tmp_path):
-    path = tmp_path / "learn_error.tsv"
+    path = tmp_path / "loss.tsv"
     path.write_text("iter\tLogloss\n0\t0.66\n1\t0.64\n")
     assert rows(S.read_tsv_log(spark, str(path))) == [(0, 0.66), (1, 0.64)]
 
@@ -41,14 +41,14 @@ def _info(folder, kind, stamp, features):
         "model_type": kind, "accuracy": "0.8875", "feature_count": len(features), "deployment_timestamp": stamp,
         "model_file": "best.bin", "features": features,
     }
-    (folder / "model_info.json").write_text(json.dumps(info, indent=4))
+    (folder / "info.json").write_text(json.dumps(info, indent=4))
 
 
 def test_model_folders(spark, tmp_path):
     _info(tmp_path / "p1", "Boosted", "2025-04-11 18:35:12", ["Age", "HR"])
     _info(tmp_path / "p2", "Boosted", "2025-04-11 18:38:46", ["Age", "BMI"])
     _info(tmp_path / "p3", "Stack", "2025-04-11 21:55:56", ["Age"])
-    infos = S.read_model_info(spark, str(tmp_path / "*" / "model_info.json"))
+    infos = S.read_model_info(spark, str(tmp_path / "*" / "info.json"))
     assert infos.count() == 3
     newest = S.latest_models(infos)
     assert rows(newest, "model_type", "deployment_timestamp")[0] == ("Boosted", "2025-04-11 18:38:46")
@@ -84,9 +84,9 @@ def test_runs_side_by_side(spark, tmp_path):
 
 
 def test_union_of_overlapping_runs(spark):
-    a = spark.createDataFrame([("k1", 1.0), ("k2", 2.0)], "StudyID string, v double").selectExpr("*", "'r1' AS run")
-    b = spark.createDataFrame([("k2", 2.0), ("k3", None)], "StudyID string, v double").selectExpr("*", "'r0' AS run")
-    assert rows(S.union_runs([a, b], "StudyID", "run")) == [("k1", "r1", 1.0, 1), ("k2", "r0", 2.0, 2), ("k3", "r0", None, 1)]
+    a = spark.createDataFrame([("k1", 1.0), ("k2", 2.0)], "row_key string, v double").selectExpr("*", "'r1' AS run")
+    b = spark.createDataFrame([("k2", 2.0), ("k3", None)], "row_key string, v double").selectExpr("*", "'r0' AS run")
+    assert rows(S.union_runs([a, b], "row_key", "run")) == [("k1", "r1", 1.0, 1), ("k2", "r0", 2.0, 2), ("k3", "r0", None, 1)]
 
 
 def test_scratch_is_under_the_shared_folder(spark):
