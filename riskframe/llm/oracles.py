@@ -60,4 +60,34 @@ SELECT conv_id, count(*) AS n_turns,
   CAST(sum(length('<|turn|>') + body + CASE WHEN leads THEN context ELSE 0 END) AS BIGINT) AS formatted_chars
 FROM g GROUP BY conv_id"""
 
-ORACLES = {"op4_mixing": OP4, "op7_exact_dedup": OP7, "op9_chat_formatting": OP9}
+OP1 = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x20\x09-\x0D]+') AS w FROM documents),
+x AS (
+  SELECT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct([w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] FOR i IN range(1, len(w) - 1)]) END) AS s FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM x GROUP BY doc_id),
+p AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM x a JOIN x b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (
+  SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * shared >= 85 * (x.n + y.n - shared)),
+e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+r(node, root) AS (
+  SELECT doc_id, doc_id FROM documents UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.node),
+c AS (SELECT node, min(root) AS root FROM r GROUP BY node)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.root AS component_id, c.root = d.doc_id AS kept
+FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id JOIN c ON c.node = d.doc_id"""
+
+OP10 = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+s AS (SELECT page_id, strlen(html) AS n, sha1(html) AS hex, min(page_id) OVER (PARTITION BY html) AS first FROM p)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes,
+  array_to_string([array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+      1 + ((CAST('0x' || substr(hex, 1 + 5 * i, 5) AS BIGINT) >> (15 - 5 * j)) & 31), 1) FOR j IN range(4)], '') FOR i IN range(8)], '')
+    AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id = first THEN NULL ELSE first END AS refers_to
+FROM s"""
+
+ORACLES = {"op1_minhash": OP1, "op10_warc": OP10, "op4_mixing": OP4, "op7_exact_dedup": OP7, "op9_chat_formatting": OP9}

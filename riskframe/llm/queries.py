@@ -7,12 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskframe.llm import chat, exact, mixing, quality
+from riskframe.llm import chat, exact, minhash, mixing, packing, quality, warc
 from riskframe.llm.common import only, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), k=3, percent=85)
+
+
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.digests(packing.pack(table(spark, sf_dir, "documents")))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed_sizes(mixing.mix_sources(table(spark, sf_dir, "documents")))
 
@@ -43,9 +51,16 @@ def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_round_trip(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Query] = {
+    "op1_minhash": op1_minhash,
+    "op2_packing": op2_packing,
     "op4_mixing": op4_mixing,
     "op5_quality_rules": op5_quality_rules,
     "op7_exact_dedup": op7_exact_dedup,
     "op9_chat_formatting": op9_chat_formatting,
+    "op10_warc": op10_warc,
 }
