@@ -9,21 +9,42 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from riskframe.llm import exact, mixing
+from riskframe.llm import exact, minhash, mixing, packing, toxicity
 from riskframe.llm.common import table, written
 
 
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the clause grammar, fitted on the labels, does not reject."""
+    return toxicity.drop_toxic(docs, table(spark, sf_dir, "labels"))
+
+
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts, the row with the smallest doc_id stays."""
     return exact.drop_copies(docs)
 
 
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group that shares 0.8 of its five-word shingles, link by link."""
+    return minhash.drop_near_copies(docs, k=5, percent=80)
+
+
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as their source's target asks; the last copy of a source is cut to the words it takes."""
     return mixing.mixed_documents(docs)
 
 
-STAGES = [("exact dedup", exact_dedup), ("mixing to target weights", mix)]
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of sequences of 2048 tokens in which the sources keep their shares."""
+    return packing.digests(packing.pack(docs))
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("exact dedup", exact_dedup),
+    ("near dedup", near_dedup),
+    ("mixing to target weights", mix),
+    ("packing", pack),
+]
 
 #: Tokenizers and fitted models have no SQL form.
 ORACLE_SQL = None

@@ -55,7 +55,7 @@ def mix_sources(
     docs: DataFrame, weight: Callable[[Column], Column] = cyclic_weight, most: int = MOST_COPIES, seed: int = 42
 ) -> DataFrame:
     """One row per document and copy in the mix: row_id, doc_id, source, size, source_size, target, copy, taken,
-    finish (virtual time), position (words of the mix before it).  Documents the mix leaves out have one row with
+    finish (virtual time), position (words of the mix before it), tie (hash of the text).  Documents the mix leaves out have one row with
     copy null and taken 0.  Only the last copy of a source that reaches its target is cut."""
     spark = docs.sparkSession
     text = text_or_empty()
@@ -94,7 +94,7 @@ def mix_sources(
     taken = F.greatest(F.lit(0).cast("long"), F.least(F.col("served"), F.lit(budget).cast("long") - F.col("position")))
     return copies.select(
         "row_id", "doc_id", "source", "size", "source_size", "target",
-        F.when(taken > 0, F.col("copy")).alias("copy"), taken.alias("taken"), "finish", "position",
+        F.when(taken > 0, F.col("copy")).alias("copy"), taken.alias("taken"), "finish", "position", "tie",
     )
 
 
@@ -109,12 +109,33 @@ def mixed_sizes(mix: DataFrame) -> DataFrame:
     ).drop("row_id")
 
 
-def cut_words(text: Column, most: Column) -> Column:
-    """The text up to and with its word number ``most``."""
-    return F.regexp_extract(text, "", 0) if most is None else text
-
-
 def mixed_documents(docs: DataFrame, weight: Callable[[Column], Column] = cyclic_weight, most: int = MOST_COPIES, seed: int = 42) -> DataFrame:
-    """The mix as documents, with the columns of the input: a row for each copy taken, the cut ones ending with the
-    last word they take (and ``n_chars``, where there is one, counted again)."""
-    return docs
+    """The mix as documents, with the columns of the input: a row for each copy taken.  A cut copy ends with the last
+    word it takes, and ``n_chars``, where there is one, is counted again."""
+    mix = mix_sources(docs, weight, most, seed).where("taken > 0").select(
+        F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), "tie", "taken"
+    )
+    # Rows that repeat a document in every respect that counts are one entry with several copies here, so that each
+    # copy of the mix meets one row of the input.
+    same = ["_id", "_source", "_size", "tie"]
+    wanted = mix.groupBy(*same).agg(F.sort_array(F.collect_list("taken"), asc=False).alias("copies"))
+    text = text_or_empty()
+    rows = docs.withColumn("_tie", F.xxhash64(text))
+    repeats = rows.groupBy(F.col("doc_id").cast("long").alias("_i"), F.col("source").cast("string").alias("_s"), "_tie").count().where("count > 1")
+    if not repeats.isEmpty():
+        rows = rows.dropDuplicates(["doc_id", "source", "_tie"])
+    match = (
+        F.col("doc_id").cast("long").eqNullSafe(F.col("_id"))
+        & F.col("source").cast("string").eqNullSafe(F.col("_source"))
+        & (F.col("_tie") == F.col("tie"))
+    )
+    copies = rows.join(wanted, match).withColumn("_taken", F.explode("copies"))
+    # Pieces of a word and the space before it.
+    pieces = F.split(text, r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])")
+    cut = F.array_join(F.slice(pieces, F.lit(1), F.col("_taken").cast("int")), "")
+    short = F.col("_taken") < F.col("_size")
+    out = copies.withColumn("_text", F.when(short, cut).otherwise(F.col("text")))
+    swap = {"text": F.col("_text")}
+    if "n_chars" in docs.columns:
+        swap["n_chars"] = F.when(short, F.length("_text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+    return out.select(*[swap.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns])
