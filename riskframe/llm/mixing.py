@@ -113,12 +113,12 @@ def mixed_documents(docs: DataFrame, weight: Callable[[Column], Column] = cyclic
     """The mix as documents, with the columns of the input: a row for each copy taken.  A cut copy ends with the last
     word it takes, and ``n_chars``, where there is one, is counted again."""
     mix = mix_sources(docs, weight, most, seed).where("taken > 0").select(
-        F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), "tie", "taken"
+        F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), F.col("tie").alias("_mark"), "taken"
     )
     # Rows that repeat a document in every respect that counts are one entry with several copies here, so that each
     # copy of the mix meets one row of the input.
-    same = ["_id", "_source", "_size", "tie"]
-    wanted = mix.groupBy(*same).agg(F.sort_array(F.collect_list("taken"), asc=False).alias("copies"))
+    same = ["_id", "_source", "_size", "_mark"]
+    wanted = mix.groupBy(*same).agg(F.sort_array(F.collect_list("taken"), asc=False).alias("_copies"))
     text = text_or_empty()
     rows = docs.withColumn("_tie", F.xxhash64(text))
     repeats = rows.groupBy(F.col("doc_id").cast("long").alias("_i"), F.col("source").cast("string").alias("_s"), "_tie").count().where("count > 1")
@@ -127,9 +127,9 @@ def mixed_documents(docs: DataFrame, weight: Callable[[Column], Column] = cyclic
     match = (
         F.col("doc_id").cast("long").eqNullSafe(F.col("_id"))
         & F.col("source").cast("string").eqNullSafe(F.col("_source"))
-        & (F.col("_tie") == F.col("tie"))
+        & (F.col("_tie") == F.col("_mark"))
     )
-    copies = rows.join(wanted, match).withColumn("_taken", F.explode("copies"))
+    copies = rows.join(wanted, match).withColumn("_taken", F.explode("_copies"))
     # Pieces of a word and the space before it.
     pieces = F.split(text, r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])")
     cut = F.array_join(F.slice(pieces, F.lit(1), F.col("_taken").cast("int")), "")

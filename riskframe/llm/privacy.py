@@ -18,6 +18,7 @@ import hashlib
 import random
 import re
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -28,15 +29,15 @@ from riskframe.llm.common import text_or_empty
 
 KINDS = ("email", "ip", "card", "phone")
 #: Islands that the field is trained on; parts that a span may have; score above "no span" that an added span needs.
-SAMPLE, LONGEST, MARGIN = 1_500, 8, 3.0
-EPOCHS, RATE, RIDGE = 30, 0.5, 1e-3
+SAMPLE, LONGEST, MARGIN = 300, 16, 2.0
+EPOCHS, RATE, RIDGE = 40, 1.0, 1e-4
 
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
-SEED = re.compile(r"[0-9@]")
+SEED = re.compile(r"[0-9@]|[(\[]at[)\]]")
 #: Parts of an island, and the island: parts with at most two other characters between them.
 PART = re.compile(r"[A-Za-z0-9À-ÿ_%+-]+|[@.()\[\]]")
 Span = tuple[int, int, str]
@@ -83,7 +84,8 @@ SHAPES = (
     ("card", re.compile(r"\d{4}(?:[ .-]?\d{4}){2}[ .-]?\d{1,7}|\d{12,19}|\d{4}[ .-]\d{6}[ .-]\d{5}")),
     ("phone", re.compile(r"(?:\+|00)?\d{0,3}[ .-]?\(?\d{2,4}\)?[ .-]\d{3,4}[ .-]?\d{3,4}")),
 )
-N_FEATURES = 24
+N_FEATURES = 25
+GOES_ON = re.compile(r"\s?(?:\.|\(dot\)|\[dot\]|dot )\s?[A-Za-z0-9]")
 
 
 def span_features(text: str, start: int, end: int) -> np.ndarray:
@@ -115,6 +117,7 @@ def span_features(text: str, start: int, end: int) -> np.ndarray:
     before = set(re.findall(r"[\w-]+", text[max(0, start - 24) : start].lower())[-2:])
     for i, kind in enumerate(KINDS):
         x[20 + i] = not before.isdisjoint(BEFORE[kind])
+    x[24] = bool(GOES_ON.match(text, end))
     return x
 
 
@@ -225,7 +228,7 @@ def rewritten(value: str, kind: str, rng: random.Random) -> str:
     digits = "".join(DIGIT.findall(value))
     if kind == "email":
         at, dot = rng.choice([("(at)", "(dot)"), ("[at]", "[dot]"), (" at ", " dot "), ("[at]", "."), (" @ ", ".")])
-        name, _, domain = value.partition("@")
+        name, _, domain = (DIGIT.sub("", value) if rng.random() < 0.5 else value).partition("@")
         return name + at + domain.replace(".", dot)
     if kind == "card":
         return rng.choice([".", " ", "-"]).join(digits[i : i + 4] for i in range(0, len(digits), 4))
@@ -254,27 +257,30 @@ def train(texts: list[str], seed: int = 5) -> np.ndarray | None:
         add(text, gold)
         for s, e, kind in gold:
             value = rewritten(text[s:e], kind, rng)
-            left = text[max(0, s - 20) : s]
-            add(left + value + text[e : e + 20], [(len(left), len(left) + len(value), kind)])
+            # Words around it, without the pieces of other data that the cut leaves.
+            left, right = (SEED.sub("", t) for t in (text[max(0, s - 20) : s], text[e : e + 20]))
+            add(left + value + right, [(len(left), len(left) + len(value), kind)])
     if not examples:
         return None
     field, pace = Field(np.zeros((len(KINDS), N_FEATURES))), np.full((len(KINDS), N_FEATURES), 1e-6)
     for _ in range(EPOCHS):
-        step = sum(field.gradient(*e) for e in examples) / len(examples) - RIDGE * field.weights
-        pace += step**2
-        field.weights = field.weights + RATE * step / np.sqrt(pace)
+        for part in range(0, len(examples), 32):
+            batch = examples[part : part + 32]
+            step = sum(field.gradient(*e) for e in batch) / len(batch) - RIDGE * field.weights
+            pace += step**2
+            field.weights = field.weights + RATE * step / np.sqrt(pace)
     return field.weights
 
 
 def sample_texts(docs: DataFrame, most: int) -> list[str]:
-    """Short stretches around the first islands of at most ``most`` documents, in hash order."""
+    """Stretches with the first four islands of at most ``most`` documents, in hash order."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = []
             for text in batch.column(0).to_pylist():
-                place = next(islands(text), None)
-                found.append(None if place is None else text[max(0, place[0] - 30) : min(len(text), place[1] + 30, place[0] + 400)])
+                places = list(islice(islands(text), 4))
+                found.append(text[max(0, places[0][0] - 30) : places[-1][1]][:2000] if places else None)
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.string())], names=["text"])
 
     rows = docs.select(text_or_empty().alias("text")).where(F.col("text").rlike("[0-9@]")).mapInArrow(cut, "text string")

@@ -31,7 +31,7 @@ from riskframe.llm.common import only, text_or_empty, written
 #: Most labelled rows of each label that the model is fitted on, and most arcs of the insult transducer.
 SAMPLE, ARCS = 6_000, 4_000
 #: Lengths of word beginnings that may become arcs; least evidence (likelihood ratio statistic) for an arc.
-STEMS, EVIDENCE = (4, 5, 6), 20.0
+STEMS, EVIDENCE = (4, 5, 6), 14.0
 WORDS = re.compile(r"[^\W\d_]+|[\"“”«»]")
 CLAUSE = re.compile(r"[.!?;:\n]+")
 
