@@ -2,15 +2,23 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from riskframe.catalog.base import EVENTS, FEATURES, events, fold_sql, table
 from riskframe.operators import ensembles, learners
 from riskframe.operators.learners import Learner
 from riskframe.operators.neighbours import score_knn as knn
+from riskframe.operators.metrics import accuracy
 from riskframe.operators.sampling import stratified_kfold, stratified_split
+from riskframe.operators.scoring import batch_score
 from riskframe.plans import evaluate
 from riskframe.plans.evaluate import Ensemble
+from riskframe.plans.package import score_registered
+from riskframe.session import scratch_path
+from riskframe.sources import load_model, model_row, read_registry, register_model, save_model
+from riskframe.streaming.scoring import json_records, stream_score
 
 KEEP = ["event_id", "y"]
 SMALL_FOREST = {"trees": 5, "depth": 4, "min_leaf": 4}
@@ -88,7 +96,10 @@ def fit_adaboost(spark, sf):
 def score_knn(spark, sf):
     vectors = table(spark, sf, "embeddings")
     split = stratified_split(vectors, "vec_id", "label", 0.2)
-    return knn(split.where("NOT is_test"), split.where("is_test"), "vec_id", "embedding", "label", 5)
+    return knn(
+        split.where("NOT is_test"), split.where("is_test"), "vec_id", "embedding", "label", 5,
+        broadcast_cells=4_000_000, digits=6,
+    )
 
 
 def score_knn_blocks(spark, sf):
@@ -97,7 +108,7 @@ def score_knn_blocks(spark, sf):
     split = stratified_split(vectors, "vec_id", "label", 0.2)
     return knn(
         split.where("NOT is_test"), split.where("is_test"), "vec_id", "embedding", "label", 5,
-        block_rows=200, broadcast_cells=0,
+        block_rows=200, digits=6,
     )
 
 
@@ -155,9 +166,57 @@ def model_panel(spark, sf):
     return metrics
 
 
+#: Two quick members for the queries that are about the life of an ensemble, not its quality.
+QUICK = (Learner("bayes", "naive_bayes"), Learner("logit", "logistic", {"max_iter": 5}, "balanced"))
+QUICK_ENSEMBLES = (Ensemble("soft", "soft"), Ensemble("hard", "hard"), Ensemble("stack", "stack", FINAL_LOGIT))
+
+
+def _quick_panel(df):
+    panel = evaluate.fit_panel(df, QUICK, QUICK_ENSEMBLES, FEATURES, "y", "event_id", k=3, parallelism=4)
+    return {e.name: panel[e.name] for e in QUICK_ENSEMBLES}
+
+
+def save_load_ensemble(spark, sf):
+    """Every kind of ensemble scores alike before it is saved and after it is loaded."""
+    df, parts = events(spark, sf).select("event_id", "y", *FEATURES), []
+    for name, model in _quick_panel(df).items():
+        path = scratch_path(spark, "ensemble")
+        save_model(model, path)
+        before = learners.score(model, df).withColumnsRenamed({"prediction": "before", "probability": "p_before"})
+        both = learners.score(load_model(path), before)
+        same = F.col("before").eqNullSafe(F.col("prediction")) & F.col("p_before").eqNullSafe(F.col("probability"))
+        parts.append(both.select("event_id", F.lit(name).alias("kind"), same.alias("same")))
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
+def stream_score_ensemble(spark, sf):
+    """A stacked model scores arriving records as it scores the table."""
+    df = events(spark, sf).select("event_id", "y", *FEATURES)
+    model = _quick_panel(df)["stack"]
+    arrived, done, offsets = (scratch_path(spark, n) for n in ("records", "scored", "offsets"))
+    df.write.json(arrived)
+    records = json_records(spark, arrived, df.schema)
+    stream_score(records, model, FEATURES, done, offsets, ["event_id"]).awaitTermination()
+    batch = batch_score(df, model, FEATURES, ["event_id"]).select("event_id", F.col("probability").alias("batch"))
+    both = spark.read.parquet(done).join(batch, "event_id")
+    return both.select("event_id", "prediction_label", (F.abs(F.col("probability") - F.col("batch")) < 1e-12).alias("same"))
+
+
+def score_package(spark, sf):
+    """Register a fitted model, then score from nothing but the registry: newest row, feature list, model."""
+    df, registry, path = events(spark, sf), scratch_path(spark, "registry"), scratch_path(spark, "package")
+    model = learners.fit_naive_bayes(df, ("value", "hour"), "y")
+    save_model(model, path)
+    right = accuracy(learners.score(model, df, ["event_id", "y"])).first()["accuracy"]
+    register_model(model_row(spark, "bayes", right, ["value", "hour"], "2024-01-01 00:00:00", path), registry)
+    scored = score_registered(df, read_registry(spark, registry), "bayes", ["event_id"])
+    expected = learners.score(model, df, ["event_id"]).withColumnsRenamed({"prediction": "expected", "probability": "p"})
+    return scored.join(expected, "event_id").select("event_id", (F.col("prediction") == F.col("expected")).alias("same"))
+
+
 def refit_best(spark, sf):
     df = events(spark, sf)
-    scored = evaluate.cross_validate(df, BASE[1:], FEATURES, "y", "event_id", k=3)
+    scored = evaluate.cross_validate(df, BASE, FEATURES, "y", "event_id", k=3, ensembles=ENSEMBLES, parallelism=4)
     report = evaluate.cv_report(scored, "y")
     rows = report.select("model", F.lit("cv").alias("split"), "metric", F.col("mean").alias("value"))
     winner = evaluate.choose(rows)
@@ -190,6 +249,9 @@ QUERIES = {
         stack_logistic,
         stack_forest,
         model_panel,
+        save_load_ensemble,
+        stream_score_ensemble,
+        score_package,
         refit_best,
     )
 }
@@ -197,7 +259,7 @@ QUERIES = {
 
 def _knn_sql() -> str:
     return """WITH r AS (
-  SELECT vec_id, label, embedding, row_number() OVER (PARTITION BY label ORDER BY md5('42:' || vec_id), vec_id) AS pos
+  SELECT vec_id, label, embedding, row_number() OVER (PARTITION BY label ORDER BY md5('split:42:' || vec_id), vec_id) AS pos
   FROM embeddings),
 c AS (SELECT label, count(*) AS n FROM embeddings GROUP BY label),
 t AS (SELECT count(*) AS total, CAST(ceil(round(count(*) * 0.2e0, 9)) AS BIGINT) AS size FROM embeddings),
@@ -242,6 +304,9 @@ SELECT event_id, y, round(1.0e0 / (1.0e0 + exp(-(wa * (value - ma) + wb * (hour
   SELECT avg(k) AS mk, avg(2 * y - 1) AS mt, sum(pow(k, 2)) - pow(sum(k), 2) / count(*) AS skk,
          sum(k * (2 * y - 1)) - 1.0e0 * sum(k) * sum(2 * y - 1) / count(*) AS skt FROM ev)
 SELECT event_id, y, round(mt + skt / (skk + 10.0e0) * (k - mk), 6) AS raw FROM ev, s""",
+    "save_load_ensemble": """SELECT event_id, kind, true AS same
+FROM events, (VALUES ('soft'), ('hard'), ('stack')) k(kind)""",
+    "score_package": "SELECT event_id, true AS same FROM events",
     "score_knn": _knn_sql(),
     "score_knn_blocks": _knn_sql(),
     "vote_soft": f"""WITH {EVENTS} SELECT event_id, y, CASE WHEN (p_value + p_user + p_event) / 3.0e0 > 0.5e0 THEN 1 ELSE 0 END AS prediction,

@@ -68,7 +68,7 @@ _EVENT_FOLDS = f"WITH {EVENTS}, src AS (SELECT event_id, y FROM ev), {fold_sql('
 
 ORACLES = {
     "stratified_split": """WITH r AS (
-  SELECT doc_id, quality, row_number() OVER (PARTITION BY quality ORDER BY md5('42:' || doc_id), doc_id) AS pos FROM labels),
+  SELECT doc_id, quality, row_number() OVER (PARTITION BY quality ORDER BY md5('split:42:' || doc_id), doc_id) AS pos FROM labels),
 c AS (SELECT quality, count(*) AS n FROM labels GROUP BY quality),
 t AS (SELECT count(*) AS total, CAST(ceil(round(count(*) * 0.2e0, 9)) AS BIGINT) AS size FROM labels),
 b AS (SELECT quality, size * n // total AS base, (size * n) % total AS rest, size FROM c, t),
@@ -76,7 +76,7 @@ q AS (SELECT quality, base + CASE WHEN row_number() OVER (ORDER BY rest DESC, qu
         THEN 1 ELSE 0 END AS quota FROM b)
 SELECT doc_id, r.quality, pos <= quota AS is_test FROM r JOIN q ON q.quality = r.quality""",
     "random_split": """WITH r AS (
-  SELECT o_orderkey, o_orderstatus, row_number() OVER (ORDER BY md5('42:' || o_orderkey), o_orderkey) AS pos,
+  SELECT o_orderkey, o_orderstatus, row_number() OVER (ORDER BY md5('split:42:' || o_orderkey), o_orderkey) AS pos,
          count(*) OVER () AS n FROM orders)
 SELECT o_orderkey, o_orderstatus, pos <= ceil(round(n * 0.2e0, 9)) AS is_test FROM r""",
     "stratified_kfold": _EVENT_FOLDS + "SELECT event_id, y, fold FROM folded",
@@ -85,7 +85,7 @@ SELECT o_orderkey, o_orderstatus, pos <= ceil(round(n * 0.2e0, 9)) AS is_test FR
     + " SELECT vec_id, label, fold FROM folded",
     "kfold_views": _EVENT_FOLDS
     + "SELECT event_id, y, fold, CASE WHEN fold = 2 THEN 'validation' ELSE 'train' END AS role FROM folded",
-    "sample_n": "SELECT event_id, user_id, value FROM events ORDER BY md5('42:' || event_id), event_id LIMIT 20",
+    "sample_n": "SELECT event_id, user_id, value FROM events ORDER BY md5('sample:42:' || event_id), event_id LIMIT 20",
     "class_distribution": """SELECT event_type, count(*) AS n,
   1.0e0 * count(*) / sum(count(*)) OVER () AS share FROM events GROUP BY event_type""",
     "balanced_weights": """WITH c AS (SELECT toxic, count(*) AS n FROM labels GROUP BY toxic)

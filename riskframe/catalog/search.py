@@ -53,6 +53,27 @@ def search_trials(spark, sf):
     )
 
 
+def _boosted_trials(spark, sf, space, profile):
+    """Two settings of a boosted space, with few and shallow trees so that the query stays short."""
+    settings = table(spark, sf, "region").select(F.col("r_regionkey").alias("trial")).where("trial < 2")
+    small = tune.searchable(space, n_estimators=R.IntRange(4, 8), max_depth=R.IntRange(3, 4))
+    trials = R.pack_params(R.param_space_sample(settings, "trial", small), list(small))
+    build = lambda params: tune.boosted_learner(params, profile)
+    found = tune.search_trials(events(spark, sf), trials, build, FEATURES, "y", "event_id", profile, k=3, parallelism=4)
+    return found.select(
+        "study", "trial", F.col("params")["n_estimators"].alias("n_estimators"),
+        F.col("score").between(0, 1).alias("score_in_range"), (F.size("params") == len(small)).alias("all_settings"),
+    )
+
+
+def search_trials_leafy(spark, sf):
+    return _boosted_trials(spark, sf, R.LEAFY_SPACE, "leafy")
+
+
+def search_trials_deep(spark, sf):
+    return _boosted_trials(spark, sf, R.DEEP_SPACE, "deep")
+
+
 def trial_history(spark, sf):
     return R.trial_history(_trials(spark, sf))
 
@@ -86,6 +107,8 @@ QUERIES = {
         param_space_sample,
         param_space_forest,
         search_trials,
+        search_trials_leafy,
+        search_trials_deep,
         trial_history,
         running_best,
         best_params,
@@ -114,6 +137,13 @@ def _space_sql(space: dict, seed: int) -> str:
     return "SELECT c_custkey AS trial, " + ", ".join(_draw_sql(n, r, seed) for n, r in space.items()) + " FROM customer"
 
 
+def _boosted_sql(profile: str) -> str:
+    u = "(('0x' || substring(md5('42:n_estimators:' || r_regionkey), 1, 8))::BIGINT / 4294967296.0e0)"
+    return f"""SELECT '{profile}' AS study, CAST(r_regionkey AS BIGINT) AS trial,
+  CAST(CAST(4 + floor({u} * 5) AS BIGINT) AS VARCHAR) AS n_estimators, true AS score_in_range, true AS all_settings
+FROM region WHERE r_regionkey < 2"""
+
+
 _TRIALS = """WITH tr AS (
   SELECT o_orderpriority AS study, o_orderkey AS trial, o_totalprice / 500000.0e0 AS score, o_orderstatus AS status,
          CAST(o_custkey AS VARCHAR) AS customer, CAST(year(o_orderdate) AS VARCHAR) AS year FROM orders)"""
@@ -126,6 +156,8 @@ def _numeric_bins(name: str) -> str:
 
 
 ORACLES = {
+    "search_trials_leafy": _boosted_sql("leafy"),
+    "search_trials_deep": _boosted_sql("deep"),
     "param_space_sample": _space_sql(R.LEAFY_SPACE, 42),
     "param_space_forest": _space_sql(R.FOREST_SPACE, 7),
     "trial_history": f"{_TRIALS} SELECT study, trial, score AS accuracy FROM tr",

@@ -11,7 +11,6 @@ from pyspark.sql import types as T
 from riskframe.functions import decode_label as decode_expr
 from riskframe.functions import encode_label
 
-MAX_LEVELS = 1000
 _NUMERIC = (T.NumericType, T.BooleanType)
 
 
@@ -61,8 +60,11 @@ def reduce_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.drop(*columns)
 
 
-def category_levels(df: DataFrame, columns: Sequence[str], limit: int = MAX_LEVELS) -> dict[str, list[str]]:
-    """Sorted levels of each text column, from one pass over the training rows."""
+def category_levels(df: DataFrame, columns: Sequence[str], limit: int | None = None) -> dict[str, list[str]]:
+    """Sorted levels of each text column, from one pass over the training rows.
+
+    Levels become columns, so they have to fit a schema; ``limit`` stops with an error, before any level is
+    fetched, when a column has more of them."""
     if not columns:
         return {}
     pairs = (
@@ -71,13 +73,13 @@ def category_levels(df: DataFrame, columns: Sequence[str], limit: int = MAX_LEVE
         .where("level IS NOT NULL")
         .distinct()
     )
-    rows = pairs.limit(limit * len(columns) + 1).collect()
+    if limit is not None:
+        over = pairs.groupBy("column").count().where(F.col("count") > limit).orderBy("column").first()
+        if over is not None:
+            raise ValueError(f"{over['column']!r} has more than {limit} levels; it is not a category")
     levels: dict[str, list[str]] = {c: [] for c in columns}
-    for row in rows:
+    for row in pairs.collect():
         levels[row["column"]].append(row["level"])
-    for column, found in levels.items():
-        if len(found) > limit or len(rows) > limit * len(columns):
-            raise ValueError(f"{column!r} has more than {limit} levels; it is not a category")
     return {c: sorted(found) for c, found in levels.items()}
 
 

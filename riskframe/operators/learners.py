@@ -377,9 +377,12 @@ class Learner:
 
 
 def score(model: PipelineModel, df: DataFrame, keep: Sequence[str] | None = None) -> DataFrame:
-    """Kept columns plus ``prediction`` (int) and ``probability`` of class 1 (null when there is none)."""
-    keep = list(df.columns if keep is None else keep)
-    scored = model.transform(df)
+    """Kept columns plus ``prediction`` (int) and ``probability`` of class 1 (null when there is none).
+
+    Both come from this model: columns of these names that the table brings along are dropped first."""
+    stale = ("prediction", "probability", "rawPrediction")
+    keep = [c for c in (df.columns if keep is None else keep) if c not in stale]
+    scored = model.transform(df.drop(*stale))
     if "probability" not in scored.columns:
         probability = F.lit(None).cast("double")
     elif isinstance(scored.schema["probability"].dataType, VectorUDT):

@@ -50,9 +50,9 @@ def confusion_wide(matrix: DataFrame, labels: Sequence[int], by: Sequence[str] =
 
 
 def accuracy(df: DataFrame, target: str = "y", prediction: str = "prediction", by: Sequence[str] = ()) -> DataFrame:
-    return df.groupBy(*by).agg(
-        F.count("*").alias("n"), F.avg((F.col(target) == F.col(prediction)).cast("double")).alias("accuracy")
-    )
+    """Share of right predictions over the ``n`` rows that have both a truth and a prediction."""
+    right = (F.col(target) == F.col(prediction)).cast("double")
+    return df.groupBy(*by).agg(F.count(right).alias("n"), F.avg(right).alias("accuracy"))
 
 
 def binary_counts(target: str = "y", prediction: str = "prediction") -> list[Column]:

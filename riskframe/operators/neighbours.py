@@ -1,7 +1,6 @@
 """Exact k-nearest-neighbour vote.
 
-A training table proven small is sent to every task. Beyond that size the join is cut into blocks: both
-sides are placed near pivots, a query only visits the cells its k nearest can lie in (triangle
+The join is cut into blocks: both sides are placed near pivots, a query only visits the cells its k nearest can lie in (triangle
 inequality, so nothing is missed), and cells are cut into blocks of bounded size on both sides. A block
 hands on k rows per query, never its pairs.
 """
@@ -24,9 +23,7 @@ from riskframe.operators.sampling import sample_n
 # tasks get this module's functions with the job, so executors need no installed package
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-BROADCAST_CELLS = 4_000_000  # numbers sent to every task at most: 32 MB of doubles
 BLOCK_ROWS = 20_000
-MAX_PIVOTS = 256
 RINGS = 16
 CHUNK_CELLS = 4_000_000
 
@@ -35,22 +32,35 @@ def _matrix(values: pd.Series) -> np.ndarray:
     return np.stack(values.to_numpy()).astype("float64") if len(values) else np.zeros((0, 0))
 
 
-def _nearest(queries: np.ndarray, points: np.ndarray, keys: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Query positions, point positions and squared distances (6 decimals) of each query's k nearest,
-    ties by point key. The fast product form only narrows the candidates; distances are then exact."""
+def _nearest(
+    queries: np.ndarray, points: np.ndarray, keys: np.ndarray, k: int, digits: int | None = None
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Query positions, point positions and squared distances of each query's k nearest, ties by point key.
+
+    The fast product form, on vectors moved to the points' mean, only narrows the candidates; distances are then
+    taken from the differences, and rounded to ``digits`` where that is asked for."""
     out_q, out_p, out_d = [], [], []
+    if len(points):
+        centre = points.mean(axis=0)
+        queries, points = queries - centre, points - centre
     norms = (points**2).sum(axis=1)
+    step = 0.0 if digits is None else 2.0 * 10.0**-digits
     chunk = max(1, CHUNK_CELLS // max(len(points), 1))
     for start in range(0, len(queries), chunk):
         part = queries[start : start + chunk]
         own = (part**2).sum(axis=1)[:, None]
         rough = own + norms[None, :] - 2.0 * part @ points.T
         if len(points) > k:
-            limit = np.partition(rough, k - 1, axis=1)[:, k - 1 : k] + 2e-6 + 1e-9 * (own + norms.max())
+            limit = np.partition(rough, k - 1, axis=1)[:, k - 1 : k] + step + 1e-12 * (own + norms.max())
             rows, cols = np.nonzero(rough <= limit)
         else:
             rows, cols = (a.ravel() for a in np.indices(rough.shape))
-        exact = np.round(((part[rows] - points[cols]) ** 2).sum(axis=1), 6)
+        exact = np.empty(len(rows))
+        slice_rows = max(1, CHUNK_CELLS // max(1, part.shape[1]))
+        for at in range(0, len(rows), slice_rows):  # many ties must not need a matrix of all pairs
+            here = slice(at, at + slice_rows)
+            exact[here] = ((part[rows[here]] - points[cols[here]]) ** 2).sum(axis=1)
+        exact = exact if digits is None else np.round(exact, digits)
         order = np.lexsort((keys[cols], exact, rows))
         rows, cols, exact = rows[order], cols[order], exact[order]
         first = np.searchsorted(rows, rows)
@@ -72,10 +82,14 @@ def nearest_neighbours(
     label: str,
     k: int = 5,
     block_rows: int = BLOCK_ROWS,
-    broadcast_cells: int = BROADCAST_CELLS,
+    broadcast_cells: int = 0,
     seed: int | str = 42,
+    digits: int | None = None,
 ) -> DataFrame:
-    """(key, neighbour, label, distance, position): the k nearest training rows of every query row."""
+    """(key, neighbour, label, distance, position): the k nearest training rows of every query row.
+
+    ``broadcast_cells`` lets a training table of at most so many numbers go to every task instead. ``digits`` rounds
+    squared distances before they are compared, so that nearer than that is a tie."""
     known = train.where(F.col(vector).isNotNull()).select(F.col(key), F.col(vector), F.col(label))
     asked = queries.where(F.col(vector).isNotNull()).select(F.col(key), F.col(vector))
     size = known.agg(F.count("*").alias("n"), F.max(F.size(vector)).alias("d")).first()
@@ -90,15 +104,15 @@ def nearest_neighbours(
     if not size["n"]:
         found = train.sparkSession.createDataFrame([], schema)
     elif size["n"] * size["d"] <= broadcast_cells:
-        found = _broadcast_search(known, asked, key, vector, label, k, schema)
+        found = _broadcast_search(known, asked, key, vector, label, k, schema, digits)
     else:
-        found = _block_search(known, asked, key, vector, label, k, block_rows, size["n"], seed, schema)
+        found = _block_search(known, asked, key, vector, label, k, block_rows, size["n"], seed, schema, digits)
     # at most k rows per visited block and query
     place = Window.partitionBy(key).orderBy("distance", "neighbour")
     return found.withColumn("position", F.row_number().over(place)).where(F.col("position") <= k)
 
 
-def _broadcast_search(known, asked, key, vector, label, k, schema) -> DataFrame:
+def _broadcast_search(known, asked, key, vector, label, k, schema, digits) -> DataFrame:
     local = known.toPandas()
     points, keys, labels = _matrix(local[vector]), local[key].to_numpy(), local[label].to_numpy()
     shared = known.sparkSession.sparkContext.broadcast((points, keys, labels))
@@ -107,7 +121,7 @@ def _broadcast_search(known, asked, key, vector, label, k, schema) -> DataFrame:
         points, keys, labels = shared.value
         for batch in batches:
             if len(batch):
-                q, p, d = _nearest(_matrix(batch[vector]), points, keys, k)
+                q, p, d = _nearest(_matrix(batch[vector]), points, keys, k, digits)
                 yield pd.DataFrame(
                     {key: batch[key].to_numpy()[q], "neighbour": keys[p], "label": labels[p], "distance": d}
                 )
@@ -115,11 +129,14 @@ def _broadcast_search(known, asked, key, vector, label, k, schema) -> DataFrame:
     return asked.mapInPandas(search, schema)
 
 
-def _block_search(known, asked, key, vector, label, k, block_rows, n, seed, schema) -> DataFrame:
-    pivots = min(MAX_PIVOTS, max(2, int(n**0.5 / 4)))
+def _block_search(known, asked, key, vector, label, k, block_rows, n, seed, schema, digits) -> DataFrame:
+    pivots = max(2, round(2 * n ** (1 / 3)))
     anchors = _matrix(sample_n(known, key, pivots, seed).select(vector).toPandas()[vector])
+    centre = anchors.mean(axis=0)
+    anchors = anchors - centre
 
     def distances(matrix: np.ndarray) -> np.ndarray:
+        matrix = matrix - centre
         squared = (matrix**2).sum(axis=1)[:, None] + (anchors**2).sum(axis=1)[None, :] - 2.0 * matrix @ anchors.T
         return np.sqrt(np.maximum(squared, 0.0))
 
@@ -132,7 +149,7 @@ def _block_search(known, asked, key, vector, label, k, block_rows, n, seed, sche
     placed = known.withColumn("at", place(F.col(vector))).select(key, vector, label, "at.cell", "at.reach")
     widest = placed.agg(F.max("reach")).first()[0] or 1.0
     ring = F.floor(F.col("reach") / F.lit(widest) * (RINGS - 1)).cast("int")
-    # rings: at most MAX_PIVOTS * RINGS rows
+    # rings: RINGS rows for each pivot, of which there are about the cube root of the rows
     rings = (
         placed.groupBy("cell", ring.alias("ring"))
         .agg(F.count("*").alias("rows"), F.min("reach").alias("low"), F.max("reach").alias("high"))
@@ -153,7 +170,8 @@ def _block_search(known, asked, key, vector, label, k, block_rows, n, seed, sche
             order = np.argsort(farthest, axis=1)
             short = (np.cumsum(counts[order], axis=1) < min(k, n)).sum(axis=1)
             bound = np.take_along_axis(farthest, np.take_along_axis(order, short[:, None], axis=1), axis=1)
-            near = nearest <= bound + 1e-3
+            # the product form is off by about a millionth of the largest distances at most, ties by half a digit
+            near = nearest <= bound + 1e-6 * (bound + gaps.max()) + (0.0 if digits is None else 10.0 ** (-digits / 2))
             picked += [np.unique(cells_of[row]).astype("int32").tolist() for row in near]
         return pd.Series(picked, dtype=object)
 
@@ -193,7 +211,7 @@ def _block_search(known, asked, key, vector, label, k, block_rows, n, seed, sche
         if points.empty or queries.empty:
             return pd.DataFrame({key: [], "neighbour": [], "label": [], "distance": []})
         keys, labels = points["point"].to_numpy(), points["point_label"].to_numpy()
-        q, p, d = _nearest(_matrix(queries["query_at"]), _matrix(points["point_at"]), keys, k)
+        q, p, d = _nearest(_matrix(queries["query_at"]), _matrix(points["point_at"]), keys, k, digits)
         asked = queries["query"].to_numpy()[q]
         return pd.DataFrame({key: asked, "neighbour": keys[p], "label": labels[p], "distance": d})
 

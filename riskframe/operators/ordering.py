@@ -22,7 +22,6 @@ from riskframe.functions import hash_order
 
 PREFIX_DIGITS = 3
 MAX_CLASSES = 256
-MAX_BUCKETS = 2048
 
 
 @dataclass(frozen=True)
@@ -114,9 +113,8 @@ def hash_cuts(
 
 
 def shuffle_buckets(df: DataFrame) -> int:
-    """Number of ranges to cut a running total into: the session's shuffle width."""
-    width = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(1, min(width, MAX_BUCKETS))
+    """Number of ranges to cut a running total into: the session's shuffle width, which a job sets by its size."""
+    return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
 def bucket_name(column: str) -> str:

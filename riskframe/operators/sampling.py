@@ -9,13 +9,12 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskframe.functions import hash_order
 from riskframe.operators.ordering import count_classes, count_hash_cells, hash_cuts
 
-SMALL_SAMPLE = 10_000
 HASH = "__hash"
 
 
@@ -72,16 +71,21 @@ def _assign(
         last = len(sizes[label]) - 1
         value = F.expr(f"CASE {' '.join(cases)} ELSE {last} END") if cases else F.lit(last)
         if target is None:
-            return hashed, F.when(F.col(HASH).isNotNull(), value)
+            result = value
+            break
         hit = F.col(target) == F.lit(label)
         result = F.when(hit, value) if result is None else result.when(hit, value)
-    return hashed, F.lit(None).cast("int") if result is None else result
+    # a row without a key has no place in the order and gets no part
+    return hashed, F.lit(None).cast("int") if result is None else F.when(F.col(HASH).isNotNull(), result)
 
 
 def stratified_split(
     df: DataFrame, key: str, target: str, share: float = 0.2, seed: int | str = 42, output: str = "is_test"
 ) -> DataFrame:
-    """Mark a hold-out that keeps class shares. Rows without a class get null."""
+    """Mark a hold-out that keeps class shares. Rows without a key or a class get null.
+
+    The draw has a seed of its own, so a hold-out is never one of the folds drawn with the same number."""
+    seed = f"split:{seed}"
     counts = count_hash_cells(df, key, target, seed)
     quotas = test_quotas(counts.totals, share)
     sizes = {c: [quotas[c], counts.totals[c] - quotas[c]] for c in counts.labels()}
@@ -90,7 +94,8 @@ def stratified_split(
 
 
 def random_split(df: DataFrame, key: str, share: float = 0.2, seed: int | str = 42, output: str = "is_test") -> DataFrame:
-    """Mark a hold-out of ceil(share * n) rows, whatever their class."""
+    """Mark a hold-out of ceil(share * n) rows, whatever their class. Rows without a key get null."""
+    seed = f"split:{seed}"
     counts = count_hash_cells(df, key, None, seed)
     n = sum(counts.totals.values())
     size = ceil_share(n, share)
@@ -101,7 +106,8 @@ def random_split(df: DataFrame, key: str, share: float = 0.2, seed: int | str =
 def stratified_kfold(
     df: DataFrame, key: str, target: str, k: int = 5, seed: int | str = 42, output: str = "fold"
 ) -> DataFrame:
-    """Number rows 0..k-1 so that fold sizes, per class and in total, differ by at most one."""
+    """Number rows 0..k-1 so that fold sizes, per class and in total, differ by at most one. Rows without
+    a key or a class get null."""
     if k < 2:
         raise ValueError("k must be at least 2")
     counts = count_hash_cells(df, key, target, seed)
@@ -115,21 +121,27 @@ def kfold_views(df: DataFrame, fold: int, column: str = "fold") -> tuple[DataFra
 
 
 def sample_n(df: DataFrame, key: str, n: int, seed: int | str = 42) -> DataFrame:
-    """n rows at random. Small samples are a distributed top-n; larger ones a hash cut."""
-    if n <= SMALL_SAMPLE:
-        return df.where(F.col(key).isNotNull()).orderBy(hash_order(key, seed), key).limit(n)
+    """n rows at random, or all if there are fewer; rows without a key are never drawn.
+
+    A hash cut at any n: rows before the cut, and of the copies of the one key at the cut as many as are missing."""
+    seed = f"sample:{seed}"
     counts = count_hash_cells(df, key, None, seed)
-    total = sum(counts.totals.values())
-    if n >= total:
-        return df
-    hashed, part = _assign(df, key, None, seed, {0: [n, total - n]}, counts)
-    return hashed.where(part == 0).drop(HASH)
+    keyed = df.where(F.col(key).isNotNull())
+    if n >= sum(counts.totals.values()):
+        return keyed
+    if n <= 0:
+        return df.limit(0)
+    cut = hash_cuts(df, key, None, seed, counts, {0: [n]})[(0, n)]
+    hashed = keyed.withColumn(HASH, hash_order(key, seed))
+    before = hashed.where(F.col(HASH) < cut)
+    rest = hashed.where(F.col(HASH) == cut).limit(n - before.count())
+    return before.unionByName(rest).drop(HASH)
 
 
 def class_distribution(df: DataFrame, target: str) -> DataFrame:
     """Rows and share per class; null targets are no class."""
     counted = df.where(F.col(target).isNotNull()).groupBy(target).agg(F.count("*").alias("n"))
-    total = F.sum("n").over(Window.partitionBy())  # over class rows, which are sorted in one place anyway
+    total = counted.agg(F.sum("n")).scalar()
     return counted.select(target, "n", (F.col("n").cast("double") / total).alias("share")).orderBy(
         F.col("share").desc(), F.col(target)
     )

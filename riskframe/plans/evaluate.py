@@ -7,8 +7,10 @@ from contextlib import nullcontext
 from dataclasses import dataclass
 from functools import reduce
 
+import json
+
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskframe.functions import decode_label
@@ -21,6 +23,11 @@ from riskframe.operators.sampling import stratified_kfold
 from riskframe.operators.summary import METRICS, all_metrics
 
 
+ENSEMBLE_FILE = "ensemble.json"
+#: Learners whose models give a class only.
+NO_PROBABILITY = frozenset(("linear_svm", "ridge"))
+
+
 @dataclass(frozen=True)
 class Ensemble:
     """A combination of fitted base models: ``kind`` is soft, hard or stack (with a final learner)."""
@@ -32,10 +39,20 @@ class Ensemble:
 
 @dataclass(frozen=True)
 class FittedEnsemble:
+    """Base models and how they are combined. Transforms, saves and loads as any fitted model does."""
+
     base: Mapping[str, PipelineModel]
     kind: str
     final: PipelineModel | None = None
 
+    def transform(self, df: DataFrame) -> DataFrame:
+        """The table with ``prediction`` and ``probability``."""
+        kept_columns = [c for c in df.columns if c not in ("prediction", "probability")]
+        clash = sorted(set(self.base) & set(kept_columns))
+        if clash:
+            raise ValueError(f"columns named like base models: {', '.join(clash)}")
+        return self.score(df, kept_columns)
+
     def score(self, df: DataFrame, keep: Sequence[str]) -> DataFrame:
         names = list(self.base)
         out = [*keep, "prediction", "probability"]
@@ -44,6 +61,36 @@ class FittedEnsemble:
         scored = score_columns(df, self.base, "probability")
         return vote_soft(scored, names).select(*out) if self.kind == "soft" else score(self.final, scored, keep)
 
+    def save(self, path: str, overwrite: bool = False) -> None:
+        """A folder with one saved model for each member and a line that says how to combine them."""
+        spark = SparkSession.active()
+        for name, model in [*self.base.items(), *([("", self.final)] if self.final else [])]:
+            writer = model.write()
+            (writer.overwrite() if overwrite else writer).save(f"{path}/{'members/' + name if name else 'final'}")
+        line = json.dumps({"kind": self.kind, "members": list(self.base), "final": self.final is not None})
+        spark.createDataFrame([(line,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/{ENSEMBLE_FILE}")
+
+    @classmethod
+    def load(cls, path: str) -> FittedEnsemble:
+        line = json.loads(SparkSession.active().read.text(f"{path}/{ENSEMBLE_FILE}").first()[0])
+        base = {name: PipelineModel.load(f"{path}/members/{name}") for name in line["members"]}
+        return cls(base, line["kind"], PipelineModel.load(f"{path}/final") if line["final"] else None)
+
+
+def load_any(path: str) -> PipelineModel | FittedEnsemble:
+    """A saved single model or ensemble."""
+    spark = SparkSession.active()
+    marker = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{ENSEMBLE_FILE}")
+    is_ensemble = marker.getFileSystem(spark._jsc.hadoopConfiguration()).exists(marker)
+    return FittedEnsemble.load(path) if is_ensemble else PipelineModel.load(path)
+
+
+def check_probabilities(learners: Sequence[Learner], ensembles: Sequence[Ensemble]) -> None:
+    """Soft votes and stacks average or learn from probabilities: every base learner has to give one."""
+    without = sorted(learner.name for learner in learners if learner.kind in NO_PROBABILITY)
+    if without and any(e.kind in ("soft", "stack") for e in ensembles):
+        raise ValueError(f"no probabilities for a soft vote or stack: {', '.join(without)}")
+
 
 def fit_base(
     train: DataFrame, learners: Sequence[Learner], features: Sequence[str], target: str, parallelism: int = 2
@@ -68,6 +115,7 @@ def fit_stack(
 
     The folds are made inside the training rows with a seed of their own, apart from evaluation folds.
     """
+    check_probabilities(learners, [Ensemble("stack", "stack", final)])
     with kept(train.select(key, target, *features)) as rows:
         with kept(_meta_table(rows, learners, features, target, key, k, seed, parallelism)) as meta:
             fitted = final.fit(meta, [learner.name for learner in learners], target)
@@ -94,6 +142,7 @@ def fit_panel(
 
     ``hold=False`` is for training rows the caller already keeps in memory.
     """
+    check_probabilities(learners, ensembles)
     narrow = train.select(key, target, *features)
     with kept(narrow) if hold else nullcontext(narrow) as rows:
         base = fit_base(rows, learners, features, target, parallelism)

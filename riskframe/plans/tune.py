@@ -14,11 +14,32 @@ from riskframe.operators.metrics import accuracy
 from riskframe.operators.sampling import stratified_kfold
 from riskframe.plans.evaluate import cross_validate, cv_report
 
+#: Settings of the boosted spaces that Spark ML's boosted trees have a counterpart for.
+BOOSTED_SETTINGS = (
+    "n_estimators max_depth learning_rate subsample colsample_bytree min_child_samples min_child_weight "
+    "min_split_gain gamma scale_pos_weight"
+).split()
+
+
+def searchable(space: Mapping[str, object], **changes: object) -> dict[str, object]:
+    """A boosted space without the settings that have no counterpart, with some ranges replaced."""
+    return {**{name: r for name, r in space.items() if name in BOOSTED_SETTINGS}, **changes}
+
+
 TRIAL_SCHEMA = "study string, trial bigint, params map<string,string>, score double, std double"
 
 
+def _refuse_unknown(params: Mapping[str, str], known: set[str]) -> None:
+    unknown = sorted(set(params) - known)
+    if unknown:
+        raise ValueError(f"settings without a counterpart: {', '.join(unknown)}")
+
+
 def forest_learner(params: Mapping[str, str]) -> Learner:
     """Settings drawn from the forest space as a learner."""
+    _refuse_unknown(
+        params, {"n_estimators", "max_depth", "min_samples_split", "min_samples_leaf", "max_features", "bootstrap"}
+    )
     subset = params.get("max_features", "sqrt")
     return Learner(
         "random_forest",
@@ -53,6 +74,7 @@ def boosted_learner(params: Mapping[str, str], profile: str = "leafy") -> Learne
         "min_split_gain": ("min_gain", float),
         "gamma": ("min_gain", float),
     }
+    _refuse_unknown(params, {*names, "boosting_type", "booster", "reg_alpha", "reg_lambda", "scale_pos_weight"})
     settings = {names[p][0]: names[p][1](v) for p, v in params.items() if p in names}
     weighting = float(params["scale_pos_weight"]) if "scale_pos_weight" in params else "balanced"
     return Learner(f"boosted_{profile}", "boosted_trees", {"profile": profile, **settings}, weighting)

@@ -100,3 +100,31 @@ def test_stack_by_itself(df):
     stack = V.fit_stack(df, BASE, Learner("final", "random_forest", {"trees": 3, "depth": 3}), ["a", "b"], "y", "id", k=3)
     scored = stack.score(df, ["id", "y"])
     assert scored.agg(F.avg((F.col("y") == F.col("prediction")).cast("double"))).first()[0] > 0.75
+
+
+@pytest.mark.parametrize("kind", ["soft", "hard", "stack"])
+def test_saved_ensembles_score_alike(spark, df, tmp_path, kind):
+    from riskframe.operators.scoring import batch_score
+    from riskframe.sources import load_model, save_model
+
+    ensemble = next(e for e in ENSEMBLES if e.kind == kind)
+    model = V.fit_panel(df, BASE, [ensemble], ["a", "b"], "y", "id", k=3)[ensemble.name]
+    path = f"{tmp_path}/{kind}"
+    save_model(model, path)
+    save_model(model, path, overwrite=True)
+    one, two = (batch_score(df, m, ["a", "b"], ["id"]) for m in (model, load_model(path)))
+    assert rows(one) == rows(two)
+
+
+def test_votes_need_probabilities(df):
+    learners = [*BASE, Learner("margin", "linear_svm", {"max_iter": 2})]
+    with pytest.raises(ValueError, match="margin"):
+        V.fit_panel(df, learners, [V.Ensemble("soft", "soft")], ["a", "b"], "y", "id")
+
+
+def test_old_scores_are_not_taken_for_new_ones(df):
+    from riskframe.operators.learners import score
+
+    stale = df.selectExpr("*", "0.99D AS probability", "7 AS prediction")
+    got = score(Learner("margin", "linear_svm", {"max_iter": 2}).fit(df, ["a", "b"], "y"), stale)
+    assert got.where("probability IS NOT NULL OR prediction > 1").count() == 0

@@ -14,21 +14,27 @@ IMPORTANCES = [
     ("Wall_No", 0.03349558067662931, 33), ("ACS_UA", 0.0255562974151001, 0), ("MR_Severe", 0.0036178952041233357, 0),
 ]
 AVERAGES = {"DT": 191.0325860607934, "FS": 143.57464711088966, "Wall_No": 16.516747790338314, "ACS_UA": 0.01277814870755005}
-# Features by the number of methods (lasso, forest, logistic, expert) that chose them in one study.
-FOUR = "LAV Age ICT DT BNP LVIDd FS IRT HR".split()
-THREE = {
-    "LDLc": "LFE", "TC": "LFE", "RBS": "LFE", "Hb": "LFR", "NYHA_III": "LFR", "MPI": "LFR", "ACS_UA": "LFR",
-    "Chest_pain_Present": "LFR", "BMI": "LFE", "LVEF": "LFE", "TG": "LFE",
-}
-TWO = {"EA": "FE", "LVIDs": "FE", "CXR_Normal": "LR", "HDLc": "LF", "TropI": "FE"}
-ONE = {"Cl": "F", "Sex_Male": "L", "K": "F"}
+# An invented vote: which of four methods chose a feature.
+METHODS = ("lasso", "forest", "logistic", "expert")
+VOTES = [
+    ("height", True, True, True, True),
+    ("width", True, True, True, True),
+    ("depth", True, True, False, True),
+    ("colour", True, True, True, False),
+    ("weight", False, True, False, True),
+    ("price", True, False, True, False),
+    ("shape", False, True, False, False),
+    ("age", True, False, False, False),
+]
+
+
+def chosen_by(least):
+    return {row[0] for row in VOTES if sum(row[1:]) >= least}
 
 
 @pytest.fixture(scope="module")
 def votes(spark):
-    chosen = {**{f: "LFRE" for f in FOUR}, **THREE, **TWO, **ONE}
-    by_method = {m: [f for f, ms in chosen.items() if m in ms] for m in "LFRE"}
-    return I.votes_table(spark, by_method)
+    return I.votes_table(spark, {m: [row[0] for row in VOTES if row[1 + i]] for i, m in enumerate(METHODS)})
 
 
 def test_raw_average_and_order(spark):
@@ -51,13 +57,13 @@ def test_normalized_is_scale_free(spark):
 
 
 def test_votes(votes):
-    wide = {r["feature"]: r for r in I.method_votes(votes, list("LFRE")).collect()}
-    assert wide["LAV"]["methods_count"] == 4 and wide["Cl"]["methods_count"] == 1
-    assert (wide["EA"]["L"], wide["EA"]["F"], wide["EA"]["R"], wide["EA"]["E"]) == (False, True, False, True)
-    assert {r[0] for r in I.vote_threshold(votes, 3).collect()} == {*FOUR, *THREE}
-    assert {r[0] for r in I.vote_threshold(votes, 2).collect()} == {*FOUR, *THREE, *TWO}
-    lists = [votes.where(f"method = '{m}'").select("feature") for m in "LFRE"]
-    assert {r[0] for r in I.vote_intersection(lists).collect()} == set(FOUR)
+    wide = {r["feature"]: r for r in I.method_votes(votes, list(METHODS)).collect()}
+    for feature, *picked in VOTES:
+        assert [wide[feature][m] for m in METHODS] == picked and wide[feature]["methods_count"] == sum(picked)
+    assert {r[0] for r in I.vote_threshold(votes, 3).collect()} == chosen_by(3)
+    assert {r[0] for r in I.vote_threshold(votes, 2).collect()} == chosen_by(2)
+    lists = [votes.where(f"method = '{m}'").select("feature") for m in METHODS]
+    assert {r[0] for r in I.vote_intersection(lists).collect()} == chosen_by(4)
 
 
 @pytest.fixture(scope="module")

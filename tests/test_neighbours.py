@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -25,12 +27,12 @@ def _brute(train, queries, k):
 SCHEMA = "id bigint, v array<double>, label int"
 
 
-@pytest.mark.parametrize("options", [{}, {"broadcast_cells": 0, "block_rows": 40}, {"broadcast_cells": 0}])
+@pytest.mark.parametrize("options", [{"broadcast_cells": 10**7}, {"block_rows": 40}, {}])
 @pytest.mark.parametrize("d,k", [(3, 5), (12, 1)])
 def test_neighbours_match_brute_force(spark, options, d, k):
     train, queries = _points(300, d, 1), _points(60, d, 2, start=1000)
     got = N.nearest_neighbours(
-        spark.createDataFrame(train, SCHEMA), spark.createDataFrame(queries, SCHEMA), "id", "v", "label", k, **options
+        spark.createDataFrame(train, SCHEMA), spark.createDataFrame(queries, SCHEMA), "id", "v", "label", k, digits=6, **options
     )
     mine = {}
     for r in got.collect():
@@ -47,7 +49,7 @@ def test_both_sides_from_one_table(spark):
 def test_copies_ties_and_small_tables(spark):
     train = spark.createDataFrame([(i, [0.0, 0.0], i % 2) for i in range(8)], SCHEMA)
     asked = spark.createDataFrame([(100, [0.0, 0.0], 0), (101, [5.0, 5.0], 0)], SCHEMA)
-    for options in ({}, {"broadcast_cells": 0, "block_rows": 3}):
+    for options in ({"broadcast_cells": 10**7}, {"block_rows": 3}):
         near = N.nearest_neighbours(train, asked, "id", "v", "label", 3, **options)
         assert sorted({r["neighbour"] for r in near.collect()}) == [0, 1, 2]
         votes = {r["id"]: (r["prediction"], r["votes"]) for r in N.score_knn(train, asked, "id", "v", "label", 4, **options).collect()}
@@ -64,3 +66,18 @@ def test_blocks_stay_small(spark):
     got = N.nearest_neighbours(train, asked, "id", "v", "label", 2, block_rows=100, broadcast_cells=0)
     assert got.count() == 600
     assert got.agg(F.countDistinct("id")).first()[0] == 300
+
+
+@pytest.mark.parametrize("scale,offset", [(1e-4, 0.0), (1.0, 0.0), (1.0, 1e7)])
+@pytest.mark.parametrize("options", [{}, {"broadcast_cells": 10**7}])
+def test_exact_at_any_scale(spark, scale, offset, options):
+    rng = np.random.default_rng(3)
+    points = rng.random((300, 3)) * scale + offset
+    asked = rng.random((30, 3)) * scale + offset
+    train = spark.createDataFrame([(i, p.tolist(), 0) for i, p in enumerate(points)], "id int, v array<double>, label int")
+    queries = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(asked)], "id int, v array<double>")
+    got: dict = {}
+    for r in N.nearest_neighbours(train, queries, "id", "v", "label", 4, block_rows=50, **options).collect():
+        got.setdefault(r["id"], set()).add(r["neighbour"])
+    for i, q in enumerate(asked):
+        assert got[i] == set(np.argsort(((points - q) ** 2).sum(axis=1), kind="stable")[:4].tolist())

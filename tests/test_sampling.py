@@ -47,7 +47,7 @@ def test_random_split_counts(spark):
     df = spark.range(401)
     got = S.random_split(df, "id", 0.2)
     assert got.where("is_test").count() == 81
-    expected = sorted(range(401), key=lambda i: hashlib.md5(f"42:{i}".encode()).hexdigest())[:81]
+    expected = sorted(range(401), key=lambda i: hashlib.md5(f"split:42:{i}".encode()).hexdigest())[:81]
     assert sorted(r[0] for r in got.where("is_test").select("id").collect()) == sorted(expected)
 
 
@@ -83,13 +83,36 @@ def test_fold_plan_has_no_shuffle(spark):
     assert "Exchange" not in folded._jdf.queryExecution().executedPlan().toString()
 
 
-def test_sample(spark, monkeypatch):
+def test_sample(spark):
     df = spark.range(500)
     few = S.sample_n(df, "id", 20)
     assert few.count() == 20 and rows(few) == rows(S.sample_n(df.repartition(6), "id", 20))
-    monkeypatch.setattr(S, "SMALL_SAMPLE", 5)
-    assert rows(S.sample_n(df, "id", 20)) == rows(few)
-    assert S.sample_n(df, "id", 900).count() == 500
+    expected = sorted(range(500), key=lambda i: hashlib.md5(f"sample:42:{i}".encode()).hexdigest())[:20]
+    assert sorted(r[0] for r in few.collect()) == sorted(expected)
+    assert S.sample_n(df, "id", 900).count() == 500 and S.sample_n(df, "id", 0).count() == 0
+
+
+@pytest.mark.parametrize("n,expected", [(5, 5), (9_999, 9_999), (10_001, 10_001), (25_000, 20_000)])
+def test_sample_of_copies_and_nulls_is_exact(spark, n, expected):
+    df = spark.range(30_000).select(F.when(F.col("id") < 20_000, F.floor(F.col("id") / 5)).alias("k"), "id")
+    got = S.sample_n(df, "k", n)
+    assert got.count() == expected and got.where("k IS NULL").count() == 0
+
+
+def test_rows_without_a_key_get_no_part(spark):
+    df = _keys(spark, {0: 60, 1: 60}).unionByName(spark.createDataFrame([(None, 0), (None, 1)] * 20, "id string, y int"))
+    for got, name in (
+        (S.stratified_kfold(df, "id", "y", 5), "fold"),
+        (S.stratified_split(df, "id", "y"), "is_test"),
+        (S.random_split(df, "id"), "is_test"),
+    ):
+        assert got.where(f"(id IS NULL) <> ({name} IS NULL)").count() == 0
+
+
+def test_hold_out_is_not_a_fold(spark):
+    df = _keys(spark, {0: 500, 1: 500})
+    both = S.stratified_kfold(S.stratified_split(df, "id", "y", 0.2), "id", "y", 5).where("is_test")
+    assert max(r["count"] for r in both.groupBy("fold").count().collect()) < 80
 
 
 def test_distribution_and_weights(spark):

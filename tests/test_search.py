@@ -97,11 +97,24 @@ def test_settings_become_learners():
     }
     boosted = tune.boosted_learner({"n_estimators": "10", "learning_rate": "0.1", "scale_pos_weight": "1.5"}, "deep")
     assert boosted.settings == {"profile": "deep", "rounds": 10, "step": 0.1} and boosted.weighting == 1.5
-    for refused in ({"boosting_type": "dart"}, {"booster": "dart"}, {"reg_alpha": "0.1"}):
+    for refused in ({"boosting_type": "dart"}, {"booster": "dart"}, {"reg_alpha": "0.1"}, {"num_leaves": "31"}):
         with pytest.raises(ValueError, match="counterpart"):
             tune.boosted_learner(refused)
 
 
+def test_forest_refuses_what_it_does_not_know():
+    with pytest.raises(ValueError, match="nonsense"):
+        tune.forest_learner({"n_estimators": "2", "max_depth": "2", "nonsense": "9"})
+
+
+@pytest.mark.parametrize("space,profile", [(R.LEAFY_SPACE, "leafy"), (R.DEEP_SPACE, "deep")])
+def test_every_draw_of_a_searchable_space_is_a_learner(spark, space, profile):
+    kept = tune.searchable(space)
+    drawn = R.pack_params(R.param_space_sample(spark.range(20).toDF("trial"), "trial", kept), list(kept))
+    learners = [tune.boosted_learner(r["params"], profile) for r in drawn.collect()]
+    assert len(learners) == 20 and all(100 <= x.settings["rounds"] <= 1000 for x in learners)
+
+
 def test_search_end_to_end(spark):
     rng = random.Random(4)
     data = [(i, float(i % 10), rng.random(), int(i % 10 >= 5)) for i in range(120)]
