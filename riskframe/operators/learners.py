@@ -281,11 +281,15 @@ def fit_adaboost(
     features = list(features)
     rows = _rows(df, features, target, None)
     binner = range_buckets(rows, features, bins)
+    # a missing feature counts as above every threshold, here and when scoring
+    top = [len(s) - 1 for s in binner.getSplitsArray()]
+    codes = [
+        F.when(F.col(f).isNull(), F.lit(top[j])).otherwise(F.col(bucket_name(f)).cast("int")).alias(f"b{j}")
+        for j, f in enumerate(features)
+    ]
     coded = (
         binner.transform(rows)
-        .select(
-            (F.col(target) == 1).alias("pos"), *[F.col(bucket_name(f)).cast("int").alias(f"b{j}") for j, f in enumerate(features)]
-        )
+        .select((F.col(target) == 1).alias("pos"), *codes)
         .persist(StorageLevel.MEMORY_AND_DISK)
     )
     edges = [np.array(s[1:-1]) for s in binner.getSplitsArray()]

@@ -85,7 +85,8 @@ class GaussianScorer(_Scorer):
             for j, name in enumerate(names):
                 gap = F.col(name).cast("double") - F.lit(means[c * d + j])
                 spread = variances[c * d + j]
-                terms.append(F.log(F.lit(spread)) + gap * gap / F.lit(spread))
+                # a missing feature says nothing about the class, as the fit leaves it out of means and variances
+                terms.append(F.coalesce(F.log(F.lit(spread)) + gap * gap / F.lit(spread), F.lit(0.0)))
             result[label] = F.lit(priors[c]) - F.lit(0.5) * reduce(lambda x, y: x + y, terms)
         return result
 
@@ -120,7 +121,8 @@ class StumpScorer(_Scorer):
     def raw(self) -> Column:
         total = sum(self._value(self.alphas)) or 1.0
         votes = [
-            F.when(F.col(name).cast("double") >= t, F.lit(a * s)).otherwise(F.lit(-a * s))
+            # a missing feature counts as above every threshold, as in the fit
+            F.when(F.coalesce(F.col(name).cast("double") >= t, F.lit(True)), F.lit(a * s)).otherwise(F.lit(-a * s))
             for name, t, s, a in zip(
                 self._value(self.split_on),
                 self._value(self.thresholds),

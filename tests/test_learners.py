@@ -140,3 +140,13 @@ def test_null_targets_are_left_out(spark, df):
     one = L.fit_logistic(df, FEATURES, "y").stages[-1].coefficients
     two = L.fit_logistic(df.unionByName(extra), FEATURES, "y").stages[-1].coefficients
     assert list(one) == pytest.approx(list(two), abs=1e-6)
+
+
+def test_missing_features_are_scored_as_they_were_fitted(spark):
+    data = [(i, None if i % 2 else float(i % 10), i % 2) for i in range(400)]
+    df = spark.createDataFrame(data, "id int, a double, y int")
+    stumps = L.score(L.fit_adaboost(df, ["a"], "y", rounds=1), df)
+    assert stumps.where("a IS NULL AND prediction <> y").count() == 0
+    spread = spark.createDataFrame([(i, float(i % 7), None if i % 3 else 1.0 + i % 2, i % 2) for i in range(60)], "id int, a double, b double, y int")
+    bayes = L.score(L.fit_naive_bayes(spread, ["a", "b"], "y"), spread)
+    assert bayes.where("probability IS NULL").count() == 0
