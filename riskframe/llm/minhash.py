@@ -6,9 +6,9 @@ of consecutive ranks per shingle therefore serves all coordinates.  Coordinates
 in a band become candidates, and links are confirmed on the full shingle sets.
 
 Documents with equal sets are one node, so copies are combined before anything moves.  A bucket never lists all its
-pairs: each of its nodes is first compared with the bucket's hub, linked nodes are contracted to components, and only
-nodes of different components that still share a bucket are compared further.  The component is the result, and pairs
-that are left out lie inside one component already.
+pairs: each of its nodes is first compared with the bucket's hub, and linked nodes are contracted to components.  Buckets
+that still hold several components are cut into blocks; tasks compare the sets of two blocks at a time and hand on the
+links that join components.  The component is the result, and pairs that are left out lie inside one already.
 
 Null or empty texts and texts without words have no shingles and no links.  Repeated rows have equal sets and share a
 component.  A null doc_id never names a component that has another id.  An empty table gives an empty result.
@@ -32,6 +32,8 @@ RING_BITS = 20
 MOST_BANDS, MISS = 40, 1e-6
 #: Rounds in which nodes are compared with hubs only.
 HUB_ROUNDS = 2
+#: Rows, and numbers in their shingle sets, of a block of a bucket.
+BLOCK_ROWS, BLOCK_NUMBERS = 1_000, 2_000_000
 UPPER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
@@ -171,8 +173,8 @@ def alike(pairs: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
     return both.select("a", "b", "low_a", "low_b").mapInArrow(run, "a long, b long")
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Pairs with 100 * intersection >= percent * union of their full shingle sets."""
+def shingle_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
+    """(node, hashes) of the wanted documents: their sorted distinct shingles."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
@@ -180,6 +182,14 @@ def confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFr
             found = [shingles(t, k, hashes).tobytes() for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.large_binary())], names=["node", "hashes"])
 
+    texts = docs.select(F.col("doc_id").cast("long").alias("node"), text_or_empty().alias("text"))
+    # The wanted ids have no size bound, so they are never broadcast.
+    return texts.join(wanted.hint("merge"), "node", "left_semi").mapInArrow(sets, "node long, hashes binary")
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs with 100 * intersection >= percent * union of their full shingle sets."""
+
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             good = []
@@ -192,49 +202,96 @@ def confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFr
                 good.append(100 * both >= percent * (len(left) + len(right) - both))
             yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
 
-    wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("node"), F.col("set_text").alias("text")).join(wanted, "node", "left_semi")
-    full = written(texts.mapInArrow(sets, "node long, hashes binary"), "sets")
-    both = pairs.join(full.toDF("a", "left"), "a").join(full.toDF("b", "right"), "b")
+    both = pairs.join(sets.toDF("a", "left"), "a").join(sets.toDF("b", "right"), "b")
     return both.select("a", "b", "left", "right").mapInArrow(check, "a long, b long")
 
 
+def block_links(nodes: list[int], roots: list[int], sides: list[int], sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Links that join different components within a block, or between its two sides, on full sets.
+
+    One link for each two components that meet is enough.  Nodes of the largest component are only looked up."""
+    sizes = np.array([len(x) for x in sets])
+    flat, starts = np.unique(np.concatenate(sets), return_inverse=True)[1], np.concatenate([[0], np.cumsum(sizes)[:-1]])
+    marks, label, side = np.zeros(int(flat.max()) + 1, bool), np.array(roots), np.array(sides)
+    values, counts = np.unique(label, return_counts=True)
+    largest, found = values[counts.argmax()], []
+    for i in np.flatnonzero(label != largest):
+        own = flat[starts[i] : starts[i] + sizes[i]]
+        marks[own] = True
+        both = np.add.reduceat(marks[flat].astype(np.int64), starts)
+        marks[own] = False
+        close = 100 * both >= percent * (sizes + sizes[i] - both)
+        if sides[0] != sides[-1]:
+            close &= side != side[i]
+        for j in np.flatnonzero(close & (label != label[i])):
+            if label[j] != label[i]:
+                found.append((nodes[i], nodes[j]))
+                label[label == label[j]] = label[i]
+    return found
+
+
+def block_pairs(buckets: DataFrame, sets: DataFrame, percent: int, rows: int = BLOCK_ROWS, numbers: int = BLOCK_NUMBERS) -> DataFrame:
+    """Links between different components that share a bucket.  A bucket is cut into blocks of bounded rows and set
+    sizes; every two blocks meet in one group, which compares their sets and hands on joining links only."""
+    size = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("total"))
+    blocks = F.greatest(F.ceil(F.col("c") / rows), F.ceil(F.col("total") / numbers)).cast("int")
+    placed = buckets.join(size.select("key", blocks.alias("blocks")), "key")
+    placed = placed.withColumn("own", F.pmod(F.xxhash64("node", "key"), F.col("blocks")).cast("int"))
+    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    placed = placed.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "root")
+
+    def check(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("own", "ascending"), ("node", "ascending")])
+        nodes, roots, sides = (table.column(c).to_pylist() for c in ("node", "root", "own"))
+        found = []
+        if min(roots) < max(roots):
+            hashes = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("hashes")]
+            found = block_links(nodes, roots, sides, hashes, percent)
+        columns = list(zip(*found)) or [(), ()]
+        return pa.table({"a": pa.array(columns[0], pa.int64()), "b": pa.array(columns[1], pa.int64())})
+
+    return placed.join(sets, "node").groupBy("key", "i", "j").applyInArrow(check, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, seed: int = 7) -> DataFrame:
-    """One row per input row: doc_id, n_shingles, component_id, kept."""
+    """One row per input row: doc_id, n_shingles, component_id, kept.
+
+    A doc_id names a document; should rows with different texts share one, links of either text are links of the id."""
     threshold = percent / 100
     rows = written(features(docs, k, threshold, seed), "features")
-    sets = rows.where("set_id IS NOT NULL AND doc_id IS NOT NULL").groupBy("set_id")
-    nodes = written(sets.agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("low").alias("low")), "nodes")
+    groups = rows.where("set_id IS NOT NULL AND doc_id IS NOT NULL").groupBy("set_id")
+    nodes = written(groups.agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("low").alias("low")), "nodes")
     members = nodes.select("node", "n", F.explode("bands").alias("key"))
-    shared = members.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key")
-    buckets = written(members.join(shared, "key", "left_semi").withColumn("root", F.col("node")), "buckets")
-    # A document stands for its set; where an id repeats, the row with that set is the one to read.
-    readable = docs.select("doc_id", text_or_empty().alias("set_text"))
-    close = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)
+    shared = members.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    buckets = written(members.join(shared, "key").withColumn("root", F.col("node")), "buckets")
+    # Nodes of many and full buckets are central: most others differ least from them.
+    central = buckets.groupBy("node").agg(F.sum("c").alias("weight"))
+    buckets = written(buckets.drop("c").join(central, "node"), "buckets")
+    sets = written(shingle_sets(docs.select("doc_id", "text"), buckets.select("node").distinct(), k), "sets")
+    close = 100 * F.least("n", "n_b") >= percent * F.greatest("n", "n_b")
     links = None
-    for turn in range(HUB_ROUNDS + 1):
-        if turn < HUB_ROUNDS:
-            hub = F.min(F.struct(F.xxhash64(F.lit(turn), "node").alias("h") if turn else F.col("node").alias("h"), "node", "n", "root")).alias("hub")
-            hubs = buckets.groupBy("key").agg(hub).select("key", "hub.*").toDF("key", "h", "b", "n_b", "root_b")
-        else:
-            hubs = buckets.select("key", F.lit(0).alias("h"), F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("root").alias("root_b"))
-        apart = (F.col("root") < F.col("root_b")) if turn == HUB_ROUNDS else (F.col("root") != F.col("root_b"))
-        pairs = buckets.join(hubs, "key").where(apart & close(F.col("n"), F.col("n_b")))
+    for turn in range(HUB_ROUNDS):
+        order = F.col("weight") if turn == 0 else F.xxhash64(F.lit(turn), "node")
+        hubs = buckets.groupBy("key").agg(F.max(F.struct(order.alias("h"), "node", "n", "root")).alias("hub")).select("key", "hub.*").toDF("key", "h", "b", "n_b", "root_b")
+        pairs = buckets.join(hubs, "key").where((F.col("root") != F.col("root_b")) & close)
         pairs = written(pairs.select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct(), "pairs")
-        good = written(alike(pairs, nodes, threshold), "alike")
-        found = confirmed(good, readable, k, percent)
-        links = written(found if links is None else links.unionByName(found), "confirmed")
-        links = written(components(links).select(F.col("node").alias("a"), F.col("root").alias("b")), "roots")
-        if turn < HUB_ROUNDS:
-            roots = links.toDF("node", "new")
-            placed = buckets.join(roots, "node", "left").withColumn("root", F.coalesce("new", "root")).drop("new")
-            mixed = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
-            buckets = written(placed.join(mixed, "key", "left_semi"), "buckets")
+        found = confirmed(alike(pairs, nodes, threshold), sets, percent)
+        links = rooted(found if links is None else links.unionByName(found))
+        # Only buckets that still hold several components are looked at again.
+        placed = buckets.join(links.toDF("node", "new"), "node", "left").withColumn("root", F.coalesce("new", "root")).drop("new")
+        mixed = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
+        buckets = written(placed.join(mixed, "key", "left_semi"), "buckets")
+    links = rooted(links.unionByName(block_pairs(buckets, sets, percent)))
     labels = nodes.join(links.toDF("node", "root"), "node", "left").select("set_id", F.coalesce("root", "node").alias("root"))
     out = rows.join(labels, "set_id", "left").select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
+def rooted(links: DataFrame) -> DataFrame:
+    """Links from every node that has any to the root of its component."""
+    return written(components(written(links, "confirmed")).select(F.col("node").alias("a"), F.col("root").alias("b")), "roots")
+
+
 def drop_near_copies(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """One document of each component, with the columns of the input."""
     gone = near_duplicates(docs, k, percent).where("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
