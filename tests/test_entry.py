@@ -3,6 +3,7 @@ import os
 import pytest
 
 import __spark_entry__ as entry_module
+from riskframe.catalog import all_queries
 from tools.check_queries import compare
 
 SMALL = entry_module.SMALL
@@ -11,6 +12,7 @@ needs_tables = pytest.mark.skipif(not os.path.isdir(SMALL), reason="test tables
 
 
 def test_every_oracle_has_a_query():
+    assert set(all_queries()) <= set(entry_module.queries())
     assert set(entry_module.oracle_sql()) <= set(entry_module.queries())
 
 
@@ -21,6 +23,6 @@ def test_entry(spark):
 
 
 @needs_tables
-@pytest.mark.parametrize("name", sorted(set(entry_module.queries()) - SLOW))
+@pytest.mark.parametrize("name", sorted(set(all_queries()) - SLOW))
 def test_query(spark, name):
     assert compare(spark, SMALL, name) == []
