@@ -4,7 +4,9 @@ The pages of a host are merged into a tree of style nodes (the path of tags and
 sequence of child tags it shows on each page, its content the text blocks right below it.  Both are measured by entropy
 over the host's pages: presentation that never varies and blocks that many pages share carry no information.  Branches of
 low importance are cut from every page of the host.  Roles that markup states outright (nav, footer, class="ad",
-comments, ...) have importance 0, an article or main element 1, as priors of the same measure.
+comments, ...) have importance 0, an article or main element 1, as priors of the same measure: what is around it goes, it is
+never cut as a whole, and branches inside it are cut at half the importance (``MAIN_CUT``).  A repeated block that shares its
+path with blocks that vary is no branch of its own and stays.
 
 Null html is an empty page; a null url is a page of a host of its own that is never measured.  Repeated pages count as
 pages.  Hosts with fewer than ``LEAST_PAGES`` pages show nothing about their layout: only the priors apply.  A page whose
@@ -25,6 +27,10 @@ from pyspark.sql import functions as F
 from riskframe.llm.common import written
 
 LEAST_PAGES, CUT = 4, 0.2
+#: Share of the cut that holds for branches inside an article or main element.
+MAIN_CUT = 0.5
+#: Ends the path of a branch that is low enough to be cut there too; no path has it.
+DEEP = ">"
 #: Share of a node's importance that its content has; the rest is presentation.
 CONTENT = 0.9
 #: Entries (host, path) up to which the cut branches go to every task; a larger table is joined by shuffle.
@@ -60,7 +66,7 @@ class Page:
     """Text blocks of a page with their style paths, and the child tags of its elements."""
 
     def __init__(self, html: str):
-        self.blocks: list[tuple[str, str, bool]] = []  # path, text, inside an article or main element
+        self.blocks: list[tuple[str, str, int]] = []  # path, text, steps of the path down to an article or main element (0: none)
         self.children: list[tuple[str, str]] = []  # path, tags of the children
         self.stack: list[list] = []  # tag, path, silent, main, child tags
         self.parts: list[str] = []
@@ -98,7 +104,7 @@ class Page:
             text = " ".join((unescape(raw) if "&" in raw else raw).split())
             if text:
                 top = next((x for x in reversed(self.stack) if x[0] in BLOCK), None)
-                self.blocks.append((top[1] if top else "", text, bool(top and top[3])))
+                self.blocks.append((top[1] if top else "", text, top[3] if top else 0))
 
     def open(self, name: str, attributes: str) -> None:
         if name in BLOCK:
@@ -112,10 +118,10 @@ class Page:
             above[4].append(name)
         if name in VOID:
             return
-        silent, main = (above[2], above[3]) if above else (False, False)
-        label = name
+        silent, main = (above[2], above[3]) if above else (False, 0)
+        label, path, depth = name, above[1] if above else "", above[1].count("/") + 1 if above else 1
         if name in MAIN:
-            main = True
+            main = main or depth
         silent = silent or name in SILENT or name in ROLE_TAGS or (name == "header" and not main)
         if attributes and not attributes.isspace():
             for a in ATTRIBUTE.finditer(attributes):
@@ -125,11 +131,11 @@ class Page:
                     label += "." + ".".join(x for x in found if x)
                     silent = silent or (name not in MAIN and name not in ("html", "body") and not ROLE_WORDS.isdisjoint(found))
                 elif kind == "role":
-                    main = main or value in ("main", "article")
+                    main = main or (depth if value in ("main", "article") else 0)
                     silent = silent or value in ROLES
                 elif (kind == "hidden" and name not in ("html", "body")) or (kind == "aria-hidden" and value == "true") or (kind == "style" and "display:none" in value.replace(" ", "")):
                     silent = True
-        self.stack.append([name, f"{above[1] if above else ''}/{label}", silent, main, []])
+        self.stack.append([name, f"{path}/{label}", silent, main, []])
 
     def end_open(self, name: str) -> None:
         """End an open element of the same kind, as the markup's rules do, unless a container stands between."""
@@ -156,15 +162,19 @@ class Page:
 
     def main_text(self, cut: frozenset[int]) -> str:
         """Blocks in page order without cut branches; those of an article or main element where the page has one."""
-        chosen = [b for b in self.blocks if b[2]] or [b for b in self.blocks if not self.is_cut(b[0], cut)]
-        return "\n\n".join(b[1] for b in chosen)
+        chosen = [b for b in self.blocks if b[2]] or self.blocks
+        left = [b for b in chosen if not self.is_cut(b[0], cut, b[2])]
+        if not left and chosen and chosen[0][2]:
+            left = chosen
+        return "\n\n".join(b[1] for b in left)
 
     @staticmethod
-    def is_cut(path: str, cut: frozenset[int]) -> bool:
+    def is_cut(path: str, cut: frozenset[int], main: int = 0) -> bool:
+        """Whether a step of the path is cut; below an article or main element only the steps inside it count."""
         if not cut:
             return False
-        steps = path.split("/")
-        return any(key("/".join(steps[: i + 1])) in cut for i in range(1, len(steps)))
+        steps, mark = path.split("/"), DEEP if main else ""
+        return any(key("/".join(steps[: i + 1]) + mark) in cut for i in range(main + 1, len(steps)))
 
 
 def host() -> Column:
@@ -224,7 +234,8 @@ def importance(pages: DataFrame) -> DataFrame:
 def extract(pages: DataFrame, least_pages: int = LEAST_PAGES, cut: float = CUT) -> DataFrame:
     """One row per page: page_id, url, text, n_chars."""
     low = importance(pages).where((F.col("pages") >= least_pages) & (F.col("importance") < cut))
-    low = written(low.groupBy("host").agg(F.collect_set("path").alias("paths")), "cut")
+    marked = F.when(F.col("importance") < cut * MAIN_CUT, F.array("path", F.concat("path", F.lit(DEEP)))).otherwise(F.array("path"))
+    low = written(low.groupBy("host").agg(F.flatten(F.collect_set(marked)).alias("paths")), "cut")
     size = low.agg(F.sum(F.size("paths"))).first()[0] or 0
     low = F.broadcast(low) if size <= MOST_SENT else low
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))

@@ -62,3 +62,10 @@ def test_empty_clashes_and_large_cut(spark, monkeypatch):
     assert same(want, style_tree.extract(more))
     monkeypatch.setattr(style_tree, "MOST_SENT", 0)
     assert same(want, style_tree.extract(plain))
+
+
+def test_a_repeated_notice_inside_an_article_goes(spark):
+    page = "<html><body><{0}><div class=x><p>Follow us on all channels</p></div><div class=y><h2>Head {1}</h2><p>story {1} is long</p></div></{0}></body></html>"
+    rows = [(i, f"http://{tag}.example/{i}", page.format(tag, i)) for tag in ("article", "main") for i in range(9)]
+    got = {(r.page_id, r.text) for r in style_tree.extract(spark.createDataFrame(rows, PAGES)).collect()}
+    assert got == {(i, f"Head {i}\n\nstory {i} is long") for i in range(9)}
