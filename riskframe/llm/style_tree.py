@@ -8,9 +8,9 @@ comments, ...) have importance 0, an article or main element 1, as priors of the
 never cut as a whole, and branches inside it are cut at half the importance (``MAIN_CUT``).  A repeated block that shares its
 path with blocks that vary is no branch of its own and stays.
 
-Null html is an empty page; a null url is a page of a host of its own that is never measured.  Repeated pages count as
-pages.  Hosts with fewer than ``LEAST_PAGES`` pages show nothing about their layout: only the priors apply.  A page whose
-text is all markup has an empty text.
+Null html is an empty page; a null url is a page of a host of its own that is never measured.  Pages of a host with
+the same nodes and blocks count as one.  Hosts with fewer than ``LEAST_PAGES`` distinct pages show nothing about their layout:
+only the priors apply.  A page whose text is all markup has an empty text.
 """
 
 from __future__ import annotations
@@ -182,23 +182,25 @@ def host() -> Column:
 
 
 def style_rows(pages: DataFrame) -> DataFrame:
-    """(host, path, above, kind, feature) of every page: kind 0 the node itself, 1 its child tags, 2 a text block."""
+    """(host, path, kind, feature) of every distinct page of a host: kind 0 the node itself, 1 its child tags, 2 a text block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[tuple] = []
-            for where, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            content, many = [], []
+            for html in batch.column(1).to_pylist():
                 page = Page(html)
                 seen = {(path, 1, key(tags)) for path, tags in page.children} | {(path, 2, key(text)) for path, text, _ in page.blocks}
                 seen |= {(path, 0, 0) for path, _, _ in seen}
-                out += [(where, p, k, f) for p, k, f in seen]
-            columns = list(zip(*out)) or [(), (), (), ()]
-            types = (pa.string(), pa.string(), pa.int32(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["host", "path", "kind", "feature"])
+                rows = sorted(seen)
+                content.append(xxhash.xxh3_128_digest(repr(rows)))
+                many.append([{"path": p, "kind": k, "feature": f} for p, k, f in rows])
+            rows_type = pa.list_(pa.struct([("path", pa.string()), ("kind", pa.int32()), ("feature", pa.int64())]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(content, pa.binary()), pa.array(many, rows_type)], names=["host", "content", "rows"])
 
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))
     rows = pages.select(host().alias("host"), html.alias("html")).where("host <> ''")
-    return rows.mapInArrow(run, "host string, path string, kind int, feature long")
+    rows = rows.mapInArrow(run, "host string, content binary, rows array<struct<path:string,kind:int,feature:long>>")
+    return rows.dropDuplicates(["host", "content"]).select("host", F.inline("rows"))
 
 
 def importance(pages: DataFrame) -> DataFrame:

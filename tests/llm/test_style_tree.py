@@ -69,3 +69,12 @@ def test_a_repeated_notice_inside_an_article_goes(spark):
     rows = [(i, f"http://{tag}.example/{i}", page.format(tag, i)) for tag in ("article", "main") for i in range(9)]
     got = {(r.page_id, r.text) for r in style_tree.extract(spark.createDataFrame(rows, PAGES)).collect()}
     assert got == {(i, f"Head {i}\n\nstory {i} is long") for i in range(9)}
+
+
+def test_copies_of_a_page_do_not_make_its_text_layout(spark):
+    page = "<html><body><div class=text><p>story {0} here</p><p>more of {0}</p></div></body></html>"
+    rows = [(i, f"http://one.example/{i}", page.format("a")) for i in range(9)]
+    rows += [(20 + i, f"http://two.example/{i}", page.format("ab"[i % 2])) for i in range(60)]
+    rows += [(100 + i, f"http://many.example/{i}", page.format("x" if i < 30 else i)) for i in range(36)]
+    got = {r.page_id: r.text for r in style_tree.extract(spark.createDataFrame(rows, PAGES)).collect()}
+    assert all(got[r[0]].startswith("story ") and "\n\nmore of " in got[r[0]] for r in rows)
