@@ -8,6 +8,11 @@ comments, ...) have importance 0, an article or main element 1, as priors of the
 never cut as a whole, and branches inside it are cut at half the importance (``MAIN_CUT``).  A repeated block that shares its
 path with blocks that vary is no branch of its own and stays.
 
+A class or id with a word of a role, and a form, are weak priors outside an article or main element: such an element counts
+where the page's only article or main element is below it, or where it holds more than half of the page's text and the page
+has neither; the measure then decides on its branches.  Elements named after comments, whose text varies as main text does,
+count only on pages that have nothing else.
+
 Null html is an empty page; a null url is a page of a host of its own that is never measured.  Pages of a host with
 the same nodes and blocks count as one.  Hosts with fewer than ``LEAST_PAGES`` distinct pages show nothing about their layout:
 only the priors apply.  A page whose text is all markup has an empty text.
@@ -48,14 +53,17 @@ BLOCK = frozenset(
     "figure figcaption header footer nav aside form fieldset address details summary hr menu dialog center".split()
 )
 #: What states a role that is not main text.
-ROLE_TAGS = frozenset("nav footer aside form menu dialog".split())
+ROLE_TAGS = frozenset("nav footer aside menu dialog".split())
 ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog menu menubar form".split())
 ROLE_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo banner sidebar menu nav navbar navigation breadcrumb "
     "breadcrumbs footer cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe signup login share "
     "sharing social related recommended comment comments reply replies respond disqus pagination pager skip copyright masthead".split()
 )
+COMMENT_WORDS = frozenset("comment comments reply replies respond disqus".split())
 MAIN = frozenset(("article", "main"))
+#: Kinds of weak elements.
+WEAK, COMMENTS = 1, 2
 
 
 def key(text: str) -> int:
@@ -68,7 +76,10 @@ class Page:
     def __init__(self, html: str):
         self.blocks: list[tuple[str, str, int]] = []  # path, text, steps of the path down to an article or main element (0: none)
         self.children: list[tuple[str, str]] = []  # path, tags of the children
-        self.stack: list[list] = []  # tag, path, silent, main, child tags
+        self.block_weak: list[int] = []  # number of the closest weak element around a block (-1: none)
+        self.child_weak: list[int] = []
+        self.weak: list[tuple[int, int]] = []  # kind of a weak element, number of the weak element around it
+        self.stack: list[list] = []  # tag, path, silent, main, child tags, number of the weak element
         self.parts: list[str] = []
         at, n = 0, len(html)
         while at < n:
@@ -92,6 +103,7 @@ class Page:
         while self.stack:
             self.close(self.stack[-1][0])
         self.flush()
+        self.weigh()
 
     def text(self, piece: str) -> None:
         if piece and not (self.stack and self.stack[-1][2]):
@@ -105,6 +117,7 @@ class Page:
             if text:
                 top = next((x for x in reversed(self.stack) if x[0] in BLOCK), None)
                 self.blocks.append((top[1] if top else "", text, top[3] if top else 0))
+                self.block_weak.append(top[5] if top else -1)
 
     def open(self, name: str, attributes: str) -> None:
         if name in BLOCK:
@@ -119,6 +132,8 @@ class Page:
         if name in VOID:
             return
         silent, main = (above[2], above[3]) if above else (False, 0)
+        weak = above[5] if above else -1
+        doubt = WEAK if name == "form" else 0
         label, path, depth = name, above[1] if above else "", above[1].count("/") + 1 if above else 1
         if name in MAIN:
             main = main or depth
@@ -129,13 +144,21 @@ class Page:
                 if kind in ("class", "id") and value:
                     found = re.split(r"[^a-z]+", value)
                     label += "." + ".".join(x for x in found if x)
-                    silent = silent or (name not in MAIN and name not in ("html", "body") and not ROLE_WORDS.isdisjoint(found))
+                    if name not in MAIN and name not in ("html", "body") and not ROLE_WORDS.isdisjoint(found):
+                        doubt = max(doubt, WEAK if COMMENT_WORDS.isdisjoint(found) else COMMENTS)
                 elif kind == "role":
                     main = main or (depth if value in ("main", "article") else 0)
                     silent = silent or value in ROLES
                 elif (kind == "hidden" and name not in ("html", "body")) or (kind == "aria-hidden" and value == "true") or (kind == "style" and "display:none" in value.replace(" ", "")):
                     silent = True
-        self.stack.append([name, f"{path}/{label}", silent, main, []])
+        if doubt and main and main < depth:
+            silent = True
+        elif doubt and not main and not silent and name in BLOCK:
+            self.weak.append((doubt, weak))
+            weak = len(self.weak) - 1
+        elif doubt and not main:
+            silent = True
+        self.stack.append([name, f"{path}/{label}", silent, main, [], weak])
 
     def end_open(self, name: str) -> None:
         """End an open element of the same kind, as the markup's rules do, unless a container stands between."""
@@ -154,12 +177,39 @@ class Page:
         while self.stack:
             if self.stack[-1][0] in BLOCK:
                 self.flush()
-            tag, path, silent, _, tags = self.stack.pop()
+            tag, path, silent, _, tags, weak = self.stack.pop()
             if tags and not silent:
                 self.children.append((path, " ".join(tags)))
+                self.child_weak.append(weak)
             if tag == name:
                 return
 
+    def weigh(self) -> None:
+        """Leave out the weak elements that nothing outweighs."""
+        if not self.weak:
+            return
+        around: dict[int, list[int]] = {-1: []}
+        for w, (_, outer) in enumerate(self.weak):
+            around[w] = [*around[outer], w]
+        whole = list(zip(self.blocks, self.block_weak))
+        count: set[int] = set()
+        if not any(b[2] and w < 0 for b, w in whole):
+            for w in {w for b, w in whole if b[2]}:
+                if all(self.weak[x][0] == WEAK for x in around[w]):
+                    count.update(around[w])
+            if not count:
+                size = [0] * len(self.weak)
+                for b, w in whole:
+                    for x in around[w]:
+                        size[x] += len(b[1])
+                total = sum(len(b[1]) for b, _ in whole)
+                count = {w for w, (kind, _) in enumerate(self.weak) if kind == WEAK and 2 * size[w] > total}
+            if not any(count.issuperset(around[w]) for _, w in whole):
+                for w, (kind, _) in enumerate(self.weak):
+                    count.update(around[w] if kind == COMMENTS else ())
+        self.blocks = [b for b, w in whole if count.issuperset(around[w])]
+        self.children = [c for c, w in zip(self.children, self.child_weak) if count.issuperset(around[w])]
+
     def main_text(self, cut: frozenset[int]) -> str:
         """Blocks in page order without cut branches; those of an article or main element where the page has one."""
         chosen = [b for b in self.blocks if b[2]] or self.blocks

@@ -78,3 +78,15 @@ def test_copies_of_a_page_do_not_make_its_text_layout(spark):
     rows += [(100 + i, f"http://many.example/{i}", page.format("x" if i < 30 else i)) for i in range(36)]
     got = {r.page_id: r.text for r in style_tree.extract(spark.createDataFrame(rows, PAGES)).collect()}
     assert all(got[r[0]].startswith("story ") and "\n\nmore of " in got[r[0]] for r in rows)
+
+
+def test_role_words_do_not_silence_the_page():
+    for name in ("layout no-sidebar", "with-sidebar", "ad-free", "page-has-banner", "post-share-enabled"):
+        assert text(f'<body><nav>m</nav><div class="{name}"><article><p>story</p><div class="share">s</div></article></div></body>') == "story"
+        assert text(f'<body><p>top</p><div class="{name}"><p>a long story of many words</p></div></body>') == "top\n\na long story of many words"
+    assert text("<body><form><main><p>story</p></main></form></body>") == text("<body><form><p>story</p></form></body>") == "story"
+    assert text("<body><article><p>story</p></article><div id=comments><article><p>long long comment</p></article></div></body>") == "story"
+    assert text("<body><p>story</p><div id=comments><article><p>long long comment</p></article></div></body>") == "story"
+    page = "<div class='layout with-sidebar'><p>a long story of words</p><div class=sidebar><p>links</p></div><div id=comments><p>nice! nice! nice! nice! nice! nice!</p></div></div>"
+    assert text(page) == "a long story of words" and text("<div id=comments><p>all there is</p></div>") == "all there is"
+    assert text("<body><p>a story</p><div class=ad><p>buy</p></div></body>") == "a story"
