@@ -1,6 +1,7 @@
 """Mixture-controlled packing: deficit round-robin over source queues fills windows of tokens.
 
-Each source is a queue of its documents in shuffled (hash) order, cut into packets of at most one window.  A round gives
+Each source is a queue of its documents in shuffled (hash) order, cut into packets of at most the queue's quantum, or
+one of ``PACKETS`` parts of a window where the quantum is less, so that a window holds every larger source's share.  A round gives
 every queue its quantum, the source's target share of a window; a packet goes out in the round in which its queue's
 credit covers it, and what is left is carried on.  A queue that always has packets serves the packet that ends at c
 tokens in round ceil(c / quantum), whatever partition holds it, so the deficits of the round-robin are prefix sums of the
@@ -26,6 +27,8 @@ from pyspark.sql import functions as F
 
 from riskframe.llm.common import cells_for, running_sum, text_or_empty, written
 
+#: Most packets of a full window; a source with a smaller share of it comes in some windows only.
+PACKETS = 64
 #: Tokens in a sequence, the id that ends a document, and the vocabulary file.
 WINDOW, END_ID = 2048, 1
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -90,10 +93,11 @@ def tokenized(docs: DataFrame, path: str, end_id: int) -> DataFrame:
     return narrow.mapInArrow(run, "row_id long, doc_id long, source string, n long, ids binary")
 
 
-def packing_plan(sizes: DataFrame, window: int, weights: DataFrame | None = None, seed: int = 42) -> DataFrame:
+def packing_plan(sizes: DataFrame, window: int, weights: DataFrame | None = None, seed: int = 42, least_packet: int | None = None) -> DataFrame:
     """row_id, start, length, sequence_id, offset of every piece, from (row_id, doc_id, source, n) rows.
 
-    ``weights`` holds (source, weight) rows; each source needs one above 0.
+    ``weights`` holds (source, weight) rows; each source needs one above 0.  Packets are as long as their queue's
+    quantum, and at least ``least_packet`` tokens; without it, up to a window.
     """
     queue = F.xxhash64("source", F.col("source").isNull())
     totals = sizes.groupBy("source").agg(F.sum("n").alias("tokens"), F.count(F.lit(1)).alias("rows"))
@@ -108,11 +112,14 @@ def packing_plan(sizes: DataFrame, window: int, weights: DataFrame | None = None
         "cell", F.floor(F.conv(F.substring("shuffle", 1, 8), 16, 10).cast("double") * cells / 2**32).cast("long")
     )
     queued = running_sum(queued, ["queue"], "cell", [F.col("shuffle"), F.col("row_id")], "n", "before").join(quantum, "queue")
-    packets = queued.withColumn("start", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(window).cast("long"))))
-    packets = packets.withColumn("length", F.least(F.lit(window).cast("long"), F.col("n") - F.col("start")))
+    most = F.lit(window).cast("long")
+    if least_packet is not None:
+        most = F.least(most, F.greatest(F.floor("quantum").cast("long"), F.lit(max(1, least_packet)).cast("long")))
+    packets = queued.withColumn("most", most).withColumn("start", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.col("most"))))
+    packets = packets.withColumn("length", F.least(F.col("most"), F.col("n") - F.col("start")))
     ends = F.col("before") + F.col("start") + F.col("length")
     # Rounds hold about a window each; a cell of the global order holds some tens of thousands of packets.
-    packets = packets.withColumn("round", F.ceil(ends / F.col("quantum"))).withColumn("cell", F.floor(F.col("round") / 10_000)).withColumn("lane", F.lit(0))
+    packets = packets.withColumn("round", F.ceil(ends / F.col("quantum"))).withColumn("cell", F.floor(F.col("round") / 500)).withColumn("lane", F.lit(0))
     order = [F.col("round"), F.col("queue"), F.col("before"), F.col("row_id"), F.col("start")]
     placed = running_sum(packets, ["lane"], "cell", order, "length", "at")
     room = window - F.col("at") % window
@@ -130,7 +137,7 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 def pack(docs: DataFrame, window: int = WINDOW, path: str = TOKENIZER, end_id: int = END_ID, weights: DataFrame | None = None) -> DataFrame:
     """doc_id, start, length, doc_tokens, sequence_id, offset and ``ids`` (16-bit, little-endian) of every piece."""
     rows = written(tokenized(docs, path, end_id), "tokens")
-    plan = packing_plan(rows.select("row_id", "doc_id", "source", "n"), window, weights)
+    plan = packing_plan(rows.select("row_id", "doc_id", "source", "n"), window, weights, least_packet=window // PACKETS)
     # The pieces of a document are cut on the JVM side: a slice of its ids each.
     return plan.join(rows.select("row_id", "doc_id", F.col("n").alias("doc_tokens"), "ids"), "row_id").select(
         "doc_id", "start", "length", "doc_tokens", "sequence_id", "offset",

@@ -91,3 +91,19 @@ def test_empty_and_repeat(spark):
     assert packing.digests(packing.pack(documents(spark, []))).collect() == []
     docs = documents(spark)
     assert same(packing.digests(packing.pack(docs)), packing.digests(packing.pack(docs)))
+
+
+def test_every_window_holds_the_shares(spark):
+    """Not only in total: whole documents of up to a window would leave most sources out of it."""
+    rows = [(i, " ".join(f"w{(i * j) % 97}" for j in range(150 + i % 90)), "en", f"s{i % 10}", 0) for i in range(200)]
+    pieces = packing.digests(packing.pack(documents(spark, rows), window=512)).collect()
+    check(rows, pieces, 512)
+    held: dict = {}
+    total = dict.fromkeys((f"s{i}" for i in range(10)), 0)
+    for p in pieces:
+        source = f"s{p.doc_id % 10}"
+        total[source] += p.length
+        held.setdefault(p.sequence_id, dict.fromkeys(total, 0))[source] += p.length
+    full = [h for h in held.values() if sum(h.values()) == 512]
+    away = [sum(abs(h[s] / 512 - total[s] / sum(total.values())) for s in total) / 2 for h in full]
+    assert len(full) > 50 and sum(away) / len(away) < 0.15
