@@ -1,8 +1,8 @@
 """Personal data by fixed patterns and a semi-Markov conditional random field.
 
 The patterns find emails, network addresses, payment cards and phone numbers in the forms they state.  The random field
-reads the islands of a text that hold digits or an at sign: it scores whole candidate spans (shape, number of digits,
-check sum, separators, words before) and a dynamic program over spans of bounded length chooses boundaries and types
+reads the islands of a text that hold digits, an at sign or words for it: it scores whole candidate spans (numbers of 9 to
+15 digits, at forms and the fixed shapes; by shape, number of digits, check sum, separators, words before) and a dynamic program over spans of bounded length chooses boundaries and types
 together.  Its spans are added where they overlap no pattern span and clearly beat leaving the words alone.
 
 The field is trained here by conditional likelihood on at most ``SAMPLE`` islands that the patterns label, first in hash
@@ -37,7 +37,8 @@ IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
-SEED = re.compile(r"[0-9@]|[(\[]at[)\]]")
+#: Where islands start; between plain words " at " does so only before a name with a dot, and " dot " after a word.
+SEED = re.compile(r"[0-9@]|[(\[]at[)\]]|(?<=\w) at (?=[\w-]+(?:\.\w|\s?[(\[]dot[)\]]| dot \w))|(?<=\w) dot (?=\w)")
 #: Parts of an island, and the island: parts with at most two other characters between them.
 PART = re.compile(r"[A-Za-z0-9À-ÿ_%+-]+|[@.()\[\]]")
 Span = tuple[int, int, str]
@@ -84,7 +85,12 @@ SHAPES = (
     ("card", re.compile(r"\d{4}(?:[ .-]?\d{4}){2}[ .-]?\d{1,7}|\d{12,19}|\d{4}[ .-]\d{6}[ .-]\d{5}")),
     ("phone", re.compile(r"(?:\+|00)?\d{0,3}[ .-]?\(?\d{2,4}\)?[ .-]\d{3,4}[ .-]?\d{3,4}")),
 )
-N_FEATURES = 25
+N_FEATURES = 29
+#: An at sign or what stands for it, with a dot or what stands for it behind.
+AT_FORM = re.compile(r"\w\s?(?:@|\(at\)|\[at\]| at )\s?[\w-]+\s?(?:\.|\(dot\)|\[dot\]| dot )\s?\w")
+#: Numbers with their separators; groups of two to four digits.
+NUMBERS = re.compile(r"[(+]?\d[\d\s.()/:+-]*\d")
+GROUPS = re.compile(r"(?:\+|00)?\(?\d{1,4}\)?(?:[ .-]\(?\d{2,4}\)?){2,6}")
 GOES_ON = re.compile(r"\s?(?:\.|\(dot\)|\[dot\]|dot )\s?[A-Za-z0-9]")
 
 
@@ -103,7 +109,7 @@ def span_features(text: str, start: int, end: int) -> np.ndarray:
     x[8] = 7 <= n < 9
     x[9] = n > 19
     parts = re.findall(r"\d+", s)
-    x[10] = len(parts) == 4 and octets(parts)
+    x[10] = len(parts) == 4 and "." in s and octets(parts)
     x[11] = s[:1] == "+" or s[:2] == "00"
     x[12] = "(" in s and ")" in s
     x[13] = "@" in s
@@ -118,6 +124,10 @@ def span_features(text: str, start: int, end: int) -> np.ndarray:
     for i, kind in enumerate(KINDS):
         x[20 + i] = not before.isdisjoint(BEFORE[kind])
     x[24] = bool(GOES_ON.match(text, end))
+    x[25] = 9 <= n <= 15 and bool(GROUPS.fullmatch(s))
+    x[26] = s[:1] in "0+("
+    x[27] = ":" in s or "/" in s or len({c for c in s if not c.isalnum() and c not in "()+"}) > 1
+    x[28] = bool(parts) and len(parts[0]) == 4 and parts[0][:2] in ("19", "20")
     return x
 
 
@@ -155,8 +165,11 @@ def candidates(text: str, start: int, end: int) -> tuple[list[tuple[int, int]],
             if j > i + 1 and parts[j - 1][0] - parts[j - 2][1] > 1:
                 break
             s = text[parts[i][0] : parts[j - 1][1]]
-            if len(s) >= 6 and (len(DIGIT.findall(s)) >= 4 or "@" in s or "at" in s) and "\n" not in s:
-                if any(shape.fullmatch(s) for _, shape in SHAPES):
+            if len(s) >= 6 and "\n" not in s:
+                digits = len(DIGIT.findall(s))
+                if (9 <= digits <= 15 and NUMBERS.fullmatch(s)) or AT_FORM.search(s):
+                    spans.append((i, j))
+                elif (digits >= 4 or "@" in s or "at" in s) and any(shape.fullmatch(s) for _, shape in SHAPES):
                     spans.append((i, j))
     return parts, spans
 
@@ -238,6 +251,19 @@ def rewritten(value: str, kind: str, rng: random.Random) -> str:
     return value.replace(".", " . ")
 
 
+def grouped(value: str, rng: random.Random) -> str:
+    """A phone number in groups of two and three digits, as it is written without a country."""
+    d = "".join(DIGIT.findall(value))[-10:]
+    pairs = ["0" + d[1:2], *(d[i : i + 2] for i in range(2, 10, 2))]
+    return rng.choice([" ".join(pairs), ".".join(pairs), f"0{d[1:3]} {d[3:6]} {d[6:8]} {d[8:]}", f"0{d[1:3]} {d[3:6]} {d[6:8]}"])
+
+
+def other_numbers(rng: random.Random) -> str:
+    """Numbers that are no personal data and have as many digits."""
+    year, two = rng.randrange(1950, 2050), lambda: f"{rng.randrange(1, 29):02d}"
+    return rng.choice([f"{year}-{two()}-{two()} {two()}:{two()}", f"{two()}.{two()}.{year} {two()}:{two()}", f"{year} {year + 1} {year + 2}", f"{year}-{year + 1} {year + 2}"])
+
+
 def train(texts: list[str], seed: int = 5) -> np.ndarray | None:
     """Weights fitted on the islands of the texts and their rewritten copies."""
     rng, examples = random.Random(seed), []
@@ -260,6 +286,11 @@ def train(texts: list[str], seed: int = 5) -> np.ndarray | None:
             # Words around it, without the pieces of other data that the cut leaves.
             left, right = (SEED.sub("", t) for t in (text[max(0, s - 20) : s], text[e : e + 20]))
             add(left + value + right, [(len(left), len(left) + len(value), kind)])
+            if kind == "phone":
+                for _ in range(3):
+                    value = grouped(text[s:e], rng)
+                    add(left + value + right, [(len(left), len(left) + len(value), kind)])
+                add(left + other_numbers(rng) + right, [])
     if not examples:
         return None
     field, pace = Field(np.zeros((len(KINDS), N_FEATURES))), np.full((len(KINDS), N_FEATURES), 1e-6)

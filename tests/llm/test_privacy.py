@@ -91,3 +91,12 @@ def test_empty_and_clashes(spark):
     assert privacy.personal_data(documents(spark, [])).collect() == []
     docs = documents(spark, rows_of())
     assert same(privacy.personal_data(docs), privacy.personal_data(with_clashes(docs)))
+
+
+def test_spelled_addresses_and_grouped_phones(spark):
+    field = privacy.Field(privacy.train(privacy.sample_texts(documents(spark, rows_of()), 500)))
+    add = lambda t: [t[a:b] for i in privacy.islands(t) for a, b, _ in field.best(t, *i, privacy.MARGIN)]
+    for value in ("john at example dot com", "06 12 34 56 78", "01.23.45.67.89", "030 123 45 67"):
+        assert add(f"so ask {value} now") == [value]
+    for clean in ("we sat at home. The dot is red", "on 2021-03-04 12:30 we met", "years 1999 2000 2001 passed"):
+        assert add(clean) == []
