@@ -90,4 +90,71 @@ SELECT page_id, CAST(n AS BIGINT) AS payload_bytes,
   CASE WHEN page_id = first THEN NULL ELSE first END AS refers_to
 FROM s"""
 
-ORACLES = {"op1_minhash": OP1, "op10_warc": OP10, "op4_mixing": OP4, "op7_exact_dedup": OP7, "op9_chat_formatting": OP9}
+#: crc32 of a decimal number, bit by bit.
+_CRC = """xor(list_reduce(list_concat([4294967295], flatten(list_transform(string_split(CAST({x} AS VARCHAR), ''),
+  lambda c: [CAST(ascii(c) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))),
+  lambda r, b: CASE WHEN b >= 0 THEN xor(r, b) ELSE xor(r >> 1, 3988292384 * (r & 1)) END), 4294967295)"""
+_TEXT = "coalesce(CAST(strlen(CAST({x} AS VARCHAR)) AS VARCHAR) || ':' || CAST({x} AS VARCHAR), '-')"
+
+
+def _leaf(text: str) -> str:
+    return "sha256(" + " || ".join(_TEXT.format(x=c) for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+
+
+def _tree(name: str, start: str, levels: int) -> str:
+    """CTEs of a tree: per level the nodes with the rest of their run, ``start`` at level 0."""
+    ctes = [f"{name}0 AS ({start})"]
+    for i in range(levels):
+        run = f"(PARTITION BY grp, pos // 16 ORDER BY pos ROWS BETWEEN {{}})"
+        ctes.append(
+            f"{name}s{i} AS (SELECT *, n > 1 AS runs, coalesce(string_agg(node, '') OVER "
+            + run.format("UNBOUNDED PRECEDING AND 1 PRECEDING")
+            + ", '') AS l, coalesce(string_agg(node, '') OVER "
+            + run.format("1 FOLLOWING AND UNBOUNDED FOLLOWING")
+            + f", '') AS r FROM {name}{i})"
+        )
+        ctes.append(
+            f"{name}{i + 1} AS (SELECT grp, pos // 16 AS pos, CASE WHEN n > 1 THEN sha256(string_agg(node, '' ORDER BY pos)) "
+            f"ELSE min(node) END AS node, (n + 15) // 16 AS n FROM {name}{i} GROUP BY grp, pos // 16, n)"
+        )
+    return ",\n".join(ctes)
+
+
+def _manifest(levels: int = 5, upper: int = 3) -> str:
+    """Trees of up to 16^levels rows a source and 16^upper sources."""
+    steps = [("a", i) for i in range(levels)] + [("b", i) for i in range(upper)]
+    folded = "CASE WHEN doc_id IS NOT NULL AND CRC % 5 = 0 THEN changed ELSE leaf END".replace("CRC", _CRC.format(x="doc_id"))
+    ctes, last = [], f"SELECT *, {folded} AS f, '' AS proof FROM d"
+    for k, (tree, i) in enumerate(steps):
+        ctes.append(f"f{k} AS ({last})")
+        at = f"x.pos // {16**i} = s.pos AND x.grp = s.grp" if tree == "a" else f"x.gpos // {16**i} = s.pos"
+        last = (
+            f"SELECT x.* EXCLUDE (f, proof), CASE WHEN s.runs THEN sha256(s.l || x.f || s.r) ELSE x.f END AS f, "
+            f"CASE WHEN s.runs THEN x.proof || s.l || s.r ELSE x.proof END AS proof FROM f{k} x JOIN {tree}s{i} s ON {at}"
+        )
+    below = "SELECT grp, pos, leaf AS node, count(*) OVER (PARTITION BY grp) AS n FROM d0"
+    above = f"SELECT 0 AS grp, row_number() OVER (ORDER BY grp) - 1 AS pos, node, count(*) OVER () AS n, grp AS of FROM a{levels}"
+    return (
+        f"WITH d0 AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM ("
+        f"SELECT doc_id, coalesce('s' || source, '-') AS grp, {_leaf('text')} AS leaf, "
+        f"{_leaf('translate(text, $$ABCDEFGHIJKLMNOPQRSTUVWXYZ$$, $$abcdefghijklmnopqrstuvwxyz$$)')} AS changed FROM documents)),\n"
+        + _tree("a", below, levels)
+        + f",\ng AS ({above}),\n"
+        + _tree("b", "SELECT grp, pos, node, n FROM g", upper)
+        + f",\nd AS (SELECT d0.*, g.pos AS gpos, g.node AS subroot FROM d0 JOIN g ON g.of = d0.grp),\n"
+        + ",\n".join(ctes)
+        + f",\nz AS ({last})\nSELECT doc_id, leaf, subroot, b.node AS root, sha256(proof) AS proof_sha256, f AS folded_root, "
+        f"f = b.node AS verified FROM z, b{upper} b"
+    )
+
+
+OP13 = _manifest()
+
+ORACLES = {
+    "op1_minhash": OP1,
+    "op10_warc": OP10,
+    "op13_merkle": OP13,
+    "op4_mixing": OP4,
+    "op7_exact_dedup": OP7,
+    "op9_chat_formatting": OP9,
+}
