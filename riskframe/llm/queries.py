@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskframe.llm import chat, exact, merkle, minhash, mixing, packing, privacy, quality, style_tree, toxicity, warc, whitening
+from riskframe.llm import chat, exact, katz, merkle, minhash, mixing, packing, privacy, quality, style_tree, toxicity, warc, whitening
 from riskframe.llm.common import only, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -67,6 +67,11 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_round_trip(table(spark, sf_dir, "pages"))
 
 
+def op11_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = F.crc32(F.col("doc_id").cast("string")) % 7 == 2
+    return katz.score_texts(table(spark, sf_dir, "documents"), held).withColumnRenamed("held", "held_out")
+
+
 def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.by_component(whitening.whiten(table(spark, sf_dir, "embeddings")))
 
@@ -86,6 +91,7 @@ QUERIES: dict[str, Query] = {
     "op8_toxicity": op8_toxicity,
     "op9_chat_formatting": op9_chat_formatting,
     "op10_warc": op10_warc,
+    "op11_lm_scoring": op11_lm_scoring,
     "op12_whitening": op12_whitening,
     "op13_merkle": op13_merkle,
 }
