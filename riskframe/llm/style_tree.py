@@ -8,19 +8,26 @@ comments, ...) have importance 0, an article or main element 1, as priors of the
 never cut as a whole, and branches inside it are cut at half the importance (``MAIN_CUT``).  A repeated block that shares its
 path with blocks that vary is no branch of its own and stays.
 
-A class or id with a word of a role, and a form, are weak priors outside an article or main element: such an element counts
+Names of roles in a class or id, and forms, are weak priors.  Outside an article or main element such an element counts
 where the page's only article or main element is below it, or where it holds more than half of the page's text and the page
 has neither; the measure then decides on its branches.  Elements named after comments, whose text varies as main text does,
-count only on pages that have nothing else.
-
-Null html is an empty page; a null url is a page of a host of its own that is never measured.  Pages of a host with
-the same nodes and blocks count as one.  Hosts with fewer than ``LEAST_PAGES`` distinct pages show nothing about their layout:
-only the priors apply.  A page whose text is all markup has an empty text.
+count only on pages that have nothing else, articles among them.  Inside an article or main element a class that names a role
+and nothing else, comments and forms go; an id of that kind (a heading's slug, perhaps) goes only if no paragraph stands in
+its element; headings stay, and names with other words (related-work, social-history) say nothing.  Articles and main elements
+take the place of the rest of the page only if they hold a fifth of the text that is left.
+
+Markup is read in one pass by the rules of its syntax, in time proportional to its length whatever its state; elements below
+the 64th level count as part of their ancestor there.  Null html is an empty page; a null url is a page of a host of its own
+that is never measured.  Pages of a host with the same nodes and blocks count as one.  Hosts with fewer than ``LEAST_PAGES``
+distinct pages show nothing about their layout: only the priors apply.  A page whose text is all markup has an empty text.
+Repeated rows and null ids are rows like others; an empty table gives no rows; other columns, whatever their names, are not
+read.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
@@ -38,15 +45,22 @@ MAIN_CUT = 0.5
 DEEP = ">"
 #: Share of a node's importance that its content has; the rest is presentation.
 CONTENT = 0.9
-#: Entries (host, path) up to which the cut branches go to every task; a larger table is joined by shuffle.
+#: Keys of cut branches that go to every task (16 bytes each and the names of their hosts); a larger table is joined by shuffle.
 MOST_SENT = 100_000
 
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
-ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+#: Scanner: every expression is matched at one place and reads each character once.
+SPACES = re.compile(r"[ \t\n\f\r]*")
+BETWEEN = re.compile(r"[ \t\n\f\r/]*")
+TAG_NAME = re.compile(r"[a-zA-Z][^ \t\n\f\r/>]*")
+NAME = re.compile(r"=?[^ \t\n\f\r/>=]*")
+BARE = re.compile(r"[^ \t\n\f\r>]*")
+READ = frozenset(("class", "id", "role", "hidden", "aria-hidden", "style"))
+LABEL_WORDS = re.compile(r"[^a-z]+")
 
 #: Tags without text, tags without an end, and tags that end a block.
 SILENT = frozenset("script style noscript template title textarea select option button svg math iframe object canvas audio video head".split())
 RAW = frozenset("script style textarea title noscript iframe template".split())
+RAW_END = {x: re.compile(rf"</{x}(?=[ \t\n\f\r/>])", re.I) for x in RAW}
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset(
     "html body article section main div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption blockquote pre "
@@ -61,15 +75,126 @@ ROLE_WORDS = frozenset(
     "sharing social related recommended comment comments reply replies respond disqus pagination pager skip copyright masthead".split()
 )
 COMMENT_WORDS = frozenset("comment comments reply replies respond disqus".split())
+#: Words that only say what kind of box a role has; a name of a role and such words states the role alone.
+BOX_WORDS = frozenset(
+    "area bar block body box button buttons card cards container content count feed form footer group header heading icon icons inner item "
+    "items js left link links list meta outer panel post posts respond right row section shell slot stories story tag text thread title "
+    "top bottom unit widget widgets wrap wrapper zone".split()
+)
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 MAIN = frozenset(("article", "main"))
-#: Kinds of weak elements.
-WEAK, COMMENTS = 1, 2
+#: Kinds of weak elements: named by a role, named after comments, and inside an article by an id that is a role's name.
+WEAK, COMMENTS, SLUG = 1, 2, 3
+#: Steps of a path, and characters of a step; deeper elements count as the one at this depth, longer steps by their hash.
+DEEPEST, LONGEST_STEP = 64, 40
+#: Share of a page's text that articles and main elements must hold for the rest to go.
+LEAST_MAIN = 0.2
 
 
 def key(text: str) -> int:
     return xxhash.xxh3_64_intdigest(text) - (1 << 63)
 
 
+def scan(html: str) -> Iterator[tuple[int, str, dict | None, bool]]:
+    """Markup of a page in one pass, by the rules of the syntax: (kind, name or text, attributes, self-closed), kind 0 text,
+    1 start tag, 2 end tag.  Quotes open a value only right behind an equals sign; a quote that is never closed ends at the
+    tag's end; a tag that is never closed ends the page."""
+    at, n = 0, len(html)
+    last = {"'": html.rfind("'"), '"': html.rfind('"'), ">": html.rfind(">"), "--": html.rfind("-->")}
+    while at < n:
+        lt = html.find("<", at)
+        if lt < 0:
+            yield 0, html[at:], None, False
+            return
+        follows = html[lt + 1 : lt + 2]
+        closing = follows == "/"
+        name = TAG_NAME.match(html, lt + 2 if closing else lt + 1)
+        if name is None:
+            if not closing and follows not in ("!", "?"):
+                yield 0, html[at : lt + 1], None, False
+                at = lt + 1
+                continue
+            if lt > at:
+                yield 0, html[at:lt], None, False
+            if html.startswith("<!--", lt):
+                short = next((x for x in ("<!-->", "<!--->") if html.startswith(x, lt)), None)
+                at = lt + len(short) if short else html.index("-->", lt + 4) + 3 if last["--"] >= lt + 4 else n
+            else:
+                at = html.index(">", lt) + 1 if last[">"] > lt else n
+            continue
+        if lt > at:
+            yield 0, html[at:lt], None, False
+        at, attributes, ended = name.end(), {}, False
+        while True:
+            at = BETWEEN.match(html, at).end()
+            if at >= n:
+                break
+            if html[at] == ">":
+                at, ended = at + 1, True
+                break
+            found = NAME.match(html, at)
+            at = SPACES.match(html, found.end()).end()
+            value = ""
+            if html[at : at + 1] == "=":
+                at = SPACES.match(html, at + 1).end()
+                quote = html[at : at + 1]
+                if quote in ("'", '"') and quote:
+                    if last[quote] > at:
+                        close = html.index(quote, at + 1)
+                        value, at = html[at + 1 : close], close + 1
+                    else:
+                        close = html.index(">", at) if last[">"] > at else n
+                        value, at = html[at + 1 : close], close
+                else:
+                    bare = BARE.match(html, at)
+                    value, at = bare[0], bare.end()
+            known = found[0].lower() if len(found[0]) < 16 else ""
+            if known in READ and known not in attributes:
+                attributes[known] = value
+        if not ended:
+            return
+        low = name[0].lower()
+        yield (2 if closing else 1), low, attributes, html[at - 2] == "/"
+        if not closing and low in RAW and html[at - 2] != "/":
+            end = RAW_END[low].search(html, at)
+            if end is None:
+                return
+            at = end.start()
+
+
+def names(value: str) -> list[list[str]]:
+    """Words of every name in a class or id."""
+    return [[w for w in LABEL_WORDS.split(x) if w] for x in value.lower().split()]
+
+
+def is_comments(words: list[str]) -> bool:
+    """Whether a name says no more than comments: comment-body, commentlist, reply-form."""
+    said = False
+    for w in words:
+        if w in COMMENT_WORDS or (w.startswith("comment") and w[7:] in BOX_WORDS) or (w.startswith("comments") and w[8:] in BOX_WORDS):
+            said = True
+        elif w not in BOX_WORDS:
+            return False
+    return said
+
+
+def is_role(words: list[str]) -> bool:
+    """Whether a name says no more than a role: share-buttons, related-posts; not related-work or social-history."""
+    return not ROLE_WORDS.isdisjoint(words) and all(w in ROLE_WORDS or w in BOX_WORDS for w in words)
+
+
+class Element:
+    """An open element: its tag, style path and depth, whether it is silent, the depth of the article or main element around
+    it (0: none), the tags of its children, the closest weak element, and the closest block element."""
+
+    __slots__ = ("tag", "path", "depth", "silent", "main", "children", "weak", "block")
+
+    def __init__(self, tag: str, path: str, depth: int, silent: bool, main: int, weak: int, block: Element | None):
+        self.tag, self.path, self.depth, self.silent, self.main, self.weak = tag, path, depth, silent, main, weak
+        self.children: list[str] = []
+        self.block = self if tag in BLOCK else block
+
+
 class Page:
     """Text blocks of a page with their style paths, and the child tags of its elements."""
 
@@ -79,47 +204,38 @@ class Page:
         self.block_weak: list[int] = []  # number of the closest weak element around a block (-1: none)
         self.child_weak: list[int] = []
         self.weak: list[tuple[int, int]] = []  # kind of a weak element, number of the weak element around it
-        self.stack: list[list] = []  # tag, path, silent, main, child tags, number of the weak element
+        self.prose: set[int] = set()  # weak elements with a paragraph right in them
+        self.stack: list[Element] = []
+        self.opened: Counter[str] = Counter()
         self.parts: list[str] = []
-        at, n = 0, len(html)
-        while at < n:
-            tag = TAG.search(html, at)
-            if tag is None:
-                self.text(html[at:])
-                break
-            self.text(html[at : tag.start()])
-            at = tag.end()
-            if tag[2] is None:
-                continue
-            name = tag[2].lower()
-            if tag[1]:
+        for kind, name, attributes, ends in scan(html):
+            if kind == 0:
+                if not (self.stack and self.stack[-1].silent):
+                    self.parts.append(name)
+            elif kind == 2:
                 self.close(name)
             else:
-                self.open(name, tag[3])
-                if name in RAW and not tag[3].endswith("/"):
-                    end = re.compile(rf"</{name}\b[^>]*>", re.I).search(html, at)
-                    at = end.end() if end else n
+                self.open(name, attributes)
+                if ends and name in RAW:
                     self.close(name)
         while self.stack:
-            self.close(self.stack[-1][0])
+            self.close(self.stack[-1].tag)
         self.flush()
         self.weigh()
 
-    def text(self, piece: str) -> None:
-        if piece and not (self.stack and self.stack[-1][2]):
-            self.parts.append(piece)
-
     def flush(self) -> None:
         if self.parts:
             raw = "".join(self.parts)
             self.parts = []
             text = " ".join((unescape(raw) if "&" in raw else raw).split())
             if text:
-                top = next((x for x in reversed(self.stack) if x[0] in BLOCK), None)
-                self.blocks.append((top[1] if top else "", text, top[3] if top else 0))
-                self.block_weak.append(top[5] if top else -1)
+                top = self.stack[-1].block if self.stack else None
+                self.blocks.append((top.path if top else "", text, top.main if top else 0))
+                self.block_weak.append(top.weak if top else -1)
+                if top and top.tag == "p" and top.weak >= 0:
+                    self.prose.add(top.weak)
 
-    def open(self, name: str, attributes: str) -> None:
+    def open(self, name: str, attributes: dict[str, str]) -> None:
         if name in BLOCK:
             self.flush()
             if name == "p" or name == "li":
@@ -128,103 +244,159 @@ class Page:
             self.parts.append(" ")
         above = self.stack[-1] if self.stack else None
         if above is not None and name not in ("br", "wbr"):
-            above[4].append(name)
+            above.children.append(name)
         if name in VOID:
             return
-        silent, main = (above[2], above[3]) if above else (False, 0)
-        weak = above[5] if above else -1
+        silent, main, weak = (above.silent, above.main, above.weak) if above else (False, 0, -1)
+        depth = above.depth + 1 if above else 1
+        classes, ids, role = names(attributes.get("class", "")), names(attributes.get("id", "")), attributes.get("role", "").lower()
+        inside = main > 0
+        if (name in MAIN or role in MAIN) and not main:
+            main = min(depth, DEEPEST)
+        silent = silent or name in SILENT or name in ROLE_TAGS or (name == "header" and not main) or role in ROLES
+        silent = silent or attributes.get("aria-hidden", "").lower() == "true" or "display:none" in attributes.get("style", "").lower().replace(" ", "")
+        silent = silent or ("hidden" in attributes and name not in ("html", "body"))
         doubt = WEAK if name == "form" else 0
-        label, path, depth = name, above[1] if above else "", above[1].count("/") + 1 if above else 1
-        if name in MAIN:
-            main = main or depth
-        silent = silent or name in SILENT or name in ROLE_TAGS or (name == "header" and not main)
-        if attributes and not attributes.isspace():
-            for a in ATTRIBUTE.finditer(attributes):
-                kind, value = a[1].lower(), (a[2] or a[3] or a[4] or "").lower()
-                if kind in ("class", "id") and value:
-                    found = re.split(r"[^a-z]+", value)
-                    label += "." + ".".join(x for x in found if x)
-                    if name not in MAIN and name not in ("html", "body") and not ROLE_WORDS.isdisjoint(found):
-                        doubt = max(doubt, WEAK if COMMENT_WORDS.isdisjoint(found) else COMMENTS)
-                elif kind == "role":
-                    main = main or (depth if value in ("main", "article") else 0)
-                    silent = silent or value in ROLES
-                elif (kind == "hidden" and name not in ("html", "body")) or (kind == "aria-hidden" and value == "true") or (kind == "style" and "display:none" in value.replace(" ", "")):
+        if name not in ("html", "body"):
+            comments = any(map(is_comments, classes)) or any(map(is_comments, ids))
+            if inside and name not in HEADINGS:
+                # what stands in an article is the author's unless its name is a role's and nothing else
+                if comments or name == "form" or any(map(is_role, classes)):
                     silent = True
-        if doubt and main and main < depth:
-            silent = True
-        elif doubt and not main and not silent and name in BLOCK:
-            self.weak.append((doubt, weak))
-            weak = len(self.weak) - 1
-        elif doubt and not main:
-            silent = True
-        self.stack.append([name, f"{path}/{label}", silent, main, [], weak])
+                elif any(map(is_role, ids)):
+                    doubt = SLUG
+            elif not inside and comments:
+                doubt = COMMENTS
+            elif not inside and name not in MAIN:
+                found = {w for x in (*classes, *ids) for w in x}
+                if not ROLE_WORDS.isdisjoint(found):
+                    doubt = COMMENTS if not COMMENT_WORDS.isdisjoint(found) else WEAK
+            elif not inside and any(map(is_role, (*classes, *ids))):
+                doubt = WEAK
+        if doubt and not silent:
+            if name in BLOCK:
+                self.weak.append((doubt, weak))
+                weak = len(self.weak) - 1
+            elif doubt != SLUG:
+                silent = True
+        if depth > DEEPEST:
+            path = above.path
+        else:
+            step = ".".join([name, *(w for x in (*classes, *ids) for w in x)])
+            step = step if len(step) <= LONGEST_STEP else f"{step[:20]}.{key(step) & (1 << 64) - 1:x}"
+            path = f"{above.path if above else ''}/{step}"
+        self.stack.append(Element(name, path, depth, silent, main, weak, above.block if above else None))
+        self.opened[name] += 1
 
     def end_open(self, name: str) -> None:
         """End an open element of the same kind, as the markup's rules do, unless a container stands between."""
-        for x in reversed(self.stack):
-            if x[0] == name:
-                self.close(name)
-                return
-            if x[0] in BLOCK:
-                return
+        if self.opened[name]:
+            for x in reversed(self.stack):
+                if x.tag == name:
+                    self.close(name)
+                    return
+                if x.tag in BLOCK:
+                    return
 
     def close(self, name: str) -> None:
-        if not any(x[0] == name for x in self.stack):
+        if not self.opened[name]:
             return
         if name in BLOCK:
             self.flush()
         while self.stack:
-            if self.stack[-1][0] in BLOCK:
+            if self.stack[-1].tag in BLOCK:
                 self.flush()
-            tag, path, silent, _, tags, weak = self.stack.pop()
-            if tags and not silent:
-                self.children.append((path, " ".join(tags)))
-                self.child_weak.append(weak)
-            if tag == name:
+            x = self.stack.pop()
+            self.opened[x.tag] -= 1
+            if x.children and not x.silent:
+                self.children.append((x.path, " ".join(x.children)))
+                self.child_weak.append(x.weak)
+            if x.tag == name:
                 return
 
     def weigh(self) -> None:
         """Leave out the weak elements that nothing outweighs."""
         if not self.weak:
             return
-        around: dict[int, list[int]] = {-1: []}
-        for w, (_, outer) in enumerate(self.weak):
-            around[w] = [*around[outer], w]
+        # numbers rise from the outside in, so what holds for the elements around one is known before it
         whole = list(zip(self.blocks, self.block_weak))
-        count: set[int] = set()
-        if not any(b[2] and w < 0 for b, w in whole):
-            for w in {w for b, w in whole if b[2]}:
-                if all(self.weak[x][0] == WEAK for x in around[w]):
-                    count.update(around[w])
-            if not count:
+        counts = [kind == SLUG and w in self.prose for w, (kind, _) in enumerate(self.weak)]
+        doubted: list[bool] = []  # has an element of a kind other than SLUG at or around it
+        plain: list[bool] = []  # has none named after comments at or around it
+        for kind, outer in self.weak:
+            doubted.append(kind != SLUG or (outer >= 0 and doubted[outer]))
+            plain.append(kind != COMMENTS and (outer < 0 or plain[outer]))
+        if not any(b[2] and (w < 0 or not doubted[w]) for b, w in whole):
+            # those around the page's only article or main element, or else those with most of its text
+            lifted = self.chains({w for b, w in whole if b[2] and w >= 0 and plain[w]})
+            lifted = {w for w in lifted if self.weak[w][0] != SLUG}
+            if not lifted:
                 size = [0] * len(self.weak)
                 for b, w in whole:
-                    for x in around[w]:
-                        size[x] += len(b[1])
+                    if w >= 0:
+                        size[w] += len(b[1])
+                for w in range(len(self.weak) - 1, -1, -1):
+                    if self.weak[w][1] >= 0:
+                        size[self.weak[w][1]] += size[w]
                 total = sum(len(b[1]) for b, _ in whole)
-                count = {w for w, (kind, _) in enumerate(self.weak) if kind == WEAK and 2 * size[w] > total}
-            if not any(count.issuperset(around[w]) for _, w in whole):
-                for w, (kind, _) in enumerate(self.weak):
-                    count.update(around[w] if kind == COMMENTS else ())
-        self.blocks = [b for b, w in whole if count.issuperset(around[w])]
-        self.children = [c for c, w in zip(self.children, self.child_weak) if count.issuperset(around[w])]
-
-    def main_text(self, cut: frozenset[int]) -> str:
-        """Blocks in page order without cut branches; those of an article or main element where the page has one."""
-        chosen = [b for b in self.blocks if b[2]] or self.blocks
-        left = [b for b in chosen if not self.is_cut(b[0], cut, b[2])]
-        if not left and chosen and chosen[0][2]:
-            left = chosen
-        return "\n\n".join(b[1] for b in left)
-
-    @staticmethod
-    def is_cut(path: str, cut: frozenset[int], main: int = 0) -> bool:
-        """Whether a step of the path is cut; below an article or main element only the steps inside it count."""
-        if not cut:
-            return False
-        steps, mark = path.split("/"), DEEP if main else ""
-        return any(key("/".join(steps[: i + 1]) + mark) in cut for i in range(main + 1, len(steps)))
+                lifted = {w for w, (kind, _) in enumerate(self.weak) if kind == WEAK and 2 * size[w] > total}
+            for w in lifted:
+                counts[w] = True
+        open_ = self.open_to(counts)
+        if not any(w < 0 or open_[w] for _, w in whole):  # comments are all there is
+            for w in self.chains({w for w, (kind, _) in enumerate(self.weak) if kind == COMMENTS}):
+                counts[w] = True
+            open_ = self.open_to(counts)
+        self.blocks = [b for b, w in whole if w < 0 or open_[w]]
+        self.children = [c for c, w in zip(self.children, self.child_weak) if w < 0 or open_[w]]
+
+    def chains(self, some: set[int]) -> set[int]:
+        """The weak elements given and all those around them."""
+        out: set[int] = set()
+        for w in some:
+            while w >= 0 and w not in out:
+                out.add(w)
+                w = self.weak[w][1]
+        return out
+
+    def open_to(self, counts: list[bool]) -> list[bool]:
+        """Whether a weak element and all those around it count."""
+        out: list[bool] = []
+        for w, (_, outer) in enumerate(self.weak):
+            out.append(counts[w] and (outer < 0 or out[outer]))
+        return out
+
+    def main_text(self, cut: frozenset[int] | set[int]) -> str:
+        """Blocks in page order without cut branches.  Where articles and main elements hold a fair share of what is left,
+        the rest goes; if all that they hold is cut, it stays."""
+        known: dict[tuple[str, bool], bool] = {}
+        kept = []
+        for path, _, main in self.blocks:
+            at = (path, main > 0)
+            if at not in known:
+                known[at] = bool(cut) and not cut.isdisjoint(cut_keys(path, main))
+            kept.append(not known[at])
+        inner = [i for i, b in enumerate(self.blocks) if b[2] and kept[i]] or [i for i, b in enumerate(self.blocks) if b[2]]
+        outer = [i for i, b in enumerate(self.blocks) if not b[2] and kept[i]]
+        size = lambda places: sum(len(self.blocks[i][1]) for i in places)
+        shown = inner if inner and size(inner) >= LEAST_MAIN * (size(inner) + size(outer)) else sorted(inner + outer)
+        return "\n\n".join(self.blocks[i][1] for i in shown)
+
+    def cut_keys(self) -> set[int]:
+        """All keys under which a branch of this page may be cut."""
+        return {k for path, main in {(b[0], b[2]) for b in self.blocks} for k in cut_keys(path, main)}
+
+
+def cut_keys(path: str, main: int) -> list[int]:
+    """Keys of the steps of a path; below an article or main element only the steps inside it count, by their deep keys."""
+    steps, mark = path.split("/"), DEEP if main else ""
+    return [path_key("/".join(steps[: i + 1]) + mark) for i in range(main + 1, len(steps))]
+
+
+def path_key(path: str) -> int:
+    """The 64-bit hash that ``xxhash64`` gives a string column."""
+    number = xxhash.xxh64_intdigest(path, 42)
+    return number - (1 << 64) if number >> 63 else number
 
 
 def host() -> Column:
@@ -286,22 +458,45 @@ def importance(pages: DataFrame) -> DataFrame:
 def extract(pages: DataFrame, least_pages: int = LEAST_PAGES, cut: float = CUT) -> DataFrame:
     """One row per page: page_id, url, text, n_chars."""
     low = importance(pages).where((F.col("pages") >= least_pages) & (F.col("importance") < cut))
-    marked = F.when(F.col("importance") < cut * MAIN_CUT, F.array("path", F.concat("path", F.lit(DEEP)))).otherwise(F.array("path"))
-    low = written(low.groupBy("host").agg(F.flatten(F.collect_set(marked)).alias("paths")), "cut")
-    size = low.agg(F.sum(F.size("paths"))).first()[0] or 0
-    low = F.broadcast(low) if size <= MOST_SENT else low
+    deep = F.when(F.col("importance") < cut * MAIN_CUT, F.xxhash64(F.concat("path", F.lit(DEEP))))
+    keys = F.array_compact(F.array(F.xxhash64("path"), deep))
+    low = written(low.select("host", F.explode(keys).alias("cut")), "cut")
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html"), host().alias("host"))
-    rows = rows.join(low, "host", "left").select("page_id", "url", "html", F.coalesce("paths", F.array().cast("array<string>")).alias("paths"))
+    if low.count() <= MOST_SENT:
+        by_host: dict[str, set[int]] = {}
+        for r in low.collect():
+            by_host.setdefault(r["host"], set()).add(r["cut"])
+        sent = pages.sparkSession.sparkContext.broadcast(by_host)
+        rows = rows.withColumn("cuts", F.array().cast("array<long>"))
+    else:
+        sent = None
+        rows = with_own_cuts(rows, low)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = []
-            for html, paths in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                texts.append(Page(html).main_text(frozenset(map(key, paths))))
+            for html, host, cuts in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4))):
+                texts.append(Page(html).main_text(set(cuts) if sent is None else sent.value.get(host, set())))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
                 names=["page_id", "url", "text", "n_chars"],
             )
 
-    return rows.mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return rows.select("page_id", "url", "html", "host", "cuts").mapInArrow(run, "page_id long, url string, text string, n_chars long")
+
+
+def with_own_cuts(rows: DataFrame, low: DataFrame) -> DataFrame:
+    """Add ``cuts``: those of the host's cut keys that a page has itself.  Each distinct page looks its own keys up, so a
+    host of any size is spread over its keys and pages."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [sorted(Page(html).cut_keys()) for html in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.int64()))], names=["page", "host", "own"])
+
+    marked = rows.withColumn("page", F.md5(F.concat("host", F.lit("\n"), "html")))
+    own = marked.select("page", "host", "html").where("host <> ''").mapInArrow(run, "page string, host string, own array<long>")
+    own = own.dropDuplicates(["page"]).select("page", "host", F.explode("own").alias("cut"))
+    cuts = own.join(low, ["host", "cut"], "left_semi").groupBy("page").agg(F.collect_list("cut").alias("cuts"))
+    return marked.join(cuts, "page", "left").withColumn("cuts", F.coalesce("cuts", F.array().cast("array<long>")))
