@@ -85,40 +85,43 @@ class Numbered(dict):
         return number
 
 
-def packed_block(number: int, rows: list[tuple]) -> dict:
-    """A block of (id, held, words): local word numbers by falling frequency, and the hash of each."""
-    seen = Numbered()
-    local = [np.fromiter(map(seen.__getitem__, words), np.int64, len(words)) for _, _, words in rows]
-    flat = np.concatenate([np.append(x, -1) for x in local]) + 1  # the end of a text is 0
+def packed_block(number: int, ids: list, held: list[bool], lines: list[np.ndarray], seen: Numbered) -> dict:
+    """A block of texts as lines of word numbers: renumbered by falling frequency, with the hash of each word."""
+    flat = np.concatenate([np.append(x, np.int32(-1)) for x in lines]) + 1  # the end of a text is 0
     frequency = np.bincount(flat, minlength=len(seen) + 1)[1:]
     order = np.argsort(-frequency, kind="stable")
-    place = np.empty(len(seen) + 1, np.int64)
-    place[0], place[1 + order] = END, np.arange(len(seen)) + 2
+    place = np.empty(len(seen) + 1, np.uint32)
+    place[0], place[1 + order] = END, np.arange(len(seen), dtype=np.uint32) + 2
     hashes = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in seen), np.uint64, len(seen))
     return {
         "block": number,
-        "ids": [r[0] for r in rows],
-        "held": [r[1] for r in rows],
-        "sizes": [len(r[2]) + 1 for r in rows],
-        "trained": sum(not r[1] for r in rows),
-        "tokens": zlib.compress(planes(place[flat].astype(np.uint64)), 1),
+        "ids": ids,
+        "held": held,
+        "sizes": [len(x) + 1 for x in lines],
+        "trained": sum(not h for h in held),
+        "tokens": zlib.compress(planes(place[flat]), 1),
         "vocabulary": np.concatenate([np.array(MARKS, np.uint64), hashes[order]]).tobytes(),
     }
 
 
 def blocks_of(block_tokens: int, schema: pa.Schema):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, rows, held_tokens = TaskContext.get().partitionId() << 32, [], 0
+        number, tokens = TaskContext.get().partitionId() << 32, 0
+        ids, held, lines, seen = [], [], [], Numbered()
         for batch in batches:
-            for key, held, text in zip(*[c.to_pylist() for c in batch.columns]):
+            for at in range(batch.num_rows):
+                key, is_held, text = (c[at].as_py() for c in batch.columns)
                 words = text.encode().lower().split()  # bytes: A-Z, and the six kinds of white space, no others
-                rows.append((key, held, words))
-                held_tokens += len(words) + 1
-                if held_tokens >= block_tokens:
-                    yield pa.RecordBatch.from_pylist([packed_block(number, rows)], schema)
-                    number, rows, held_tokens = number + 1, [], 0
-        if rows:
-            yield pa.RecordBatch.from_pylist([packed_block(number, rows)], schema)
+                ids.append(key)
+                held.append(is_held)
+                lines.append(np.fromiter(map(seen.__getitem__, words), np.int32, len(words)))
+                tokens += len(words) + 1
+                if tokens >= block_tokens:
+                    yield pa.RecordBatch.from_pylist([packed_block(number, ids, held, lines, seen)], schema)
+                    number, tokens = number + 1, 0
+                    ids, held, lines, seen = [], [], [], Numbered()
+        if ids:
+            yield pa.RecordBatch.from_pylist([packed_block(number, ids, held, lines, seen)], schema)
 
     return run
 
@@ -151,9 +154,9 @@ class Block:
     def __init__(self, sizes: list[int], held: list[bool], tokens: bytes, vocabulary: bytes):
         self.sizes = np.array(sizes, np.int64)
         starts = np.cumsum(self.sizes + 1) - self.sizes - 1
-        self.doc = np.repeat(np.arange(len(sizes)), self.sizes + 1)
-        self.offset = np.arange(len(self.doc)) - starts[self.doc]
-        line = np.zeros(len(self.doc), np.int64)
+        self.doc = np.repeat(np.arange(len(sizes), dtype=np.int32), self.sizes + 1)
+        self.offset = (np.arange(len(self.doc)) - np.repeat(starts, self.sizes + 1)).astype(np.uint32)
+        line = np.zeros(len(self.doc), np.uint32)
         line[self.offset > 0] = numbers(zlib.decompress(tokens))
         self.words = np.frombuffer(vocabulary, np.uint64)[line]
         self.held = np.array(held, bool)[self.doc]
@@ -285,47 +288,60 @@ def scored_block(block: Block, answers: dict[int, np.ndarray], model: Model) ->
     """Per text: tokens, known tokens, base and score without weights; per (text, context): weights it needs; per context
     that held-out texts have: the parts of its weight from the n-grams this block reports."""
     size, texts = len(block.doc), len(block.sizes)
-    score, open_ = np.zeros(size), block.offset > 0
-    count, context, keys, flags, sums, needs = {}, {}, {}, {}, [], []
+    narrow = np.uint32 if model.tokens < 1 << 32 else np.uint64
+    keys, count, flags, sums, needs = {}, {}, {}, [], []
+
+    def context(n: int, at: np.ndarray) -> np.ndarray:
+        """Training count of the context of the n-grams that end at the places ``at``."""
+        if n == 1:
+            return np.full(len(at), float(model.tokens))
+        out = count[n - 1][at - 1].astype(float)
+        if n == 2:
+            out[block.offset[at] == 1] = model.trained
+        return out
+
     for n, key, at in block.grams(model.order):
         distinct, first, where = np.unique(key[at], return_index=True, return_inverse=True)
         answer = answers.get(n, np.zeros(0, np.uint64))
-        keys[n], count[n], flags[n] = key, np.zeros(size), np.zeros(size, bool)
-        count[n][at] = (answer >> np.uint64(2))[where]
+        keys[n], count[n], flags[n] = key, np.zeros(size, narrow), np.zeros(size, bool)
+        count[n][at] = (answer >> np.uint64(2)).astype(narrow)[where]
         flags[n][at] = (answer & np.uint64(1)).astype(bool)[where]
+        del distinct, where
         if n == 1:
-            context[n] = np.full(size, float(model.tokens))
             continue
-        context[n] = np.append(0.0, count[n - 1][:-1]) if size else np.zeros(0)
-        if n == 2:
-            context[n][block.offset == 1] = model.trained
         # parts of the backoff weight of the context, where the n-gram is this block's to report
         reported = at[first[((answer >> np.uint64(1)) & np.uint64(1)).astype(bool)]]
         reported = reported[flags[n - 1][reported - 1] | (block.offset[reported] == 1)]
-        high = model.discounts[n](count[n][reported]) / context[n][reported]
-        low = model.discounts[n - 1](count[n - 1][reported]) / context[n - 1][reported]
+        high = model.discounts[n](count[n][reported]) / context(n, reported)
+        low = model.discounts[n - 1](count[n - 1][reported]) / context(n - 1, reported)
         owner, which = np.unique(keys[n - 1][reported - 1], return_inverse=True)
         sums.append((owner, np.bincount(which, high, len(owner)), np.bincount(which, low, len(owner))))
-    base = np.log10((count[1] + 1) / (model.tokens + model.types + 1)) * (block.offset > 0)
+        del first, reported, high, low, which
+    words = np.flatnonzero(block.offset > 0)
+    own = block.doc[words]
+    known = count[1][words]
+    base = np.bincount(own, np.log10((known + 1.0) / (model.tokens + model.types + 1)), texts)
+    n_known = np.bincount(own[known > 0], minlength=texts)
+    del words, own, known
+    score, open_ = np.zeros(texts), block.offset > 0
     for n in range(model.order, 0, -1):
-        here = open_ & (block.offset >= max(1, n - 1))
-        hit = np.flatnonzero(here & (count[n] > 0))
-        score[hit] += np.log10(model.discounts[n](count[n][hit]) / context[n][hit])
+        here = np.flatnonzero(open_ & (block.offset >= max(1, n - 1)))
+        seen = count[n][here] > 0
+        hit, missed = here[seen], here[~seen]
+        score += np.bincount(block.doc[hit], np.log10(model.discounts[n](count[n][hit]) / context(n, hit)), texts)
         open_[hit] = False
-        missed = np.flatnonzero(here & (count[n] == 0))
         if n == 1:
-            score[missed] += math.log10(model.unseen) if len(missed) else 0.0
+            score += np.bincount(block.doc[missed], minlength=texts) * math.log10(model.unseen) if len(missed) else 0.0
         else:
-            backing = missed[context[n][missed] > 0]
+            backing = missed[context(n, missed) > 0]
             needs.append((block.doc[backing], keys[n - 1][backing - 1]))
     pairs = np.concatenate([k for _, k in needs]) if needs else np.zeros(0, np.uint64)
-    docs = np.concatenate([d for d, _ in needs]) if needs else np.zeros(0, np.int64)
+    docs = np.concatenate([d for d, _ in needs]) if needs else np.zeros(0, np.int32)
     order = np.lexsort((pairs, docs))
     pairs, docs = pairs[order], docs[order]
     new = np.flatnonzero(np.append(True, (pairs[1:] != pairs[:-1]) | (docs[1:] != docs[:-1]))) if len(pairs) else np.zeros(0, np.int64)
     times = np.diff(np.append(new, len(pairs)))
-    add = lambda x: np.bincount(block.doc, x, texts)
-    per_text = {"n_tokens": block.sizes, "n_known": add((count[1] > 0).astype(float)).astype(np.int64), "base": add(base), "score": add(score)}
+    per_text = {"n_tokens": block.sizes, "n_known": n_known.astype(np.int64), "base": base, "score": score}
     per_need = {"doc": docs[new], "key": pairs[new], "times": times}
     joined = [np.concatenate(x) for x in zip(*sums)] if sums else [np.zeros(0, np.uint64), np.zeros(0), np.zeros(0)]
     return per_text, per_need, dict(zip(("key", "high", "low"), joined))
