@@ -9,7 +9,9 @@ Reading: a task reads a file from its start in small blocks.  Every record is a
 comes; its block is cut out by content length, and the digest of each response is checked.  A broken file is an error.
 
 A null html is an empty payload, a null url an empty target.  Rows that share the smallest page_id of a payload are all
-responses.  An empty table gives an empty manifest and no records.
+responses; a page_id that comes with several payloads has a record for each, referring to the first page of that payload.
+A record is put together in memory, payloads of any length included.  An empty table gives an empty manifest and no records.
+Other columns of the input, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -36,12 +38,12 @@ RECORDS = "page_id long, url string, record_type string, refers_to long, payload
 
 
 def first_pages(pages: DataFrame, least_bytes: int) -> DataFrame:
-    """(page_id, refers_to) of the pages whose payload an earlier page holds."""
+    """(page_id, sha, size, refers_to) of the payloads of pages that an earlier page holds."""
     body = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
     keys = pages.select(F.col("page_id").cast("long").alias("page_id"), F.sha1(body).alias("sha"), F.octet_length(body).alias("size"))
     keys = keys.where(F.col("size") >= least_bytes)
     first = keys.groupBy("sha", "size").agg(F.min("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    return keys.join(first, ["sha", "size"]).where("page_id <> refers_to").select("page_id", "refers_to").distinct()
+    return keys.join(first, ["sha", "size"]).where("page_id <> refers_to").select("page_id", "sha", "size", "refers_to").distinct()
 
 
 def record(page_id: int | None, url: str, payload: bytes, refers_to: int | None) -> bytes:
@@ -98,10 +100,12 @@ def write_archives(pages: DataFrame, folder: str, least_bytes: int = 0, file_byt
                 [pa.array(names), pa.array(counts, pa.int64()), pa.array(sizes, pa.int64())], names=["path", "records", "bytes"]
             )
 
-    later = first_pages(pages, least_bytes).withColumnRenamed("page_id", "_page")
+    later = first_pages(pages, least_bytes)
     body = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"), body.alias("payload"))
-    rows = rows.join(later, F.col("page_id") == F.col("_page"), "left").select("page_id", "url", "payload", "refers_to")
+    # a page_id may come with several payloads: each meets the first page of its own
+    rows = rows.withColumn("sha", F.sha1("payload")).withColumn("size", F.octet_length("payload"))
+    rows = rows.join(later, ["page_id", "sha", "size"], "left").select("page_id", "url", "payload", "refers_to")
     return written(rows.mapInArrow(run, MANIFEST), "manifest")
 
 

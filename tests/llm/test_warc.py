@@ -38,6 +38,14 @@ def test_round_trip(spark, least):
     assert sorted(map(tuple, got.collect()), key=repr) == want(rows, least)
 
 
+def test_a_page_id_with_several_payloads(spark):
+    rows = [(1, "a", "one"), (2, "b", "two"), (5, "c", "one"), (5, "d", "two"), (6, "e", "six"), (5, "f", "one"), (None, "g", "one")]
+    got = warc.archive_round_trip(spark.createDataFrame(rows, PAGES))
+    assert sorted(((r.page_id, r.record_type, r.refers_to) for r in got.collect()), key=repr) == sorted(
+        [(1, "response", None), (2, "response", None), (5, "revisit", 1), (5, "revisit", 2), (6, "response", None), (5, "revisit", 1), (None, "response", None)], key=repr
+    )
+
+
 def folder_of(spark):
     path = scratch_path(spark, "archives")
     return path if path.startswith("file:") else f"file://{path}"
