@@ -2,14 +2,19 @@
 
 The patterns find emails, network addresses, payment cards and phone numbers in the forms they state.  The random field
 reads the islands of a text that hold digits, an at sign or words for it: it scores whole candidate spans (numbers of 9 to
-15 digits, at forms and the fixed shapes; by shape, number of digits, check sum, separators, words before) and a dynamic program over spans of bounded length chooses boundaries and types
-together.  Its spans are added where they overlap no pattern span and clearly beat leaving the words alone.
-
-The field is trained here by conditional likelihood on at most ``SAMPLE`` islands that the patterns label, first in hash
-order, and on rewritten copies of them: the same data in forms that the patterns do not state.
-
-Null and empty texts have no spans.  Repeated rows have equal spans.  Positions are code points, ends exclusive.  An
-empty table trains on no islands, and the field then adds nothing.
+15 digits, at forms and the fixed shapes; by shape, number of digits, check sum, separators, words before) and a dynamic
+program over spans of bounded length chooses boundaries and types together.  Its spans are added where they overlap no
+pattern span and clearly beat leaving the words alone.
+
+The field is trained here by conditional likelihood on stretches of the corpus and on rewritten copies of them: the same
+data in forms that the patterns do not state.  The stretches are chosen by hash from all documents: at most ``SAMPLE``, a
+fifth of them around a pattern span of each kind and a fifth around islands without one, so that each kind is learnt
+however rare its spans are among the numbers of the corpus.
+
+Null and empty texts have no spans.  Texts and runs of any length are read in time proportional to them; an entity has at
+most ``LONGEST`` parts and ``ENTITY_CHARS`` characters.  Repeated rows have equal spans.  Positions are code points, ends
+exclusive.  An empty table trains on nothing, and the field then adds nothing.  Columns other than doc_id and text, whatever
+their names, are not read.
 """
 
 from __future__ import annotations
@@ -17,23 +22,27 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskframe.llm.common import text_or_empty
 
 KINDS = ("email", "ip", "card", "phone")
-#: Islands that the field is trained on; parts that a span may have; score above "no span" that an added span needs.
-SAMPLE, LONGEST, MARGIN = 300, 16, 2.0
+#: Stretches that the field is trained on; parts and characters that a span may have; score above "no span" that an added
+#: span needs.
+SAMPLE, LONGEST, ENTITY_CHARS, MARGIN = 300, 16, 254, 2.0
 EPOCHS, RATE, RIDGE = 40, 1.0, 1e-4
 
-EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+#: The name of an email is read backwards from its at sign, the run before it; an address starts where a run of digits does.
+LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+DOMAIN = re.compile(r"[A-Za-z0-9-]++(\.[A-Za-z0-9-]++)+")
+IP = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]++)(\.[0-9]++)(\.[0-9]++)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
@@ -53,14 +62,28 @@ def luhn(digits: str) -> bool:
 
 
 def octets(parts: list[str]) -> bool:
-    return all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in parts)
+    return all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or "0") <= 255 for p in parts)
+
+
+def emails(text: str) -> Iterator[tuple[int, int]]:
+    """Leftmost matches of name@domain, without overlaps: the name is the whole run before the at sign."""
+    done, at = 0, text.find("@")
+    while at >= 0:
+        start = at
+        while start > done and text[start - 1] in LOCAL:
+            start -= 1
+        domain = DOMAIN.match(text, at + 1) if start < at else None
+        if domain:
+            done = domain.end()
+            yield start, done
+        at = text.find("@", max(at + 1, done))
 
 
 def pattern_spans(text: str) -> list[Span]:
     """(start, end, kind) by start, then kind."""
     found: list[Span] = []
     if "@" in text:
-        found += [(m.start(), m.end(), "email") for m in EMAIL.finditer(text)]
+        found += [(start, end, "email") for start, end in emails(text)]
     if DIGIT.search(text):
         found += [(m.start(), m.end(), "ip") for m in IP.finditer(text) if octets(m[0].split("."))]
         for m in CARD.finditer(text):
@@ -159,17 +182,23 @@ def widen(text: str, start: int, end: int) -> tuple[int, int]:
 def candidates(text: str, start: int, end: int) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
     """Parts of an island, and spans (first part, after the last) that may be an entity."""
     parts = [(m.start(), m.end()) for m in PART.finditer(text, start, end)]
+    digits = [len(DIGIT.findall(text, *p)) if p[1] - p[0] <= ENTITY_CHARS else 0 for p in parts]
+    island = text[start:end]
+    at_forms = "@" in island or "at" in island
     spans = []
     for i in range(len(parts)):
+        n = 0
         for j in range(i + 1, min(len(parts), i + LONGEST) + 1):
-            if j > i + 1 and parts[j - 1][0] - parts[j - 2][1] > 1:
+            if (j > i + 1 and parts[j - 1][0] - parts[j - 2][1] > 1) or parts[j - 1][1] - parts[i][0] > ENTITY_CHARS:
+                break
+            n += digits[j - 1]
+            if n > 19 and not at_forms:
                 break
             s = text[parts[i][0] : parts[j - 1][1]]
             if len(s) >= 6 and "\n" not in s:
-                digits = len(DIGIT.findall(s))
-                if (9 <= digits <= 15 and NUMBERS.fullmatch(s)) or AT_FORM.search(s):
+                if (9 <= n <= 15 and NUMBERS.fullmatch(s)) or (at_forms and AT_FORM.search(s)):
                     spans.append((i, j))
-                elif (digits >= 4 or "@" in s or "at" in s) and any(shape.fullmatch(s) for _, shape in SHAPES):
+                elif (n >= 4 or "@" in s or "at" in s) and any(shape.fullmatch(s) for _, shape in SHAPES):
                     spans.append((i, j))
     return parts, spans
 
@@ -189,9 +218,13 @@ class Field:
 
     def best(self, text: str, start: int, end: int, margin: float) -> list[Span]:
         """Spans of the best segmentation, those that beat no span by the margin; a part outside spans scores 0."""
-        parts, spans, _, scores = self.chart(text, start, end)
+        parts, spans = candidates(text, start, end)
         if not spans:
             return []
+        scores = np.empty((len(spans), len(KINDS)))
+        for at in range(0, len(spans), 1000):  # features of a few spans at a time
+            some = spans[at : at + 1000]
+            scores[at : at + 1000] = np.array([span_features(text, parts[i][0], parts[j - 1][1]) for i, j in some]) @ self.weights.T
         top: list[tuple[float, tuple | None]] = [(0.0, None)] + [(-np.inf, None)] * len(parts)
         ending: dict[int, list[int]] = {}
         for at, (_, j) in enumerate(spans):
@@ -303,20 +336,55 @@ def train(texts: list[str], seed: int = 5) -> np.ndarray | None:
     return field.weights
 
 
+def stretches(text: str) -> dict[str, tuple[int, str]]:
+    """For each kind of pattern span, and for islands without one (""): of the stretches of the text the one with the least
+    hash, as (hash, stretch of whole words)."""
+    base, found = pattern_spans(text), {}
+    merged = Covered(base)
+    free = [(start, end, "") for start, end in islands(text) if not merged.touches(start, end)]
+    for start, end, kind in (*base, *free):
+        low, high = max(0, start - 60), min(len(text), min(end, start + 200) + 40)
+        low = low if low == 0 else text.find(" ", low, start) + 1 or start
+        high = high if high == len(text) else max(text.rfind(" ", end, high), min(end, high))
+        stretch = text[low:high]
+        place = xxhash.xxh3_64_intdigest(stretch) >> 1
+        if kind not in found or (place, stretch) < found[kind]:
+            found[kind] = (place, stretch)
+    return found
+
+
+class Covered:
+    """Places that spans cover."""
+
+    def __init__(self, spans: list[Span]):
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        for start, end, _ in sorted(spans):
+            if self.ends and start <= self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], end)
+            else:
+                self.starts.append(start)
+                self.ends.append(end)
+
+    def touches(self, start: int, end: int) -> bool:
+        at = bisect_right(self.starts, end - 1) - 1
+        return at >= 0 and self.ends[at] > start
+
+
 def sample_texts(docs: DataFrame, most: int) -> list[str]:
-    """Stretches with the first four islands of at most ``most`` documents, in hash order."""
+    """At most ``most`` stretches: for each kind, and for islands without a pattern span, the one with the least hash in each
+    of ``most`` / 5 hash buckets, over all documents."""
+    each = max(1, most // (len(KINDS) + 1))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = []
-            for text in batch.column(0).to_pylist():
-                places = list(islice(islands(text), 4))
-                found.append(text[max(0, places[0][0] - 30) : places[-1][1]][:2000] if places else None)
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.string())], names=["text"])
+            found = [(kind, *x) for text in batch.column(0).to_pylist() for kind, x in stretches(text).items()]
+            kinds, places, texts = zip(*found) if found else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.string()), pa.array(places, pa.int64()), pa.array(texts, pa.string())], names=["kind", "place", "stretch"])
 
-    rows = docs.select(text_or_empty().alias("text")).where(F.col("text").rlike("[0-9@]")).mapInArrow(cut, "text string")
-    rows = rows.where("text IS NOT NULL").distinct().orderBy(F.xxhash64("text"), "text").limit(most)
-    return [r["text"] for r in rows.collect()]
+    rows = docs.select(text_or_empty().alias("text")).where(F.col("text").rlike("[0-9@]")).mapInArrow(cut, "kind string, place long, stretch string")
+    least = rows.groupBy("kind", (F.col("place") % each).alias("bucket")).agg(F.min(F.struct("place", "stretch")).alias("least"))
+    return [r["least"]["stretch"] for r in sorted(least.collect(), key=lambda r: (r["kind"], r["bucket"]))]
 
 
 def joined(spans: list[Span]) -> str:
@@ -340,7 +408,8 @@ def personal_data(docs: DataFrame, most: int = SAMPLE, margin: float = MARGIN) -
                 else:
                     base = pattern_spans(text)
                     extra = [] if field is None else [s for i in islands(text) for s in field.best(text, *i, margin)]
-                    extra = [s for s in dict.fromkeys(extra) if all(s[1] <= b[0] or s[0] >= b[1] for b in base)]
+                    taken = Covered(base)
+                    extra = [s for s in dict.fromkeys(extra) if not taken.touches(s[0], s[1])]
                     line = joined(base)
                     every = sorted(base + extra, key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
                     counts = [sum(s[2] == kind for s in base) for kind in KINDS]

@@ -100,3 +100,79 @@ def test_spelled_addresses_and_grouped_phones(spark):
         assert add(f"so ask {value} now") == [value]
     for clean in ("we sat at home. The dot is red", "on 2021-03-04 12:30 we met", "years 1999 2000 2001 passed"):
         assert add(clean) == []
+
+
+def plain_spans(text):
+    """The stated patterns as they are written, with a plain search."""
+    import re
+
+    out = []
+    for kind, pattern in (
+        ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"),
+        ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
+        ("card", r"[0-9]([\x20-]?[0-9])+"),
+        ("phone", r"\+[0-9][\x20().0-9-]+[0-9]"),
+    ):
+        for m in re.finditer(pattern, text):
+            digits = re.sub("[^0-9]", "", m[0])
+            if (
+                kind == "email"
+                or (kind == "ip" and all(int(x) <= 255 for x in m[0].split(".")))
+                or (kind == "card" and 12 <= len(digits) <= 19 and privacy.luhn(digits))
+                or (kind == "phone" and 9 <= len(digits) <= 15)
+            ):
+                out.append((m.start(), m.end(), kind))
+    return sorted(out, key=lambda s: (s[0], privacy.KINDS.index(s[2]), s[1]))
+
+
+def test_patterns_as_a_plain_search():
+    import random
+
+    rng = random.Random(3)
+    pieces = list("@.-+ ()ab1290") + ["a@b.c", "1.2.3.4", "4111111111111111", "+1 (201) 555-0123", "@@", "x" * 5, "99" * 4, "\n", "é"]
+    for _ in range(4000):
+        text = "".join(rng.choice(pieces) for _ in range(rng.randrange(1, 25)))
+        assert privacy.pattern_spans(text) == plain_spans(text), text
+
+
+@pytest.mark.parametrize("text", ["1" * 1_000_000, "a" * 1_000_000 + "@", "a@" * 500_000, "1." * 500_000, "0" * 1_000_000 + ".0.0.0", "+1" + " " * 1_000_000, "a@" + "b-" * 500_000, "+1 " * 300_000])
+def test_long_runs_take_time_in_proportion(text):
+    import time
+
+    start = time.process_time()
+    privacy.pattern_spans(text)
+    list(privacy.islands(text))
+    assert time.process_time() - start < 10  # about a second; a search from every start would take an hour
+
+
+def test_long_islands_and_bounded_entities():
+    import time
+
+    field = privacy.Field(np.zeros((len(privacy.KINDS), privacy.N_FEATURES)))
+    for text in ("1234 5678 " * 10_000, "9" * 200_000 + " 1 2", "x@" * 50_000):
+        start = time.process_time()
+        for a, b in privacy.islands(text):
+            field.best(text, a, b, 0.0)
+        assert time.process_time() - start < 30
+    parts, spans = privacy.candidates("4111 1111 1111 1111 ", 0, 20)
+    assert [(parts[i][0], parts[j - 1][1]) for i, j in spans if j - i == 4] == [(0, 19)]
+    assert all(parts[j - 1][1] - parts[i][0] <= privacy.ENTITY_CHARS for i, j in privacy.candidates("a" * 300 + "@example.com", 0, 312)[1])
+
+
+def test_rare_kinds_are_learnt_among_many_numbers(spark):
+    """Nearly all numbers are years and prices; the sample still holds stretches of every kind."""
+    plain = [(i, f"in {1900 + i % 120} it cost {i}.50 euros, item {i * 7919} of {i * 31}", "en", "a", 0) for i in range(3000)]
+    rare = [(5000 + i, t, "en", "a", 0) for i, (_, t, *_) in enumerate(rows_of()[-41:-1])]
+    texts = privacy.sample_texts(documents(spark, plain + rare), 300)
+    assert len(texts) <= 300
+    counts = {kind: sum(any(s[2] == kind for s in privacy.pattern_spans(t)) for t in texts) for kind in privacy.KINDS}
+    assert all(n >= 20 for n in counts.values()) and sum(not privacy.pattern_spans(t) for t in texts) >= 40
+    field = privacy.Field(privacy.train(texts))
+    add = lambda t: [t[a:b] for i in privacy.islands(t) for a, b, _ in field.best(t, *i, privacy.MARGIN)]
+    assert add("ask (201) 555-0123 now") == ["(201) 555-0123"] and add("write joe[at]mail.example.com ok") == ["joe[at]mail.example.com"]
+    assert add("in 1987 it cost 12.50 euros, item 5543300") == []
+
+
+def test_the_sample_does_not_depend_on_partitions(spark):
+    docs = documents(spark, rows_of())
+    assert privacy.sample_texts(docs.repartition(1), 100) == privacy.sample_texts(docs.repartition(7), 100)
