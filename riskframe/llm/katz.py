@@ -1,6 +1,6 @@
 """Katz backoff language model: Good-Turing discounted n-gram counts, exactly normalised backoff weights, scores per text.
 
-Tasks tokenise the corpus into blocks of some million tokens.  A block asks for its distinct n-grams of every order at the
+Tasks tokenise the corpus into blocks of about a million tokens.  A block asks for its distinct n-grams of every order at the
 partition of the count table that owns their 64-bit hashes; a partition adds up the training counts of all blocks and
 answers each block in the order it asked.  One block per n-gram is named its reporter: reporters add up, per context, the
 discounted probability of the followers and their lower-order probability, from which come the exact backoff weights
@@ -41,7 +41,7 @@ from riskframe.session import scratch_path
 
 ORDER = 2
 #: Tokens of a block, and (block, n-gram) entries a partition of the count table is laid out for.
-BLOCK_TOKENS = 2_000_000
+BLOCK_TOKENS = 1_000_000
 OWNED = 1_000_000
 CUT = 5
 START, END = 0, 1
