@@ -1,23 +1,30 @@
 """Exact dedup through an extendible-hash index on shared files, with DataFrame functions only.
 
-Index entries are (64-bit key, SHA-256, smallest row, rows) of the distinct texts, so copies are combined before they
-move.  The directory starts at the depth that the number of keys asks for and doubles while a bucket holds more keys
-than its capacity; only overfull buckets split.  Buckets are written in key ranges, one owner task per range.  Entries
-with one key form a chain; rows of a chain with more than one row are compared byte by byte, as grouping keys.
-
-Null text counts as empty, and all empty texts are equal.  Of rows that repeat the smallest doc_id of a group, one
-stays.  A null doc_id sorts before all others.  An empty table gives an empty result.
+The directory starts at the depth that the number of keys asks for and doubles while a bucket holds more keys than its
+capacity; only overfull buckets split.  A row's leading key bits are its slot, the slot names its bucket, and a bucket is a
+range of keys with one owner task.  Copies are combined by their bytes on their way (a few salted rows are left of a group of
+any size); the owner puts the texts of its buckets in order, compares each with the one before it in the chain of its key,
+and writes an entry per distinct text: bucket, key, place in the chain, digest, smallest row, rows.  Rows then look their
+entry up through the directory again, by bucket, key and digest.
+
+Null text counts as empty, and all empty texts are equal; texts of any length are compared whole.  Of rows that repeat the
+smallest doc_id of a group, one stays.  A null doc_id sorts before all others.  An empty table gives an empty result.
+Columns other than doc_id and text, whatever their names, are not read.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskframe.llm.common import SPACE, text_or_empty, written
 
 #: Keys that a bucket holds before it splits.
-CAPACITY = 50_000
+CAPACITY = 5_000
+#: Rows that are left of a group of copies before they move to the bucket's owner.
+SALTS = 8
+#: Directory slots up to which the directory goes to every task.
+MOST_SENT = 1 << 20
 
 
 def normal_text(name: str = "text") -> Column:
@@ -52,43 +59,41 @@ def directory(entries: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     return leaves.select(F.explode(F.sequence(first, last)).alias("slot"), "bucket", "depth", F.lit(depth).alias("global_depth"))
 
 
+def placed(rows: DataFrame, slots: DataFrame, depth: int) -> DataFrame:
+    """The rows that the directory has a slot for, with their bucket (first slot and depth)."""
+    named = slots.select("slot", F.struct("bucket", "depth").alias("bucket"))
+    named = F.broadcast(named) if 1 << depth <= MOST_SENT else named
+    return rows.withColumn("slot", slot_of(depth)).join(named, "slot").drop("slot")
+
+
 def build_index(docs: DataFrame, capacity: int = CAPACITY) -> tuple[DataFrame, DataFrame]:
-    """(rows, index).  rows: row_id, doc_id, key, sha.  index: bucket, key, sha, keep_id, keep_row, group_size."""
-    rows = written(
-        docs.select(F.monotonically_increasing_id().alias("row_id"), F.col("doc_id").cast("long").alias("doc_id"), normal_text().alias("body"))
-        .select("row_id", "doc_id", F.xxhash64("body").alias("key"), F.unhex(F.sha2("body", 256)).alias("sha")),
-        "rows",
-    )
-    least = F.min(F.struct("doc_id", "row_id")).alias("least")
-    entries = written(rows.groupBy("key", "sha").agg(least, F.count(F.lit(1)).alias("n")), "entries")
-    slots = directory(entries, capacity)
+    """(rows, index).  rows: row_id, doc_id, key, sha, bucket.  index: bucket, key, chain, sha, keep_id, keep_row, group_size."""
+    texts = docs.select(F.monotonically_increasing_id().alias("row_id"), F.col("doc_id").cast("long").alias("doc_id"), normal_text().alias("body"))
+    rows = written(texts.select("row_id", "doc_id", F.xxhash64("body").alias("key"), F.unhex(F.sha2("body", 256)).alias("sha")), "rows")
+    slots = written(directory(rows, capacity), "directory")
     depth = slots.agg(F.max("global_depth")).first()[0] or 0
-    placed = entries.withColumn("slot", slot_of(depth)).join(slots.select("slot", "bucket", "depth"), "slot")
-    chains = entries.groupBy("key").agg(F.sum("n").alias("rows")).where("rows > 1").select("key")
-    bodies = docs.select(F.col("doc_id").cast("long").alias("doc_id"), normal_text().alias("body")).withColumn("key", F.xxhash64("body"))
-    # Grouping on the bytes themselves: rows that share a key and a digest but differ would come out as two groups.
-    compared = (
-        bodies.join(chains, "key", "left_semi")
-        .groupBy("key", "body")
-        .agg(F.count(F.lit(1)).alias("same"), F.min("doc_id").alias("low"))
-        .select("key", F.unhex(F.sha2("body", 256)).alias("sha"), "same", "low")
-        .groupBy("key", "sha")
-        .agg(F.count(F.lit(1)).alias("texts"), F.sum("same").alias("same"), F.min("low").alias("low"))
-    )
-    index = placed.join(compared, ["key", "sha"], "left").select(
-        "bucket", "depth", "key", "sha",
-        F.coalesce("low", "least.doc_id").alias("keep_id"),
-        F.col("least.row_id").alias("keep_row"),
-        F.coalesce("same", "n").alias("group_size"),
-        F.when(F.col("texts") > 1, F.raise_error(F.lit("two texts share a SHA-256 digest"))).otherwise(F.lit(True)).alias("checked"),
-    )
-    return rows, written(index.repartitionByRange("bucket").sortWithinPartitions("bucket", "key"), "index")
+    least, n = F.min(F.struct("doc_id", "row_id")).alias("least"), F.count(F.lit(1)).alias("n")
+    bodies = placed(texts.withColumn("key", F.xxhash64("body")), slots, depth).withColumn("salt", F.pmod(F.xxhash64("row_id"), F.lit(SALTS)))
+    few = bodies.groupBy("bucket", "key", "body", "salt").agg(least, n)
+    # the owner of a bucket: its chains in order of key and bytes
+    owned = few.repartition("bucket")
+    chain = Window.partitionBy("bucket", "key").orderBy("body")
+    told = owned.withColumn("new", F.when(F.col("body") == F.lag("body").over(chain), 0).otherwise(1))
+    told = told.withColumn("chain", F.sum("new").over(chain.rowsBetween(Window.unboundedPreceding, 0)))
+    digest = F.when(F.col("new") == 1, F.unhex(F.sha2("body", 256)))
+    entries = told.select("bucket", "key", "chain", digest.alias("sha"), "least", "n")
+    entries = entries.groupBy("bucket", "key", "chain").agg(F.first("sha", ignorenulls=True).alias("sha"), F.min("least").alias("least"), F.sum("n").alias("n"))
+    index = written(entries.select("bucket", "key", "chain", "sha", "least.*", "n").toDF("bucket", "key", "chain", "sha", "keep_id", "keep_row", "group_size"), "index")
+    twins = index.where("chain > 1").groupBy("bucket", "key", "sha").count().where("count > 1")
+    if not twins.isEmpty():
+        raise ValueError("two texts share a key and a SHA-256 digest")
+    return placed(rows, slots, depth), index
 
 
 def exact_dedup(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """One row per input row: row_id, doc_id, keep_id, group_size, kept, text_sha256."""
     rows, index = build_index(docs, capacity)
-    found = rows.join(index.where("checked").drop("bucket", "depth"), ["key", "sha"])
+    found = rows.join(index.drop("chain"), ["bucket", "key", "sha"])
     return found.select(
         "row_id", "doc_id", "keep_id", "group_size",
         (F.col("row_id") == F.col("keep_row")).alias("kept"),

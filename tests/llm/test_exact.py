@@ -37,6 +37,32 @@ def test_directory_splits_and_covers(spark):
     assert max(sizes.values()) <= 10
 
 
+@pytest.mark.parametrize("wrong", ["slot < 3", "bucket <> 5"])
+def test_groups_come_from_the_buckets_of_the_directory(spark, monkeypatch, wrong):
+    """Rows without a slot have no bucket, and so no group."""
+    rows = [(i, f"text {i % 40}", "en", "a", 0) for i in range(80)]
+    assert exact.exact_dedup(documents(spark, rows), 4).count() == 80
+    whole = exact.directory
+    monkeypatch.setattr(exact, "directory", lambda entries, capacity: whole(entries, capacity).where(wrong))
+    assert 0 < exact.exact_dedup(documents(spark, rows), 4).count() < 80
+
+
+def test_chains_compare_bytes(spark, monkeypatch):
+    """With one key for all texts, one chain holds them all and only the bytes tell them apart."""
+    rows = [(i, f"text {i % 7}", "en", "a", 0) for i in range(50)]
+    monkeypatch.setattr(exact.F, "xxhash64", lambda *c: F.lit(0).cast("long"))
+    _, index = exact.build_index(documents(spark, rows), 3)
+    found = index.collect()
+    assert sorted(r["chain"] for r in found) == list(range(1, 8)) and sorted(r["keep_id"] for r in found) == list(range(7))
+    assert exact.exact_dedup(documents(spark, rows), 3).where("kept").count() == 7
+
+
+def test_copies_are_combined_before_they_move(spark):
+    rows = [(i, "the same text" if i % 3 else f"text {i}", "en", "a", 0) for i in range(3000)]
+    got = exact.exact_dedup(documents(spark, rows).repartition(20))
+    assert got.where("text_sha256 = sha2('the same text', 256)").select("group_size", "keep_id").distinct().collect() == [(2000, 1)]
+
+
 def test_drop_copies(spark):
     docs = documents(spark)
     kept = exact.drop_copies(with_clashes(docs))
