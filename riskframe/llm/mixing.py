@@ -5,7 +5,8 @@ finishes at virtual time (source words up to and with it) / (target words of the
 at rates proportional to their targets.  The mix is the global order of these finish times, cut at the total budget.
 
 Null text has no words.  A null source is a source of its own, last in order.  Repeated rows are documents of their
-own.  An empty table gives an empty mix.
+own; rows that share a doc_id are drawn to one place of their queue.  A text of any length is one entry.  An empty table
+gives an empty mix.  Columns other than doc_id, source and text, whatever their names, play no part.
 """
 
 from __future__ import annotations
@@ -110,15 +111,16 @@ def mixed_sizes(mix: DataFrame) -> DataFrame:
 
 
 def mixed_documents(docs: DataFrame, weight: Callable[[Column], Column] = cyclic_weight, most: int = MOST_COPIES, seed: int = 42) -> DataFrame:
-    """The mix as documents, with the columns of the input: a row for each copy taken.  A cut copy ends with the last
-    word it takes, and ``n_chars``, where there is one, is counted again."""
+    """The mix as documents, with the columns of the input: a row for each copy taken, in the order of the mix (by range
+    over partitions, sorted in each, so that a written table keeps it).  A cut copy ends with the last word it takes, and
+    ``n_chars``, where there is one, is counted again."""
     mix = mix_sources(docs, weight, most, seed).where("taken > 0").select(
-        F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), F.col("tie").alias("_mark"), "taken"
+        F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), F.col("tie").alias("_mark"), "taken", "position"
     )
     # Rows that repeat a document in every respect that counts are one entry with several copies here, so that each
     # copy of the mix meets one row of the input.
     same = ["_id", "_source", "_size", "_mark"]
-    wanted = mix.groupBy(*same).agg(F.sort_array(F.collect_list("taken"), asc=False).alias("_copies"))
+    wanted = mix.groupBy(*same).agg(F.sort_array(F.collect_list(F.struct("taken", "position")), asc=False).alias("_copies"))
     text = text_or_empty()
     rows = docs.withColumn("_tie", F.xxhash64(text))
     repeats = rows.groupBy(F.col("doc_id").cast("long").alias("_i"), F.col("source").cast("string").alias("_s"), "_tie").count().where("count > 1")
@@ -129,12 +131,14 @@ def mixed_documents(docs: DataFrame, weight: Callable[[Column], Column] = cyclic
         & F.col("source").cast("string").eqNullSafe(F.col("_source"))
         & (F.col("_tie") == F.col("_mark"))
     )
-    copies = rows.join(wanted, match).withColumn("_taken", F.explode("_copies"))
+    copies = rows.join(wanted, match).withColumn("_copy", F.explode("_copies"))
+    copies = copies.withColumn("_taken", F.col("_copy.taken")).withColumn("_at", F.col("_copy.position"))
     # Pieces of a word and the space before it.
     pieces = F.split(text, r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])")
     cut = F.array_join(F.slice(pieces, F.lit(1), F.col("_taken").cast("int")), "")
     short = F.col("_taken") < F.col("_size")
     out = copies.withColumn("_text", F.when(short, cut).otherwise(F.col("text")))
+    out = out.repartitionByRange("_at", "_mark").sortWithinPartitions("_at", "_mark")
     swap = {"text": F.col("_text")}
     if "n_chars" in docs.columns:
         swap["n_chars"] = F.when(short, F.length("_text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))

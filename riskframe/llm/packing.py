@@ -1,6 +1,6 @@
 """Mixture-controlled packing: deficit round-robin over source queues fills windows of tokens.
 
-Each source is a queue of its documents in shuffled (hash) order, cut into packets of at most the queue's quantum, or
+Each source is a queue of its documents in shuffled (hash) order, or in the order of a written table (``ordered``), cut into packets of at most the queue's quantum, or
 one of ``PACKETS`` parts of a window where the quantum is less, so that a window holds every larger source's share.  A round gives
 every queue its quantum, the source's target share of a window; a packet goes out in the round in which its queue's
 credit covers it, and what is left is carried on.  A queue that always has packets serves the packet that ends at c
@@ -9,7 +9,10 @@ queue: exact across windows and partitions.  The order (round, queue, place in q
 other; only the last window can be short.
 
 Without given weights the targets are the sources' shares of all tokens.  Null and empty texts are one end token.  A
-null source is a queue of its own.  Repeated rows are documents of their own.  An empty table gives no pieces.
+null source is a queue of its own.  Repeated rows are documents of their own, and so are rows that share a doc_id: the hash
+order tells them apart by their place in the input, so that copies do not follow each other.  A text of any length is one
+row of its task, its pieces are slices.  An empty table gives no pieces.  Columns other than doc_id, source and text, whatever
+their names, are not read.
 """
 
 from __future__ import annotations
@@ -22,10 +25,10 @@ from types import ModuleType
 import numpy as np
 import pyarrow as pa
 import public_tokenizers
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskframe.llm.common import cells_for, running_sum, text_or_empty, written
+from riskframe.llm.common import ROWS_PER_CELL, cells_for, running_sum, text_or_empty, written
 
 #: Most packets of a full window; a source with a smaller share of it comes in some windows only.
 PACKETS = 64
@@ -65,8 +68,8 @@ def token_ids(path: str) -> TokenIds:
     return kept.__dict__[path]
 
 
-def tokenized(docs: DataFrame, path: str, end_id: int) -> DataFrame:
-    """row_id, doc_id, source, n (ids with the end), ids (16-bit, little-endian)."""
+def tokenized(docs: DataFrame, path: str, end_id: int, ordered: bool = False) -> DataFrame:
+    """row_id, doc_id, source, n (ids with the end), ids (16-bit, little-endian), file and line of the row if ``ordered``."""
     end = np.array([end_id], "<u2").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -81,7 +84,8 @@ def tokenized(docs: DataFrame, path: str, end_id: int) -> DataFrame:
                 ]
                 sizes = pa.array([len(x) // 2 for x in ids], pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [*piece.columns[:3], sizes, pa.array(ids, pa.large_binary())], names=["row_id", "doc_id", "source", "n", "ids"]
+                    [*piece.columns[:3], sizes, pa.array(ids, pa.large_binary()), *piece.columns[4:]],
+                    names=["row_id", "doc_id", "source", "n", "ids", *piece.schema.names[4:]],
                 )
 
     narrow = docs.select(
@@ -89,12 +93,22 @@ def tokenized(docs: DataFrame, path: str, end_id: int) -> DataFrame:
         F.col("doc_id").cast("long").alias("doc_id"),
         F.col("source").cast("string").alias("source"),
         text_or_empty().alias("text"),
+        *([F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("line")] if ordered else []),
     )
-    return narrow.mapInArrow(run, "row_id long, doc_id long, source string, n long, ids binary")
+    return narrow.mapInArrow(run, "row_id long, doc_id long, source string, n long, ids binary" + ", file string, line long" * ordered)
+
+
+def numbered(rows: DataFrame) -> DataFrame:
+    """Add ``place``, the number of a row in the order of files and lines.  One row per file is put in order."""
+    files = rows.groupBy("file").agg((F.max("line") + 1).alias("_n"))
+    before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+    starts = files.select("file", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    return rows.join(starts, "file").withColumn("place", F.col("_start") + F.col("line")).drop("_start", "file", "line")
 
 
 def packing_plan(sizes: DataFrame, window: int, weights: DataFrame | None = None, seed: int = 42, least_packet: int | None = None) -> DataFrame:
-    """row_id, start, length, sequence_id, offset of every piece, from (row_id, doc_id, source, n) rows.
+    """row_id, start, length, sequence_id, offset of every piece, from (row_id, doc_id, source, n) rows; a column ``place``
+    sets the order of the queues.
 
     ``weights`` holds (source, weight) rows; each source needs one above 0.  Packets are as long as their queue's
     quantum, and at least ``least_packet`` tokens; without it, up to a window.
@@ -107,10 +121,14 @@ def packing_plan(sizes: DataFrame, window: int, weights: DataFrame | None = None
     sums = shares.agg(F.sum("weight").alias("w"), F.sum("tokens").alias("t"), F.sum("rows").alias("r")).first()
     cells = cells_for(sums["r"] or 0)
     quantum = shares.select(queue.alias("queue"), (F.col("weight") * window / float(sums["w"] or 1)).alias("quantum"))
-    mixed = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    queued = sizes.select("row_id", "n", queue.alias("queue"), mixed.alias("shuffle")).withColumn(
-        "cell", F.floor(F.conv(F.substring("shuffle", 1, 8), 16, 10).cast("double") * cells / 2**32).cast("long")
-    )
+    if "place" in sizes.columns:
+        queued = sizes.select("row_id", "n", queue.alias("queue"), F.col("place").alias("shuffle"))
+        queued = queued.withColumn("cell", F.floor(F.col("shuffle") / ROWS_PER_CELL))
+    else:
+        mixed = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.col("row_id").cast("string")))
+        queued = sizes.select("row_id", "n", queue.alias("queue"), mixed.alias("shuffle")).withColumn(
+            "cell", F.floor(F.conv(F.substring("shuffle", 1, 8), 16, 10).cast("double") * cells / 2**32).cast("long")
+        )
     queued = running_sum(queued, ["queue"], "cell", [F.col("shuffle"), F.col("row_id")], "n", "before").join(quantum, "queue")
     most = F.lit(window).cast("long")
     if least_packet is not None:
@@ -134,10 +152,14 @@ def packing_plan(sizes: DataFrame, window: int, weights: DataFrame | None = None
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def pack(docs: DataFrame, window: int = WINDOW, path: str = TOKENIZER, end_id: int = END_ID, weights: DataFrame | None = None) -> DataFrame:
-    """doc_id, start, length, doc_tokens, sequence_id, offset and ``ids`` (16-bit, little-endian) of every piece."""
-    rows = written(tokenized(docs, path, end_id), "tokens")
-    plan = packing_plan(rows.select("row_id", "doc_id", "source", "n"), window, weights, least_packet=window // PACKETS)
+def pack(
+    docs: DataFrame, window: int = WINDOW, path: str = TOKENIZER, end_id: int = END_ID, weights: DataFrame | None = None, ordered: bool = False
+) -> DataFrame:
+    """doc_id, start, length, doc_tokens, sequence_id, offset and ``ids`` (16-bit, little-endian) of every piece.
+    ``ordered`` keeps the order of a table read from files; without it queues are shuffled."""
+    rows = written(tokenized(docs, path, end_id, ordered), "tokens")
+    sizes = rows.drop("ids")
+    plan = packing_plan(numbered(sizes) if ordered else sizes, window, weights, least_packet=window // PACKETS)
     # The pieces of a document are cut on the JVM side: a slice of its ids each.
     return plan.join(rows.select("row_id", "doc_id", F.col("n").alias("doc_tokens"), "ids"), "row_id").select(
         "doc_id", "start", "length", "doc_tokens", "sequence_id", "offset",

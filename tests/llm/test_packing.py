@@ -107,3 +107,27 @@ def test_every_window_holds_the_shares(spark):
     full = [h for h in held.values() if sum(h.values()) == 512]
     away = [sum(abs(h[s] / 512 - total[s] / sum(total.values())) for s in total) / 2 for h in full]
     assert len(full) > 50 and sum(away) / len(away) < 0.15
+
+
+def test_copies_of_the_mix_lie_apart(spark, tmp_path):
+    """A written mix is packed in its order: the copies of a document are a whole pass over its source apart."""
+    from riskframe.llm import mixing
+
+    rows = [(i, " ".join(f"w{i}x{j}" for j in range(30)), "en", "big" if i % 5 else ("b", "c")[i % 2], 0) for i in range(400)]
+    mixing.mixed_documents(documents(spark, rows)).write.parquet(f"{tmp_path}/mix")
+    mix = spark.read.parquet(f"{tmp_path}/mix")
+    copies = [r.doc_id for r in mix.groupBy("doc_id").count().where("count > 1").collect()]
+    assert len(copies) > 30
+    pieces = packing.digests(packing.pack(mix, window=256, ordered=True)).collect()
+    assert sum(p.length for p in pieces) == sum(p.doc_tokens for p in pieces if p.start == 0)
+    last = max(p.sequence_id for p in pieces)
+    for i in copies:
+        at = sorted(p.sequence_id for p in pieces if p.doc_id == i and p.start == 0)
+        assert min(b - a for a, b in zip(at, at[1:])) > last / 10
+
+
+def test_rows_that_share_an_id_lie_apart(spark):
+    rows = [(7 if i % 3 == 0 else i, f"text number {i} of many", "en", "a", 0) for i in range(300)]
+    pieces = packing.digests(packing.pack(documents(spark, rows), window=64)).collect()
+    at = sorted({p.sequence_id for p in pieces if p.doc_id == 7})
+    assert len(at) > 20 and at[-1] - at[0] > 0.8 * max(p.sequence_id for p in pieces)
