@@ -22,7 +22,7 @@ from riskframe.streaming.scoring import json_records, stream_score
 
 KEEP = ["event_id", "y"]
 SMALL_FOREST = {"trees": 5, "depth": 4, "min_leaf": 4}
-SMALL_BOOST = {"rounds": 3, "depth": 3}
+SMALL_BOOST = {"rounds": 20, "depth": 4}
 BASE = (
     Learner("forest", "random_forest", SMALL_FOREST, "balanced"),
     Learner("bayes", "naive_bayes"),
@@ -53,7 +53,7 @@ def fit_boosted_trees(spark, sf):
 
 
 def fit_boosted_trees_deep(spark, sf):
-    return _fit_and_score(spark, sf, "boosted_trees", {**SMALL_BOOST, "depth": 5, "profile": "deep"}, 1.0518)
+    return _fit_and_score(spark, sf, "boosted_trees", {**SMALL_BOOST, "profile": "deep"}, 1.0518)
 
 
 def fit_logistic(spark, sf):

@@ -102,6 +102,29 @@ def attribution_summary(spark, sf):
     return rounded_columns(found, "mean_abs", "min_value", "max_value", "p25", "p50", "p75", digits=9)
 
 
+def _boosted(spark, sf):
+    df = _events(spark, sf)
+    model = learners.fit_boosted_trees(df, NAMES, "y", profile="leafy", rounds=6, depth=4)
+    return df, model, A.forest_of(model)
+
+
+def tree_attribution(spark, sf):
+    """Contributions of every feature to every row's boosted score: they add up to the score less its mean."""
+    df, model, forest = _boosted(spark, sf)
+    parts = A.tree_contributions(df, "event_id", forest)
+    total = F.aggregate("pairs", F.lit(0.0), lambda acc, p: acc + p["contribution"])
+    scored = learners.score(model, df, ["event_id"]).select("event_id", F.log(F.col("probability") / (1 - F.col("probability"))).alias("raw"))
+    both = parts.select("event_id", F.size("pairs").alias("n_features"), total.alias("total")).join(scored, "event_id")
+    return both.select("event_id", "n_features", (F.abs(F.col("total") + forest.base_value() - F.col("raw")) < 1e-9).alias("adds_up"))
+
+
+def tree_attribution_waterfall(spark, sf):
+    """Steps of the tree contributions, from the base value on, largest first."""
+    df, _, forest = _boosted(spark, sf)
+    steps = A.contribution_waterfall(A.tree_contributions(df, "event_id", forest), "event_id", forest.base_value())
+    return steps.select("event_id", "step", (F.abs(F.col("to_value") - F.col("from_value") - F.col("contribution")) < 1e-9).alias("steps_add_up"))
+
+
 def permutation_importance(spark, sf):
     found = A.permutation_importance(_events(spark, sf), fixed_scorer(), NAMES, "y", "event_id")
     return rounded_columns(found, "baseline", "shuffled", "importance")

@@ -53,16 +53,20 @@ def search_trials(spark, sf):
     )
 
 
+#: Every setting of the boosted spaces in its whole range but for the number of trees, which a study's length is made of.
+TREES = R.IntRange(6, 12)
+
+
 def _boosted_trials(spark, sf, space, profile):
-    """Two settings of a boosted space, with few and shallow trees so that the query stays short."""
-    settings = table(spark, sf, "region").select(F.col("r_regionkey").alias("trial")).where("trial < 2")
-    small = tune.searchable(space, n_estimators=R.IntRange(4, 8), max_depth=R.IntRange(3, 4))
-    trials = R.pack_params(R.param_space_sample(settings, "trial", small), list(small))
+    """A setting for each row of the table, over the whole space but for the number of trees."""
+    settings = table(spark, sf, "region").select(F.col("r_regionkey").alias("trial"))
+    whole = {**space, "n_estimators": TREES}
+    trials = R.pack_params(R.param_space_sample(settings, "trial", whole), list(whole))
     build = lambda params: tune.boosted_learner(params, profile)
-    found = tune.search_trials(events(spark, sf), trials, build, FEATURES, "y", "event_id", profile, k=3, parallelism=4)
+    found = tune.search_trials(events(spark, sf), trials, build, FEATURES, "y", "event_id", profile, k=3, parallelism=8)
     return found.select(
         "study", "trial", F.col("params")["n_estimators"].alias("n_estimators"),
-        F.col("score").between(0, 1).alias("score_in_range"), (F.size("params") == len(small)).alias("all_settings"),
+        F.col("score").between(0, 1).alias("score_in_range"), (F.size("params") == len(whole)).alias("all_settings"),
     )
 
 
@@ -140,8 +144,9 @@ def _space_sql(space: dict, seed: int) -> str:
 def _boosted_sql(profile: str) -> str:
     u = "(('0x' || substring(md5('42:n_estimators:' || r_regionkey), 1, 8))::BIGINT / 4294967296.0e0)"
     return f"""SELECT '{profile}' AS study, CAST(r_regionkey AS BIGINT) AS trial,
-  CAST(CAST(4 + floor({u} * 5) AS BIGINT) AS VARCHAR) AS n_estimators, true AS score_in_range, true AS all_settings
-FROM region WHERE r_regionkey < 2"""
+  CAST(CAST({TREES.low} + floor({u} * {TREES.high - TREES.low + 1}) AS BIGINT) AS VARCHAR) AS n_estimators, true AS score_in_range,
+  true AS all_settings
+FROM region"""
 
 
 _TRIALS = """WITH tr AS (

@@ -15,7 +15,6 @@ from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (
     DecisionTreeClassifier,
-    GBTClassifier,
     LinearSVC,
     LogisticRegression,
     MultilayerPerceptronClassifier,
@@ -29,6 +28,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from riskframe.operators.boosting import PROFILES, fit_histogram_boosting
 from riskframe.operators.ordering import MAX_CLASSES, bucket_name, range_buckets
 from riskframe.operators.sampling import balanced_weights, positive_weight
 from riskframe.operators.scorers import GaussianScorer, LinearScorer, StumpScorer
@@ -88,43 +88,22 @@ def fit_random_forest(
     return _fit(df, features, target, weight, learner)
 
 
-# Settings that stand in for the two tuned boosted learners.
-BOOST_PROFILES = {
-    "leafy": {"rounds": 264, "depth": 12, "step": 0.1321, "rows": 0.8278, "subset": "0.6187", "min_leaf": 5, "min_gain": 1.05e-05},
-    "deep": {"rounds": 500, "depth": 12, "step": 0.1208, "rows": 0.9744, "subset": "0.7837", "min_leaf": 1, "min_gain": 0.0232},
-}
-UNSUPPORTED_BOOST = ("boosting_type", "booster", "reg_alpha", "reg_lambda", "num_leaves")
-
-
 def fit_boosted_trees(
     df: DataFrame,
     features: Sequence[str],
     target: str,
     weight: str | None = None,
     profile: str = "leafy",
+    bins: int = 64,
     seed: int = 42,
     **changes,
 ) -> PipelineModel:
-    """Gradient-boosted trees. Settings Spark ML has no counterpart for are refused, not ignored."""
-    refused = sorted(set(changes) & set(UNSUPPORTED_BOOST))
-    if refused:
-        raise ValueError(f"no counterpart in Spark ML's boosted trees: {', '.join(refused)}")
-    unknown = sorted(set(changes) - set(BOOST_PROFILES[profile]))
+    """Gradient-boosted trees on histograms, with the settings of a profile and any changes to them."""
+    unknown = sorted(set(changes) - set(PROFILES[profile]))
     if unknown:
         raise ValueError(f"unknown settings: {', '.join(unknown)}")
-    s = {**BOOST_PROFILES[profile], **changes}
-    learner = GBTClassifier(
-        maxIter=s["rounds"],
-        maxDepth=s["depth"],
-        stepSize=s["step"],
-        subsamplingRate=s["rows"],
-        featureSubsetStrategy=str(s["subset"]),
-        minInstancesPerNode=s["min_leaf"],
-        minInfoGain=s["min_gain"],
-        checkpointInterval=10,
-        seed=seed,
-    )
-    return _fit(df, features, target, weight, learner)
+    rows = _rows(df, features, target, weight)
+    return fit_histogram_boosting(rows, features, target, weight, {**PROFILES[profile], **changes}, bins, seed)
 
 
 def fit_logistic(

@@ -14,18 +14,6 @@ from riskframe.operators.metrics import accuracy
 from riskframe.operators.sampling import stratified_kfold
 from riskframe.plans.evaluate import cross_validate, cv_report
 
-#: Settings of the boosted spaces that Spark ML's boosted trees have a counterpart for.
-BOOSTED_SETTINGS = (
-    "n_estimators max_depth learning_rate subsample colsample_bytree min_child_samples min_child_weight "
-    "min_split_gain gamma scale_pos_weight"
-).split()
-
-
-def searchable(space: Mapping[str, object], **changes: object) -> dict[str, object]:
-    """A boosted space without the settings that have no counterpart, with some ranges replaced."""
-    return {**{name: r for name, r in space.items() if name in BOOSTED_SETTINGS}, **changes}
-
-
 TRIAL_SCHEMA = "study string, trial bigint, params map<string,string>, score double, std double"
 
 
@@ -56,26 +44,29 @@ def forest_learner(params: Mapping[str, str]) -> Learner:
     )
 
 
+#: Names of the boosted spaces' settings, and what the learner calls them.
+BOOSTED_SETTINGS = {
+    "boosting_type": ("boosting", str),
+    "booster": ("boosting", str),
+    "n_estimators": ("rounds", int),
+    "num_leaves": ("leaves", int),
+    "max_depth": ("depth", int),
+    "learning_rate": ("step", float),
+    "subsample": ("rows", float),
+    "colsample_bytree": ("subset", float),
+    "min_child_samples": ("min_leaf", int),
+    "min_child_weight": ("min_weight", float),
+    "min_split_gain": ("min_gain", float),
+    "gamma": ("min_gain", float),
+    "reg_alpha": ("alpha", float),
+    "reg_lambda": ("lambda_", float),
+}
+
+
 def boosted_learner(params: Mapping[str, str], profile: str = "leafy") -> Learner:
-    """Settings drawn from a boosted space as a learner. Draws without counterpart are refused."""
-    if params.get("boosting_type", "gbdt") != "gbdt" or params.get("booster", "gbtree") != "gbtree":
-        raise ValueError("only plain boosting has a counterpart in Spark ML")
-    for name in ("reg_alpha", "reg_lambda"):
-        if float(params.get(name, 0.0)) != 0.0:
-            raise ValueError(f"{name} has no counterpart in Spark ML's boosted trees")
-    names = {
-        "n_estimators": ("rounds", int),
-        "max_depth": ("depth", int),
-        "learning_rate": ("step", float),
-        "subsample": ("rows", float),
-        "colsample_bytree": ("subset", str),
-        "min_child_samples": ("min_leaf", int),
-        "min_child_weight": ("min_leaf", int),
-        "min_split_gain": ("min_gain", float),
-        "gamma": ("min_gain", float),
-    }
-    _refuse_unknown(params, {*names, "boosting_type", "booster", "reg_alpha", "reg_lambda", "scale_pos_weight"})
-    settings = {names[p][0]: names[p][1](v) for p, v in params.items() if p in names}
+    """Settings drawn from a boosted space as a learner."""
+    _refuse_unknown(params, {*BOOSTED_SETTINGS, "scale_pos_weight"})
+    settings = {BOOSTED_SETTINGS[p][0]: BOOSTED_SETTINGS[p][1](v) for p, v in params.items() if p in BOOSTED_SETTINGS}
     weighting = float(params["scale_pos_weight"]) if "scale_pos_weight" in params else "balanced"
     return Learner(f"boosted_{profile}", "boosted_trees", {"profile": profile, **settings}, weighting)
 

@@ -78,3 +78,24 @@ def test_permutation_importance_finds_the_used_feature(spark):
     got = [tuple(r) for r in A.permutation_importance(df, model, ["b", "a"], "y", "id", group_rows=150).collect()]
     assert [r[0] for r in got] == ["a", "b"]
     assert got[0][1] == 1.0 and 0.3 < got[0][3] < 0.7 and got[1][3] == 0.0
+
+
+@pytest.mark.parametrize("kind,settings", [("boosted_trees", {"rounds": 4, "depth": 4}), ("random_forest", {"trees": 4, "depth": 4}), ("decision_tree", {"depth": 4})])
+def test_tree_contributions_add_up_to_the_score(df, kind, settings):
+    from riskframe.operators.learners import Learner, score
+
+    marked = df.withColumn("y", (F.col("a") + 0.3 * F.col("b") > 1).cast("int"))
+    model = Learner(kind, kind, settings).fit(marked, ["a", "b", "c"], "y")
+    forest = A.forest_of(model)
+    rows_ = A.tree_contributions(marked, "id", forest)
+    scored = score(model, marked, ["id"])
+    value = F.log(F.col("probability") / (1 - F.col("probability"))) if kind == "boosted_trees" else F.col("probability")
+    for r in rows_.join(scored.select("id", value.alias("value")), "id").collect():
+        assert [p["feature"] for p in r["pairs"]] == ["a", "b", "c"]
+        assert forest.base_value() + sum(p["contribution"] for p in r["pairs"]) == pytest.approx(r["value"], abs=1e-9)
+    steps = A.contribution_waterfall(rows_, "id", forest.base_value()).where("step = 3").join(scored.select("id", value.alias("value")), "id")
+    assert all(r["to_value"] == pytest.approx(r["value"], abs=1e-9) for r in steps.collect())
+    assert A.contribution_bars(rows_, "id").groupBy("id").agg(F.max("width").alias("w")).where("abs(w - 100) > 1e-6 AND w <> 0").count() == 0
+    found = {r["feature"]: r["mean_abs"] for r in A.contribution_summary(A.wide_contributions(rows_, forest.features), forest.features).collect()}
+    assert set(found) == {"a", "b", "c"} and found["a"] > found["c"]
+    assert "Exchange" not in rows_._jdf.queryExecution().executedPlan().toString()

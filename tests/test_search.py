@@ -97,9 +97,11 @@ def test_settings_become_learners():
     }
     boosted = tune.boosted_learner({"n_estimators": "10", "learning_rate": "0.1", "scale_pos_weight": "1.5"}, "deep")
     assert boosted.settings == {"profile": "deep", "rounds": 10, "step": 0.1} and boosted.weighting == 1.5
-    for refused in ({"boosting_type": "dart"}, {"booster": "dart"}, {"reg_alpha": "0.1"}, {"num_leaves": "31"}):
-        with pytest.raises(ValueError, match="counterpart"):
-            tune.boosted_learner(refused)
+    whole = tune.boosted_learner({"boosting_type": "dart", "reg_alpha": "0.1", "reg_lambda": "2", "num_leaves": "31", "min_child_samples": "7"})
+    assert whole.settings == {"profile": "leafy", "boosting": "dart", "alpha": 0.1, "lambda_": 2.0, "leaves": 31, "min_leaf": 7}
+    assert tune.boosted_learner({"booster": "gbtree", "min_child_weight": "3", "gamma": "0.5"}, "deep").settings == {
+        "profile": "deep", "boosting": "gbtree", "min_weight": 3.0, "min_gain": 0.5
+    }
 
 
 def test_forest_refuses_what_it_does_not_know():
@@ -108,9 +110,8 @@ def test_forest_refuses_what_it_does_not_know():
 
 
 @pytest.mark.parametrize("space,profile", [(R.LEAFY_SPACE, "leafy"), (R.DEEP_SPACE, "deep")])
-def test_every_draw_of_a_searchable_space_is_a_learner(spark, space, profile):
-    kept = tune.searchable(space)
-    drawn = R.pack_params(R.param_space_sample(spark.range(20).toDF("trial"), "trial", kept), list(kept))
+def test_every_draw_of_a_boosted_space_is_a_learner(spark, space, profile):
+    drawn = R.pack_params(R.param_space_sample(spark.range(20).toDF("trial"), "trial", space), list(space))
     learners = [tune.boosted_learner(r["params"], profile) for r in drawn.collect()]
     assert len(learners) == 20 and all(100 <= x.settings["rounds"] <= 1000 for x in learners)
 
