@@ -35,13 +35,16 @@ PACKETS = 64
 #: Tokens in a sequence, the id that ends a document, and the vocabulary file.
 WINDOW, END_ID = 2048, 1
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+#: Signs that may end a run of letters.
+SIGNS = frozenset(".,;:!?")
 
 
 class TokenIds(dict):
     """16-bit ids of the runs of non-space seen lately, as bytes; starts anew when full.
 
     The vocabulary's rules replace white space before words are split, so no token reaches over it and the ids of a text
-    are the ids of its runs in turn.
+    are the ids of its runs in turn.  They also split a sign from the letters before it and fold case, so a word is kept once,
+    whatever sign follows it and however its ASCII letters are cased.
     """
 
     def __init__(self, path: str):
@@ -53,6 +56,10 @@ class TokenIds(dict):
             raise ValueError("ids of this vocabulary take more than 16 bits")
 
     def __missing__(self, run: str) -> bytes:
+        if run[-1:] in SIGNS and run[:-1].isalpha():
+            return self[run[:-1]] + self[run[-1]]
+        if run.isascii() and (low := run.lower()) != run:
+            return self[low]
         if len(self) > 1_000_000:
             self.clear()
         ids = np.array(self.model.encode(run, add_special_tokens=False).ids, "<u2").tobytes()
