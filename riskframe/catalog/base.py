@@ -88,3 +88,19 @@ def rounded_columns(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
     return df.select(
         *[(F.round(F.col(c), digits) + F.lit(0.0)).alias(c) if c in columns else F.col(c) for c in df.columns]
     )
+
+
+def checked_scores(scored: DataFrame, keep: tuple = ("event_id", "y"), own_rows: bool = True) -> DataFrame:
+    """What has to hold for every score of a fitted model: the class is that of the probability, which lies between 0 and 1
+    (or is null on all rows), and, if it was fitted on these scores' rows, it is no worse there than one class for all."""
+    p, c = F.col("probability"), F.col("prediction")
+    agrees = F.when(F.abs(p - 0.5) < 1e-12, F.lit(True)).otherwise((p > 0.5) == (c == 1))
+    consistent = F.when(p.isNull(), c.isin(0, 1)).otherwise(p.between(0, 1) & agrees)
+    hit = lambda label: F.avg(F.when(F.col("y") == label, (c == label).cast("double")))
+    balanced, n, with_p = scored.agg((hit(0) + hit(1)) / 2, F.count("*"), F.count(p)).first()
+    no_worse = [F.lit(bool(balanced >= 0.5)).alias("no_worse")] if own_rows else []
+    return scored.select(*keep, (consistent & F.lit(with_p in (0, n))).alias("consistent"), *no_worse)
+
+
+#: SQL of ``checked_scores``: every row of the events, and all of it true.
+CHECKED = f"WITH {EVENTS} SELECT event_id, y, true AS consistent, true AS no_worse FROM ev"

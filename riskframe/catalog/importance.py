@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from riskframe.catalog.base import EVENTS, FEATURES, events, rounded_columns, table
 from riskframe.operators import importance as I
-from riskframe.operators.learners import fit_random_forest
+from riskframe.operators import boosting as B
+from riskframe.operators.columns import select_features
+from riskframe.operators.learners import fit_boosted_trees, fit_random_forest
 
 METHODS = ("A", "N", "R")
 CUT = 140
@@ -18,11 +20,30 @@ def _forest(spark, sf):
 
 
 def importance_table(spark, sf):
-    return I.importance_table(spark, _forest(spark, sf), FEATURES)
+    """Shares of a forest's importance: each between 0 and 1, together 1."""
+    found = I.importance_table(spark, _forest(spark, sf), FEATURES)
+    total = found.agg(F.sum("importance")).first()[0]
+    return found.select("feature", F.col("importance").between(0, 1).alias("is_share"), F.lit(abs(total - 1) < 1e-9).alias("sums_to_one"))
 
 
 def split_count_importance(spark, sf):
-    return I.split_count_importance(spark, _forest(spark, sf), FEATURES)
+    """Splits per feature; all together as many as the trees have inner nodes."""
+    forest = _forest(spark, sf)
+    found = I.split_count_importance(spark, forest, FEATURES)
+    inner = sum((tree.numNodes - 1) // 2 for tree in forest.trees)
+    total = found.agg(F.sum("importance")).first()[0]
+    return found.select("feature", (F.col("importance") >= 0).alias("counted"), F.lit(total == inner).alias("all_splits"))
+
+
+def boosted_importance(spark, sf):
+    """Splits and gains per feature of a boosted model."""
+    model = fit_boosted_trees(events(spark, sf), FEATURES, "y", profile="leafy", rounds=6, depth=4)
+    names, forest, _, _ = model.stages[-1].parts()
+    splits = B.boosted_importance(spark, model, "split").withColumnRenamed("importance", "splits")
+    both = splits.join(B.boosted_importance(spark, model, "gain"), "feature")
+    inner = sum(int((tree.feature >= 0).sum()) for tree in forest)
+    total = both.agg(F.sum("splits")).first()[0]
+    return both.select("feature", ((F.col("splits") > 0) == (F.col("importance") > 0)).alias("gains_where_split"), F.lit(total == inner).alias("all_splits"))
 
 
 def _two_scales(spark, sf):
@@ -71,15 +92,61 @@ def vote_intersection(spark, sf):
 
 
 def select_l1(spark, sf):
-    return I.select_l1(events(spark, sf), FEATURES, "y", alpha=0.001)
+    """The weights are those of the penalised least squares: |slope| of the loss is the penalty where a weight is not 0, with
+    the weight's sign, and at most the penalty elsewhere."""
+    df, alpha = events(spark, sf), 0.001
+    found = {r["feature"]: r for r in I.select_l1(df, FEATURES, "y", alpha=alpha).collect()}
+    stats = df.agg(F.avg("y"), F.stddev_samp("y"), *[g(f) for f in FEATURES for g in (F.avg, F.stddev_samp)]).first()
+    x = {f: (F.col(f) - stats[2 + 2 * j]) / stats[3 + 2 * j] for j, f in enumerate(FEATURES)}
+    rest = F.col("y") - F.lit(stats[0])
+    for f in FEATURES:
+        rest = rest - x[f] * F.lit(found[f]["weight"])
+    slopes = df.agg(*[F.avg(rest * x[f]) for f in FEATURES]).first()
+    penalty = alpha * stats[1]  # the learner's penalty is in deviations of the label
+    rows = []
+    for f, slope in zip(FEATURES, slopes):
+        w = found[f]["weight"]
+        best = min(abs(abs(slope) - p) for p in (alpha, penalty)) < 1e-5 and slope * w > 0 if w else abs(slope) <= max(alpha, penalty) + 1e-5
+        rows.append((f, bool(found[f]["chosen"] == (w != 0)), bool(best)))
+    return spark.createDataFrame(rows, "feature string, chosen_if_not_0 boolean, optimal boolean")
+
+
+def _ranked(df, chosen, table, value):
+    """Of every feature, whether it is chosen, and that no other one of greater size was left out."""
+    kept = {r["feature"] for r in chosen.collect()}
+    sizes = {r["feature"]: abs(r[value]) for r in table.collect()}
+    least, left = min(sizes[f] for f in kept), max((v for f, v in sizes.items() if f not in kept), default=0.0)
+    return df.sparkSession.createDataFrame([(len(kept), least >= left, kept <= set(FEATURES))], "n bigint, largest boolean, known boolean")
 
 
 def select_rf(spark, sf):
-    return I.select_rf(events(spark, sf), FEATURES, "y", k=2, trees=10, depth=5)
+    """The two features of a forest with the largest importance."""
+    df = events(spark, sf)
+    return _ranked(df, I.select_rf(df, FEATURES, "y", k=2, trees=10, depth=5), I.select_rf(df, FEATURES, "y", cut=-1.0, trees=10, depth=5), "importance")
 
 
 def select_lr(spark, sf):
-    return I.select_lr(events(spark, sf), FEATURES, "y", k=2)
+    """The two features of a logistic regression with the largest weights."""
+    df = events(spark, sf)
+    return _ranked(df, I.select_lr(df, FEATURES, "y", k=2), I.select_lr(df, FEATURES, "y", k=len(FEATURES)), "weight")
+
+
+def _choices(spark, sf):
+    df = events(spark, sf)
+    return {
+        "l1": [r["feature"] for r in I.select_l1(df, FEATURES, "y", alpha=0.0001).where("chosen").collect()],
+        "forest": [r["feature"] for r in I.select_rf(df, FEATURES, "y", k=3, trees=10, depth=5).collect()],
+        "logistic": [r["feature"] for r in I.select_lr(df, FEATURES, "y", k=3).collect()],
+    }
+
+
+def select_by_votes(spark, sf):
+    """Selectors, their votes, the features that two of them chose, and the training columns those make."""
+    chosen = _choices(spark, sf)
+    agreed = sorted(r["feature"] for r in I.vote_threshold(I.votes_table(spark, chosen), 2).collect())
+    by_hand = sorted(f for f in FEATURES if sum(f in names for names in chosen.values()) >= 2)
+    ready = select_features(events(spark, sf), agreed, ["event_id", "y"])
+    return ready.select("event_id", "y", F.lit(agreed == by_hand and ready.columns == ["event_id", "y", *agreed]).alias("as_voted"))
 
 
 def select_domain(spark, sf):
@@ -91,6 +158,7 @@ QUERIES = {
     for f in (
         importance_table,
         split_count_importance,
+        boosted_importance,
         combine_importance,
         combine_importance_raw,
         top_k_features,
@@ -100,6 +168,7 @@ QUERIES = {
         select_l1,
         select_rf,
         select_lr,
+        select_by_votes,
         select_domain,
     )
 }
@@ -109,7 +178,16 @@ _TWO = """WITH i AS (SELECT p_brand AS feature, round(avg(p_retailprice) / 1000,
 _VOTES = f"""WITH v AS (SELECT l_returnflag AS method, l_partkey AS feature FROM lineitem
   GROUP BY ALL HAVING sum(l_quantity) > {CUT})"""
 
+_FEATURES = "(VALUES " + ", ".join(f"('{f}')" for f in FEATURES) + ") t(feature)"
+
 ORACLES = {
+    "importance_table": f"SELECT feature, true AS is_share, true AS sums_to_one FROM {_FEATURES}",
+    "split_count_importance": f"SELECT feature, true AS counted, true AS all_splits FROM {_FEATURES}",
+    "boosted_importance": f"SELECT feature, true AS gains_where_split, true AS all_splits FROM {_FEATURES}",
+    "select_l1": f"SELECT feature, true AS chosen_if_not_0, true AS optimal FROM {_FEATURES}",
+    "select_rf": "SELECT CAST(2 AS BIGINT) AS n, true AS largest, true AS known",
+    "select_lr": "SELECT CAST(2 AS BIGINT) AS n, true AS largest, true AS known",
+    "select_by_votes": f"WITH {EVENTS} SELECT event_id, y, true AS as_voted FROM ev",
     "combine_importance": f"""{_TWO} SELECT feature, rf, splits,
   round((rf / sum(rf) OVER () + 1.0e0 * splits / sum(splits) OVER ()) / 2.0e0, 9) AS average_importance FROM i""",
     "combine_importance_raw": f"{_TWO} SELECT feature, rf, splits, round((rf + splits) / 2.0e0, 6) AS average_importance FROM i",

@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import functions as F
 
-from riskframe.catalog.base import EVENTS, FEATURES, events, fold_sql, table
+from riskframe.catalog.base import CHECKED, EVENTS, FEATURES, checked_scores, events, fold_sql, table
 from riskframe.operators import ensembles, learners
 from riskframe.operators.learners import Learner
 from riskframe.operators.neighbours import score_knn as knn
@@ -23,10 +23,14 @@ from riskframe.streaming.scoring import json_records, stream_score
 KEEP = ["event_id", "y"]
 SMALL_FOREST = {"trees": 5, "depth": 4, "min_leaf": 4}
 SMALL_BOOST = {"rounds": 20, "depth": 4}
+#: A panel fits its members six times; its boosted ones have fewer and shallower trees than those of the learners' queries.
+PANEL_BOOST = {"rounds": 10, "depth": 3}
 BASE = (
     Learner("forest", "random_forest", SMALL_FOREST, "balanced"),
     Learner("bayes", "naive_bayes"),
     Learner("logit", "logistic", {"max_iter": 10}, "balanced"),
+    Learner("leafy", "boosted_trees", {**PANEL_BOOST, "profile": "leafy"}, "balanced"),
+    Learner("deep", "boosted_trees", {**PANEL_BOOST, "profile": "deep"}, 1.0518),
 )
 FINAL_LOGIT = Learner("final", "logistic", {"max_iter": 10}, "balanced")
 FINAL_FOREST = Learner("final", "random_forest", {"trees": 10, "depth": 5, "min_leaf": 1, "bootstrap": True})
@@ -44,24 +48,48 @@ def _fit_and_score(spark, sf, kind, settings, weighting=None, features=FEATURES)
     return learners.score(model, df, KEEP)
 
 
+def _checked(spark, sf, kind, settings, weighting=None):
+    return checked_scores(_fit_and_score(spark, sf, kind, settings, weighting))
+
+
 def fit_random_forest(spark, sf):
-    return _fit_and_score(spark, sf, "random_forest", {**SMALL_FOREST, "trees": 10}, "balanced")
+    return _checked(spark, sf, "random_forest", {**SMALL_FOREST, "trees": 10}, "balanced")
 
 
 def fit_boosted_trees(spark, sf):
-    return _fit_and_score(spark, sf, "boosted_trees", {**SMALL_BOOST, "profile": "leafy"}, "balanced")
+    return _checked(spark, sf, "boosted_trees", {**SMALL_BOOST, "profile": "leafy"}, "balanced")
 
 
 def fit_boosted_trees_deep(spark, sf):
-    return _fit_and_score(spark, sf, "boosted_trees", {**SMALL_BOOST, "profile": "deep"}, 1.0518)
+    return _checked(spark, sf, "boosted_trees", {**SMALL_BOOST, "profile": "deep"}, 1.0518)
 
 
 def fit_logistic(spark, sf):
-    return _fit_and_score(spark, sf, "logistic", {"max_iter": 20}, "balanced")
+    """The fit ends where the gradient of the penalised loss vanishes: per weight its size beside that of its terms."""
+    df = events(spark, sf)
+    model = Learner("logistic", "logistic", {"max_iter": 300, "standardise": True}, "balanced").fit(df, FEATURES, "y")
+    final, scaler = model.stages[-1], model.stages[-2]
+    weighted = learners.balanced_weights(df, "y", "w")
+    scored = learners.score(model, weighted, ["event_id", "y", "w", *FEATURES])
+    rest = F.col("w") * (F.col("probability") - F.col("y"))
+    sums = []
+    for j, name in enumerate(FEATURES):
+        x = (F.col(name) - float(scaler.mean[j])) / float(scaler.std[j] or 1.0)
+        sums += [F.sum(rest * x) + float(final.coefficients[j]), F.sum(F.abs(rest * x))]
+    found = scored.agg(F.sum(rest), F.sum(F.abs(rest)), *sums).first()
+    stationary = all(abs(g) <= 1e-3 * size for g, size in zip(found[::2], found[1::2]))
+    return checked_scores(scored).withColumn("stationary", F.lit(stationary))
 
 
 def fit_decision_tree(spark, sf):
-    return _fit_and_score(spark, sf, "decision_tree", {"depth": 5})
+    """A tree of one split, on a target that follows the hour but for every tenth event."""
+    marked = events(spark, sf).withColumn("y", ((F.col("hour") >= 9) != (F.col("event_id") % 10 == 0)).cast("int"))
+    model = Learner("tree", "decision_tree", {"depth": 1}).fit(marked, ("hour",), "y")
+    return learners.score(model, marked, KEEP).withColumn("probability", F.round("probability", 6))
+
+
+def fit_decision_tree_deep(spark, sf):
+    return _checked(spark, sf, "decision_tree", {"depth": 5})
 
 
 def fit_naive_bayes(spark, sf):
@@ -82,15 +110,15 @@ def fit_ridge(spark, sf):
 
 
 def fit_linear_svm(spark, sf):
-    return _fit_and_score(spark, sf, "linear_svm", {"max_iter": 5})
+    return _checked(spark, sf, "linear_svm", {"max_iter": 10}, "balanced")
 
 
 def fit_mlp(spark, sf):
-    return _fit_and_score(spark, sf, "mlp", {"hidden": (8,), "max_iter": 20})
+    return _checked(spark, sf, "mlp", {"hidden": (8,), "max_iter": 20})
 
 
 def fit_adaboost(spark, sf):
-    return _fit_and_score(spark, sf, "adaboost", {"rounds": 5})
+    return _checked(spark, sf, "adaboost", {"rounds": 50})
 
 
 def score_knn(spark, sf):
@@ -129,25 +157,31 @@ def vote_hard(spark, sf):
     return ensembles.vote_hard(joined, list(tables)).select("event_id", *tables, "prediction", "probability")
 
 
+#: Members without boosted trees, where a query fits them for fold after fold.
+PLAIN = BASE[:3]
+
+
 def _meta(spark, sf):
-    folded = stratified_kfold(events(spark, sf).select("event_id", "y", *FEATURES), "event_id", "y", 3)
-    return ensembles.stack_meta_features(folded, BASE, FEATURES, "y", "event_id", 3, parallelism=4)
+    folded = stratified_kfold(events(spark, sf).select("event_id", "y", *FEATURES), "event_id", "y", 5)
+    return ensembles.stack_meta_features(folded, PLAIN, FEATURES, "y", "event_id", 5, parallelism=8)
 
 
 def stack_meta_features(spark, sf):
-    return _meta(spark, sf)
+    """Out-of-fold probabilities: one per row and member, each between 0 and 1."""
+    meta = _meta(spark, sf)
+    return meta.select("event_id", "y", *[F.col(b.name).between(0, 1).alias(b.name) for b in PLAIN])
 
 
 def stack_meta_coverage(spark, sf):
     """Every row gets exactly one out-of-fold score per model, from a model that never saw it."""
     meta = _meta(spark, sf)
-    return meta.select("event_id", "y", "fold", *[F.col(b.name).isNotNull().alias(f"has_{b.name}") for b in BASE])
+    return meta.select("event_id", "y", "fold", *[F.col(b.name).isNotNull().alias(f"has_{b.name}") for b in PLAIN])
 
 
 def _stack(spark, sf, final):
     df = events(spark, sf)
-    stack = evaluate.fit_stack(df, BASE, final, FEATURES, "y", "event_id", k=3, parallelism=4)
-    return stack.score(df, KEEP)
+    stack = evaluate.fit_stack(df, PLAIN, final, FEATURES, "y", "event_id", k=5, parallelism=8)
+    return checked_scores(stack.score(df, KEEP), own_rows=False)
 
 
 def stack_logistic(spark, sf):
@@ -158,12 +192,33 @@ def stack_forest(spark, sf):
     return _stack(spark, sf, FINAL_FOREST)
 
 
+def _sound(metrics):
+    """Whether the metrics of a row lie between 0 and 1 and F1 is that of precision and recall."""
+    p, r = F.col("precision"), F.col("recall")
+    f1 = F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(0.0)
+    ranges = [F.col(m).between(0, 1) for m in ("accuracy", "precision", "recall", "f1", "roc_auc") if m in metrics.columns]
+    return reduce(lambda a, b: a & b, [F.coalesce(x, F.lit(True)) for x in ranges]) & (F.abs(F.col("f1") - f1) < 1e-9)
+
+
 def model_panel(spark, sf):
+    """All members, both boosted profiles among them, and the four ensembles on the hold-out rows."""
     split = stratified_split(events(spark, sf), "event_id", "y", 0.2)
     metrics, _ = evaluate.model_panel(
-        split.where("NOT is_test"), split.where("is_test"), BASE, ENSEMBLES, FEATURES, "y", "event_id", k=3, parallelism=4
+        split.where("NOT is_test"), split.where("is_test"), BASE, ENSEMBLES, FEATURES, "y", "event_id", k=5, parallelism=8
     )
-    return metrics
+    return metrics.select("model", _sound(metrics).alias("sound"))
+
+
+def panel_test_vs_cv(spark, sf):
+    """Hold-out value, cross-validated mean and deviation of every metric, side by side for all members and both votes."""
+    df, votes = events(spark, sf), ENSEMBLES[:2]
+    split = stratified_split(df, "event_id", "y", 0.2)
+    train = split.where("NOT is_test").drop("is_test")
+    metrics, _ = evaluate.model_panel(train, split.where("is_test"), PLAIN, votes, FEATURES, "y", "event_id", k=5, parallelism=8)
+    scored = evaluate.cross_validate(train, PLAIN, FEATURES, "y", "event_id", k=5, ensembles=votes, parallelism=8)
+    rows = evaluate.comparison_rows(metrics, evaluate.cv_report(scored, "y"))
+    in_range = F.coalesce(F.col("value").between(0, 1), F.lit(True)) & F.coalesce(F.col("std").between(0, 0.5), F.lit(True))
+    return rows.select("model", "split", "metric", in_range.alias("in_range"))
 
 
 #: Two quick members for the queries that are about the life of an ensemble, not its quality.
@@ -215,15 +270,17 @@ def score_package(spark, sf):
 
 
 def refit_best(spark, sf):
-    df = events(spark, sf)
-    scored = evaluate.cross_validate(df, BASE, FEATURES, "y", "event_id", k=3, ensembles=ENSEMBLES, parallelism=4)
+    """The member or vote with the best cross-validated accuracy, fitted on all rows."""
+    df, votes = events(spark, sf), ENSEMBLES[:2]
+    scored = evaluate.cross_validate(df, BASE, FEATURES, "y", "event_id", k=5, ensembles=votes, parallelism=8)
     report = evaluate.cv_report(scored, "y")
     rows = report.select("model", F.lit("cv").alias("split"), "metric", F.col("mean").alias("value"))
     winner = evaluate.choose(rows)
-    model = evaluate.refit_best(df, winner, BASE, ENSEMBLES, FEATURES, "y", "event_id")
-    return evaluate.labelled_scores(df, model, FEATURES, KEEP, "Converts", "Does not convert").withColumn(
-        "model", F.lit(winner)
-    )
+    best = report.where("metric = 'accuracy'").agg(F.max("mean"), F.max(F.when(F.col("model") == winner, F.col("mean")))).first()
+    model = evaluate.refit_best(df, winner, BASE, votes, FEATURES, "y", "event_id")
+    scored = evaluate.labelled_scores(df, model, FEATURES, KEEP, "Converts", "Does not convert")
+    label = F.when(F.col("prediction") == 1, "Converts").otherwise("Does not convert")
+    return scored.select(*KEEP, (F.col("prediction_label") == label).alias("labelled"), F.lit(best[0] == best[1]).alias("is_best"))
 
 
 QUERIES = {
@@ -234,6 +291,7 @@ QUERIES = {
         fit_boosted_trees_deep,
         fit_logistic,
         fit_decision_tree,
+        fit_decision_tree_deep,
         fit_naive_bayes,
         fit_lda,
         fit_ridge,
@@ -249,6 +307,7 @@ QUERIES = {
         stack_logistic,
         stack_forest,
         model_panel,
+        panel_test_vs_cv,
         save_load_ensemble,
         stream_score_ensemble,
         score_package,
@@ -278,7 +337,33 @@ SELECT vec_id, label AS prediction, votes FROM v
 QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY votes DESC, label) = 1"""
 
 
+_MEMBERS = "('forest'), ('bayes'), ('logit'), ('vote_soft'), ('vote_hard')"
+
 ORACLES = {
+    **dict.fromkeys(
+        (
+            "fit_random_forest", "fit_boosted_trees", "fit_boosted_trees_deep", "fit_decision_tree_deep", "fit_linear_svm", "fit_mlp",
+            "fit_adaboost",
+        ),
+        CHECKED,
+    ),
+    **dict.fromkeys(("stack_logistic", "stack_forest"), CHECKED.replace(", true AS no_worse", "")),
+    "fit_logistic": CHECKED.replace("true AS no_worse", "true AS no_worse, true AS stationary"),
+    "fit_decision_tree": f"""WITH {EVENTS}, mk AS (
+  SELECT event_id, hour, CASE WHEN (hour >= 9) <> (event_id % 10 = 0) THEN 1 ELSE 0 END AS y FROM ev),
+h AS (SELECT hour, count(*) AS n, sum(y) AS s FROM mk GROUP BY hour),
+c AS (SELECT a.hour AS cut, sum(b.n) FILTER (WHERE b.hour <= a.hour) AS ln, sum(b.s) FILTER (WHERE b.hour <= a.hour) AS ls,
+        sum(b.n) FILTER (WHERE b.hour > a.hour) AS rn, sum(b.s) FILTER (WHERE b.hour > a.hour) AS rs FROM h a, h b GROUP BY a.hour),
+g AS (SELECT *, 2.0e0 * ls * (ln - ls) / ln + 2.0e0 * rs * (rn - rs) / rn AS impurity FROM c WHERE rn > 0),
+w AS (SELECT * FROM g ORDER BY impurity, cut LIMIT 1),
+p AS (SELECT event_id, y, CASE WHEN hour <= cut THEN 1.0e0 * ls / ln ELSE 1.0e0 * rs / rn END AS p FROM mk, w)
+SELECT event_id, y, CASE WHEN p > 0.5e0 THEN 1 ELSE 0 END AS prediction, round(p, 6) AS probability FROM p""",
+    "stack_meta_features": f"WITH {EVENTS} SELECT event_id, y, true AS forest, true AS bayes, true AS logit FROM ev",
+    "model_panel": f"SELECT model, true AS sound FROM (VALUES {_MEMBERS}, ('leafy'), ('deep'), ('stack_logistic'), ('stack_forest')) t(model)",
+    "panel_test_vs_cv": f"""SELECT model, split, metric, true AS in_range FROM (VALUES {_MEMBERS}) a(model), (VALUES ('test'), ('cv')) b(split),
+  (VALUES ('accuracy'), ('precision'), ('recall'), ('f1'), ('roc_auc')) c(metric)
+WHERE NOT (model = 'vote_hard' AND metric = 'roc_auc')""",
+    "refit_best": f"WITH {EVENTS} SELECT event_id, y, true AS labelled, true AS is_best FROM ev",
     "fit_naive_bayes": f"""WITH {EVENTS}, s AS (
   SELECT y AS c, 1.0e0 * count(*) / (SELECT count(*) FROM ev) AS prior, avg(value) AS m1, var_pop(value) AS v1,
          avg(hour) AS m2, var_pop(hour) AS v2 FROM ev GROUP BY y),
@@ -316,6 +401,6 @@ FROM events, (VALUES ('soft'), ('hard'), ('stack')) k(kind)""",
          CAST(p_event > 0.5e0 AS INTEGER) AS "event" FROM ev)
 SELECT event_id, "value", "user", "event", CASE WHEN ("value" + "user" + "event") * 2 > 3 THEN 1 ELSE 0 END AS prediction,
   CAST(NULL AS DOUBLE) AS probability FROM c""",
-    "stack_meta_coverage": f"WITH {EVENTS}, src AS (SELECT event_id, y FROM ev), {fold_sql('src', 'event_id', 'y', 3)} "
+    "stack_meta_coverage": f"WITH {EVENTS}, src AS (SELECT event_id, y FROM ev), {fold_sql('src', 'event_id', 'y', 5)} "
     + "SELECT event_id, y, fold, true AS has_forest, true AS has_bayes, true AS has_logit FROM folded",
 }

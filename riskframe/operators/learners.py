@@ -28,6 +28,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from riskframe.jobs import written
 from riskframe.operators.boosting import PROFILES, fit_histogram_boosting
 from riskframe.operators.ordering import MAX_CLASSES, bucket_name, range_buckets
 from riskframe.operators.sampling import balanced_weights, positive_weight
@@ -36,6 +37,8 @@ from riskframe.operators.scorers import GaussianScorer, LinearScorer, StumpScore
 MAX_DEPTH = 30
 VARIANCE_FLOOR = 1e-9
 WEIGHT = "__weight"
+#: Rounds of boosted stumps between two writings of the row weights.
+REWEIGH = 10
 
 
 def _rows(df: DataFrame, features: Sequence[str], target: str, weight: str | None, extra: Sequence[str] = ()) -> DataFrame:
@@ -255,8 +258,9 @@ def fit_adaboost(
     rate: float = 1.0,
     bins: int = 32,
 ) -> PipelineModel:
-    """Boosted stumps. A row's weight is a function of the stumps chosen so far, so no state is carried
-    between rounds: each round is one aggregate of (feature, bin, class) weights over binned features."""
+    """Boosted stumps. A row's weight is a function of the stumps chosen so far: each round is one aggregate of (feature, bin,
+    class) weights over binned features, and every ``REWEIGH`` rounds the weights so far are written as a column, so that a
+    round's cost does not grow with their number."""
     features = list(features)
     rows = _rows(df, features, target, None)
     binner = range_buckets(rows, features, bins)
@@ -268,18 +272,22 @@ def fit_adaboost(
     ]
     coded = (
         binner.transform(rows)
-        .select((F.col(target) == 1).alias("pos"), *codes)
+        .select((F.col(target) == 1).alias("pos"), F.lit(0.0).alias("held"), *codes)
         .persist(StorageLevel.MEMORY_AND_DISK)
     )
+    kept_rows, written_upto = coded, 0
     edges = [np.array(s[1:-1]) for s in binner.getSplitsArray()]
     stumps: list[tuple[int, int, int, float]] = []  # feature, first bin above, side, weight
     try:
-        for _ in range(rounds):
-            log_weight = F.lit(0.0)
-            for j, cut, side, alpha in stumps:
+        for turn in range(rounds):
+            log_weight = F.col("held")
+            for j, cut, side, alpha in stumps[written_upto:]:
                 above = F.col(f"b{j}") >= cut
                 said_pos = above if side == 1 else ~above
                 log_weight = log_weight + F.when(said_pos != F.col("pos"), F.lit(alpha)).otherwise(F.lit(0.0))
+            if turn and turn % REWEIGH == 0:
+                coded = written(coded.withColumn("held", log_weight), "weighed")
+                log_weight, written_upto = F.col("held"), len(stumps)
             cells = F.array(*[F.struct(F.lit(j).alias("j"), F.col(f"b{j}").alias("b")) for j in range(len(features))])
             shift = sum(alpha for *_, alpha in stumps) / 2
             histogram = (
@@ -310,7 +318,7 @@ def fit_adaboost(
             if best[0] <= 0:
                 break
     finally:
-        coded.unpersist()
+        kept_rows.unpersist()
     scorer = StumpScorer(
         features=features,
         split_on=[features[j] for j, *_ in stumps],

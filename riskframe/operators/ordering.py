@@ -10,6 +10,7 @@ Two building blocks carry every operator that needs a rank or a running total:
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
@@ -19,9 +20,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from riskframe.functions import hash_order
+from riskframe.jobs import written
 
 PREFIX_DIGITS = 3
+#: Classes whose counts are held by the driver; with more, counts and cuts are tables (``class_parts``).
 MAX_CLASSES = 256
+#: Rows of a hash cell that one task puts in order; a larger one that holds a cut is counted again by a longer prefix.
+CELL_ROWS = 50_000
 
 
 @dataclass(frozen=True)
@@ -76,16 +81,34 @@ def hash_cuts(
     """Hash of the row at each wanted rank (1-based) of each class.
 
     Rows that share a key share a hash, so all copies of a key fall on the same side of a cut.
-    Only rows in the prefixes that hold a wanted rank are looked at again.
+    Only rows in the prefixes that hold a wanted rank are looked at again; while such a prefix has more than
+    ``CELL_ROWS`` rows, it is counted once more by a longer one.
     """
-    wanted = []  # class, prefix, rank in the class, rank in the cell: one row per cut
-    for label, positions in ranks.items():
-        start = 0
-        pending = sorted({r for r in positions if r > 0})
-        for cell in sorted(counts.cells.get(label, {})):
-            end = start + counts.cells[label][cell]
-            wanted += [(label, cell, r, r - start) for r in pending if start < r <= end]
+
+    def located(label: object, cells: Mapping[str, int], start: int, pending: Sequence[int]) -> list:
+        found = []  # class, prefix, rank in the class, rank in the cell, rows of the cell
+        for cell in sorted(cells):
+            end = start + cells[cell]
+            found += [(label, cell, r, r - start, cells[cell]) for r in pending if start < r <= end]
             start = end
+        return found
+
+    places = []
+    for label, positions in ranks.items():
+        places += located(label, counts.cells.get(label, {}), 0, sorted({r for r in positions if r > 0}))
+    digits = PREFIX_DIGITS
+    while digits < 32 and any(n > CELL_ROWS and len(cell) == digits for _, cell, _, _, n in places):
+        full = sorted({(label, cell) for label, cell, _, _, n in places if n > CELL_ROWS and len(cell) == digits})
+        digits += 2
+        finer = _cells_below(df, key, target, seed, full, digits)
+        places = [
+            inner
+            for label, cell, rank, local, n in places
+            for inner in (
+                located(label, finer[label, cell], rank - local, [rank]) if (label, cell) in finer else [(label, cell, rank, local, n)]
+            )
+        ]
+    wanted = [p[:4] for p in places]
     if not wanted:
         return {}
 
@@ -101,8 +124,10 @@ def hash_cuts(
     cuts = F.broadcast(df.sparkSession.createDataFrame(wanted, schema))
     hashed = df.select((F.col(target) if target else F.lit(0)).alias("c"), hash_order(key, seed).alias("h"))
     in_cell = Window.partitionBy("c", "b").orderBy("h").rowsBetween(Window.unboundedPreceding, 0)
+    lengths = sorted({len(w[1]) for w in wanted})  # no wanted prefix begins another one
+    cells = F.array(*[F.substring("h", 1, n) for n in lengths])
     ranked = (
-        hashed.withColumn("b", F.substring("h", 1, PREFIX_DIGITS))
+        hashed.withColumn("b", F.explode(cells))
         .join(cuts, ["c", "b"], "left_semi")
         .groupBy("c", "b", "h")
         .agg(F.count("*").alias("n"))
@@ -112,6 +137,71 @@ def hash_cuts(
     return {(row["c"], row["rank"]): row["h"] for row in crossing.collect()}
 
 
+def _cells_below(df: DataFrame, key: str, target: str | None, seed: int | str, full: Sequence[tuple], digits: int) -> dict:
+    """Rows per longer prefix of the given (class, prefix) cells."""
+    kind = df.schema[target].dataType if target else T.IntegerType()
+    schema = T.StructType([T.StructField("c", kind), T.StructField("b", T.StringType())])
+    cells = F.broadcast(df.sparkSession.createDataFrame(full, schema))
+    rows = df.select((F.col(target) if target else F.lit(0)).alias("c"), hash_order(key, seed).alias("h"))
+    rows = rows.withColumn("b", F.substring("h", 1, len(full[0][1]))).join(cells, ["c", "b"], "left_semi")
+    out: dict = {}
+    for r in rows.groupBy("c", "b", F.substring("h", 1, digits).alias("d")).count().collect():
+        out.setdefault((r["c"], r["b"]), {})[r["d"]] = r["count"]
+    return out
+
+
+def sum_before(df: DataFrame, order: Sequence[str], value: str, output: str) -> DataFrame:
+    """Add the sum of ``value`` over the rows before this one in ``order`` (a unique order of any types).
+
+    One range shuffle sorts the rows; each range adds the totals of the ranges before it.
+    """
+    sorted_rows = df.repartitionByRange(shuffle_buckets(df), *order).sortWithinPartitions(*order)
+    placed = written(sorted_rows.withColumn("__at", F.monotonically_increasing_id()), "in-order").withColumn("__part", F.shiftright("__at", 33))
+    parts = placed.groupBy("__part").agg(F.sum(value).alias("__total"))
+    earlier = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # one row per range
+    starts = parts.select("__part", F.coalesce(F.sum("__total").over(earlier), F.lit(0)).alias("__start"))
+    inside = Window.partitionBy("__part").orderBy("__at").rowsBetween(Window.unboundedPreceding, -1)
+    here = F.coalesce(F.sum(value).over(inside), F.lit(0))
+    return placed.withColumn("__here", here).join(starts, "__part").select(*df.columns, (F.col("__here") + F.col("__start")).alias(output))
+
+
+def class_totals(df: DataFrame, key: str, target: str) -> DataFrame:
+    """(c, n): rows with a key per class, for any number of classes."""
+    rows = df.where(F.col(target).isNotNull() & F.col(key).isNotNull())
+    return written(rows.groupBy(F.col(target).alias("c")).agg(F.count("*").alias("n")), "classes")
+
+
+def class_parts(df: DataFrame, key: str, target: str, seed: int | str, sizes: DataFrame) -> DataFrame:
+    """Add ``__part``, the number of a row's part, for any number of classes: a class is cut, in hash order, into parts of
+    the given sizes (c, n, parts: array of whole numbers).
+
+    A class is laid out in as many hash cells as its rows ask for, cells are counted, and only those that hold a cut are put
+    in order.  Rows meet the cuts of their class by a join; a class that holds most rows is left to the skew join.
+    """
+    digits = F.greatest(F.lit(0), F.ceil(F.log(F.col("n") / F.lit(float(CELL_ROWS))) / F.lit(math.log(16.0)))).cast("int")
+    classes = written(sizes.select("c", "n", "parts", digits.alias("digits")), "class-sizes")
+    rows = df.select(F.col(target).alias("c"), hash_order(key, seed).alias("h")).where("c IS NOT NULL AND h IS NOT NULL")
+    celled = rows.join(classes.select("c", "digits"), "c").select("c", "h", F.expr("substring(h, 1, digits)").alias("b"))
+    earlier = Window.partitionBy("c").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
+    counted = celled.groupBy("c", "b").agg(F.count("*").alias("k")).withColumn("start", F.coalesce(F.sum("k").over(earlier), F.lit(0)))
+    ends = F.transform(F.sequence(F.lit(1), F.size("parts") - 1), lambda i: F.aggregate(F.slice("parts", F.lit(1), i), F.lit(0).cast("long"), lambda a, x: a + x))
+    ranks = classes.where(F.size("parts") > 1).select("c", F.posexplode(ends).alias("part", "rank")).where("rank > 0")
+    wanted = written(counted.join(ranks, "c").where("start < rank AND rank <= start + k").select("c", "b", "part", "rank", (F.col("rank") - F.col("start")).alias("local")), "cuts")
+    upto = Window.partitionBy("c", "b").orderBy("h").rowsBetween(Window.unboundedPreceding, 0)
+    near = celled.join(wanted.select("c", "b").distinct(), ["c", "b"], "left_semi").groupBy("c", "b", "h").agg(F.count("*").alias("k"))
+    ranked = near.withColumn("upto", F.sum("k").over(upto))
+    cuts = ranked.join(wanted, ["c", "b"]).where("local <= upto AND local > upto - k")
+    cuts = cuts.groupBy("c").agg(F.array_sort(F.collect_list(F.struct("part", "h"))).alias("cuts"))
+    table = written(classes.join(cuts, "c", "left").select(F.col("c").alias("__class"), F.col("parts").alias("__sizes"), "cuts"), "class-cuts")
+    hashed = df.withColumn("__hash", hash_order(key, seed))
+    joined = hashed.join(table, hashed[target] == table["__class"], "left")
+    # the first part whose last hash is not below the row's, parts without rows apart; else the last part
+    open_ = F.filter("cuts", lambda x: (F.col("__hash") <= x["h"]) & (F.get("__sizes", x["part"]) > 0))
+    part = F.coalesce(F.get(open_, F.lit(0))["part"], F.size("__sizes") - 1)
+    known = F.col("__hash").isNotNull() & F.col("__class").isNotNull()
+    return joined.withColumn("__part", F.when(known, part)).select(*df.columns, "__part")
+
+
 def shuffle_buckets(df: DataFrame) -> int:
     """Number of ranges to cut a running total into: the session's shuffle width, which a job sets by its size."""
     return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))

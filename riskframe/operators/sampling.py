@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskframe.functions import hash_order
-from riskframe.operators.ordering import count_classes, count_hash_cells, hash_cuts
+from riskframe.operators.ordering import MAX_CLASSES, class_parts, class_totals, count_classes, count_hash_cells, hash_cuts, sum_before
 
 HASH = "__hash"
 
@@ -79,6 +79,31 @@ def _assign(
     return hashed, F.lit(None).cast("int") if result is None else F.when(F.col(HASH).isNotNull(), result)
 
 
+def many_classes(df: DataFrame, target: str) -> bool:
+    """Whether the classes are too many for the driver; their counts and cuts are then tables."""
+    return df.where(F.col(target).isNotNull()).select(target).distinct().limit(MAX_CLASSES + 1).count() > MAX_CLASSES
+
+
+def _quota_table(totals: DataFrame, share: float) -> DataFrame:
+    """(c, n, parts): the quotas of ``test_quotas`` for a table of class totals."""
+    n = totals.agg(F.sum("n")).first()[0] or 0
+    size = ceil_share(n, share)
+    exact = F.col("n").cast("decimal(38,0)") * F.lit(size).cast("decimal(19,0)")  # beyond 2^63 for large tables
+    rest = (exact % F.lit(max(n, 1)).cast("decimal(19,0)")).cast("decimal(38,0)")
+    base = totals.select("c", "n", ((exact - rest) / F.lit(max(n, 1))).cast("long").alias("base"), (-rest).cast("long").alias("less"))
+    left = size - (base.agg(F.sum("base")).first()[0] or 0)
+    placed = sum_before(base.withColumn("one", F.lit(1).cast("long")), ["less", "c"], "one", "place")
+    quota = F.col("base") + (F.col("place") < left).cast("long")
+    return placed.select("c", "n", F.array(quota, F.col("n") - quota).alias("parts"))
+
+
+def _fold_table(totals: DataFrame, k: int) -> DataFrame:
+    """(c, n, parts): the sizes of ``fold_sizes`` for a table of class totals."""
+    placed = sum_before(totals, ["c"], "n", "offset")
+    size = lambda f: F.floor(F.col("n") / k).cast("long") + (F.pmod(F.lit(f) - F.col("offset"), F.lit(k)) < F.col("n") % k).cast("long")
+    return placed.select("c", "n", F.array(*[size(f) for f in range(k)]).alias("parts"))
+
+
 def stratified_split(
     df: DataFrame, key: str, target: str, share: float = 0.2, seed: int | str = 42, output: str = "is_test"
 ) -> DataFrame:
@@ -86,6 +111,8 @@ def stratified_split(
 
     The draw has a seed of its own, so a hold-out is never one of the folds drawn with the same number."""
     seed = f"split:{seed}"
+    if many_classes(df, target):
+        return class_parts(df, key, target, seed, _quota_table(class_totals(df, key, target), share)).withColumn(output, F.col("__part") == 0).drop("__part")
     counts = count_hash_cells(df, key, target, seed)
     quotas = test_quotas(counts.totals, share)
     sizes = {c: [quotas[c], counts.totals[c] - quotas[c]] for c in counts.labels()}
@@ -110,6 +137,8 @@ def stratified_kfold(
     a key or a class get null."""
     if k < 2:
         raise ValueError("k must be at least 2")
+    if many_classes(df, target):
+        return class_parts(df, key, target, seed, _fold_table(class_totals(df, key, target), k)).withColumnRenamed("__part", output)
     counts = count_hash_cells(df, key, target, seed)
     hashed, part = _assign(df, key, target, seed, fold_sizes(counts.totals, k), counts)
     return hashed.withColumn(output, part).drop(HASH)
@@ -150,7 +179,12 @@ def class_distribution(df: DataFrame, target: str) -> DataFrame:
 def balanced_weights(
     df: DataFrame, target: str, output: str = "weight", totals: Mapping[object, int] | None = None
 ) -> DataFrame:
-    """n / (classes * rows of the class); ``totals`` reuses known class counts."""
+    """n / (classes * rows of the class), by a join where the classes are many; ``totals`` reuses known class counts."""
+    if totals is None and many_classes(df, target):
+        counted = df.where(F.col(target).isNotNull()).groupBy(F.col(target).alias("__class")).agg(F.count("*").alias("__n"))
+        classes, rows = counted.agg(F.count("*"), F.sum("__n")).first()
+        weighed = counted.select("__class", (F.lit(float(rows)) / (F.lit(float(classes)) * F.col("__n"))).alias(output))
+        return df.join(weighed, df[target] == weighed["__class"], "left").drop("__class")
     totals = dict(totals) if totals is not None else count_classes(df, target)
     present = {c: n for c, n in totals.items() if n}
     n = sum(present.values())

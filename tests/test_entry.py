@@ -7,7 +7,6 @@ from riskframe.catalog import all_queries
 from tools.check_queries import compare
 
 SMALL = entry_module.SMALL
-SLOW = {"stack_logistic", "stack_forest", "stack_meta_features", "model_panel", "refit_best", "search_trials", "final_cv_check"}
 needs_tables = pytest.mark.skipif(not os.path.isdir(SMALL), reason="test tables are not here")
 
 
@@ -23,6 +22,6 @@ def test_entry(spark):
 
 
 @needs_tables
-@pytest.mark.parametrize("name", sorted(set(all_queries()) - SLOW))
+@pytest.mark.parametrize("name", sorted(all_queries()))
 def test_query(spark, name):
     assert compare(spark, SMALL, name) == []

@@ -88,3 +88,51 @@ def test_too_many_classes_are_refused(spark):
         O.count_classes(df, "c")
     with pytest.raises(ValueError, match="classes"):
         O.count_hash_cells(df, "id", "c", 1)
+
+
+def test_full_cells_are_counted_by_longer_prefixes(spark, monkeypatch):
+    """The cut is the same however few rows a cell may have; each refinement looks at the cells of the cuts only."""
+    df = spark.range(5000).select("id", (F.col("id") % 2).cast("int").alias("c"))
+    counts = O.count_hash_cells(df, "id", "c", 42)
+    wanted = {0: [1, 777, 2500], 1: [1200]}
+    want = O.hash_cuts(df, "id", "c", 42, counts, wanted)
+    seen = []
+    below = O._cells_below
+    monkeypatch.setattr(O, "CELL_ROWS", 0)
+    monkeypatch.setattr(O, "_cells_below", lambda *a: seen.append(len(a[4])) or below(*a))
+    assert O.hash_cuts(df, "id", "c", 42, counts, wanted) == want and len(want) == 4
+    assert seen and max(seen) <= 4
+
+
+def test_parts_of_any_number_of_classes(spark, monkeypatch):
+    """Parts by tables are those of rows dealt in hash order, in cells of any size; rows without key or class get none."""
+    import hashlib
+
+    monkeypatch.setattr(O, "CELL_ROWS", 4)
+    data = [(i, "hot" if i % 3 == 0 else f"c{i % 97}") for i in range(900)] + [(None, "c1"), (5000, None)]
+    df = spark.createDataFrame(data, "id long, c string").repartition(5)
+    by: dict = {}
+    for i, c in data:
+        if i is not None and c is not None:
+            by.setdefault(c, []).append(i)
+    parts = {c: [len(ids) // 2, 0, len(ids) - len(ids) // 2 - 1, 1] for c, ids in by.items()}
+    sizes = spark.createDataFrame([(c, len(by[c]), p) for c, p in parts.items()], "c string, n long, parts array<long>")
+    got = {(r["id"], r["c"]): r["__part"] for r in O.class_parts(df, "id", "c", 7, sizes).collect()}
+    assert got.pop((None, "c1")) is None and got.pop((5000, None)) is None
+    want = {}
+    for c, ids in by.items():
+        ordered = sorted(ids, key=lambda i: hashlib.md5(f"7:{i}".encode()).hexdigest())
+        places = [p for p, n in enumerate(parts[c]) for _ in range(n)]
+        want.update({(i, c): p for i, p in zip(ordered, places)})
+    assert got == want
+
+
+def test_sum_before(spark):
+    data = [(f"k{i * 37 % 101:03d}", i % 7) for i in range(101)]
+    df = spark.createDataFrame(data, "k string, n long").repartition(6)
+    total = 0
+    want = {}
+    for k, n in sorted(data):
+        want[k] = total
+        total += n
+    assert {r["k"]: r["before"] for r in O.sum_before(df, ["k"], "n", "before").collect()} == want

@@ -121,3 +121,14 @@ def test_distribution_and_weights(spark):
     weights = dict(rows(S.balanced_weights(df.where("y IS NOT NULL"), "y").distinct(), "y", "weight"))
     assert weights == {1: 4 / 6, 0: 2.0}
     assert dict(rows(S.positive_weight(df.where("y IS NOT NULL"), "y", 1.5).distinct(), "y", "weight")) == {1: 1.5, 0: 1.0}
+
+
+def test_many_classes_follow_the_rules_of_few(spark, monkeypatch):
+    """With the driver's limit below the number of classes, splits, folds and weights are the same."""
+    data = [(i, i % 11 if i % 4 else 0) for i in range(500)] + [(None, 3), (9000, None)]
+    df = spark.createDataFrame(data, "id long, c int")
+    few = [rows(f(df)) for f in (lambda d: S.stratified_split(d, "id", "c", 0.3), lambda d: S.stratified_kfold(d, "id", "c", 4), lambda d: S.balanced_weights(d, "c"))]
+    monkeypatch.setattr(S, "MAX_CLASSES", 3)
+    many = [rows(f(df)) for f in (lambda d: S.stratified_split(d, "id", "c", 0.3), lambda d: S.stratified_kfold(d, "id", "c", 4), lambda d: S.balanced_weights(d, "c"))]
+    assert few[:2] == many[:2]
+    assert [r[:2] for r in few[2]] == [r[:2] for r in many[2]] and all((a[2] is None) == (b[2] is None) and (a[2] is None or abs(a[2] - b[2]) < 1e-12) for a, b in zip(few[2], many[2]))
