@@ -113,6 +113,18 @@ def fit_linear_svm(spark, sf):
     return _checked(spark, sf, "linear_svm", {"max_iter": 10}, "balanced")
 
 
+def fit_kernel_svm(spark, sf):
+    return _checked(spark, sf, "kernel_svm", {"components": 64, "max_iter": 20}, "balanced")
+
+
+def fit_calibrated_sigmoid(spark, sf):
+    return _checked(spark, sf, "calibrated", {"base": "linear_svm", "max_iter": 10})
+
+
+def fit_calibrated_monotone(spark, sf):
+    return _checked(spark, sf, "calibrated", {"base": "ridge", "method": "monotone"})
+
+
 def fit_mlp(spark, sf):
     return _checked(spark, sf, "mlp", {"hidden": (8,), "max_iter": 20})
 
@@ -296,6 +308,9 @@ QUERIES = {
         fit_lda,
         fit_ridge,
         fit_linear_svm,
+        fit_kernel_svm,
+        fit_calibrated_sigmoid,
+        fit_calibrated_monotone,
         fit_mlp,
         fit_adaboost,
         score_knn,
@@ -343,7 +358,7 @@ ORACLES = {
     **dict.fromkeys(
         (
             "fit_random_forest", "fit_boosted_trees", "fit_boosted_trees_deep", "fit_decision_tree_deep", "fit_linear_svm", "fit_mlp",
-            "fit_adaboost",
+            "fit_adaboost", "fit_kernel_svm", "fit_calibrated_sigmoid", "fit_calibrated_monotone",
         ),
         CHECKED,
     ),

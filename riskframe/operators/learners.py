@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 
 from riskframe.jobs import written
 from riskframe.operators.boosting import PROFILES, fit_histogram_boosting
+from riskframe.operators.margins import calibrated, fit_random_feature_svm
 from riskframe.operators.ordering import MAX_CLASSES, bucket_name, range_buckets
 from riskframe.operators.sampling import balanced_weights, positive_weight
 from riskframe.operators.scorers import GaussianScorer, LinearScorer, StumpScorer
@@ -152,6 +153,39 @@ def fit_linear_svm(
     return _fit(df, features, target, weight, LinearSVC(regParam=penalty, maxIter=max_iter), standardise=True)
 
 
+def fit_kernel_svm(
+    df: DataFrame,
+    features: Sequence[str],
+    target: str,
+    weight: str | None = None,
+    gamma: float | None = None,
+    components: int = 200,
+    penalty: float = 1e-3,
+    max_iter: int = 100,
+    seed: int = 42,
+) -> PipelineModel:
+    """Support vector machine with a Gaussian kernel through random features of standardised values; ``gamma`` is one over
+    the number of features if not given. Gives no probability."""
+    return fit_random_feature_svm(_rows(df, features, target, weight), features, target, weight, gamma, components, penalty, max_iter, seed)
+
+
+def fit_calibrated(
+    df: DataFrame,
+    features: Sequence[str],
+    target: str,
+    weight: str | None = None,
+    base: str = "linear_svm",
+    method: str = "sigmoid",
+    k: int = 5,
+    **settings,
+) -> PipelineModel:
+    """A margin learner (linear_svm or ridge) with probabilities from its out-of-fold margins, by a sigmoid or monotone curve."""
+    if base not in ("linear_svm", "ridge"):
+        raise ValueError(f"{base!r} is no margin learner")
+    fit = lambda rows: LEARNERS[base](rows, features, target, weight=weight, **settings)
+    return calibrated(_rows(df, features, target, weight), fit, features, target, method, k)
+
+
 def fit_mlp(
     df: DataFrame,
     features: Sequence[str],
@@ -338,6 +372,8 @@ LEARNERS: dict[str, Callable[..., PipelineModel]] = {
     "lda": fit_lda,
     "ridge": fit_ridge,
     "linear_svm": fit_linear_svm,
+    "kernel_svm": fit_kernel_svm,
+    "calibrated": fit_calibrated,
     "mlp": fit_mlp,
     "adaboost": fit_adaboost,
 }

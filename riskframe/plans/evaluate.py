@@ -25,7 +25,7 @@ from riskframe.operators.summary import METRICS, all_metrics
 
 ENSEMBLE_FILE = "ensemble.json"
 #: Learners whose models give a class only.
-NO_PROBABILITY = frozenset(("linear_svm", "ridge"))
+NO_PROBABILITY = frozenset(("linear_svm", "kernel_svm", "ridge"))
 
 
 @dataclass(frozen=True)
