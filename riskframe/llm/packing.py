@@ -17,8 +17,10 @@ their names, are not read.
 
 from __future__ import annotations
 
+import re
 import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 from types import ModuleType
 
@@ -39,6 +41,20 @@ TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 SIGNS = frozenset(".,;:!?")
 
 
+#: Letters whose lower case is a letter by itself, already composed.
+LATIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+")
+
+
+def byte_characters() -> list[str]:
+    """The character that stands for each byte in a byte-level vocabulary: itself if it is printable, else one from 256 on."""
+    kept = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    rest = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in kept)}
+    return [chr(rest.get(b, b)) for b in range(256)]
+
+
+BYTES = byte_characters()
+
+
 class TokenIds(dict):
     """16-bit ids of the runs of non-space seen lately, as bytes; starts anew when full.
 
@@ -54,6 +70,16 @@ class TokenIds(dict):
         self.model = Tokenizer.from_file(path)
         if self.model.get_vocab_size() > 1 << 16:
             raise ValueError("ids of this vocabulary take more than 16 bits")
+        # words of plain letters may go to the model's merges directly, if that gives what the whole tokenizer gives
+        self.merges = self.model.model
+        self.direct = all(self.by_merges(w) == self.by_tokenizer(w) for w in ("the", "The", "zqxj", "naïve", "GRÖSSE", "ÿŁőǆ"))
+
+    def by_tokenizer(self, run: str) -> list[int]:
+        return self.model.encode(run, add_special_tokens=False).ids
+
+    def by_merges(self, word: str) -> list[int]:
+        low = word.lower()
+        return [t.id for t in self.merges.tokenize(low if low.isascii() else "".join(map(BYTES.__getitem__, low.encode())))]
 
     def __missing__(self, run: str) -> bytes:
         if run[-1:] in SIGNS and run[:-1].isalpha():
@@ -62,9 +88,12 @@ class TokenIds(dict):
             return self[low]
         if len(self) > 1_000_000:
             self.clear()
-        ids = np.array(self.model.encode(run, add_special_tokens=False).ids, "<u2").tobytes()
-        self[run] = ids
-        return ids
+        plain = self.direct and run.isalpha() and (run.isascii() or LATIN.fullmatch(run))
+        ids = array("H", self.by_merges(run) if plain else self.by_tokenizer(run))
+        if sys.byteorder == "big":
+            ids.byteswap()
+        found = self[run] = ids.tobytes()
+        return found
 
 
 def token_ids(path: str) -> TokenIds:

@@ -131,3 +131,16 @@ def test_rows_that_share_an_id_lie_apart(spark):
     pieces = packing.digests(packing.pack(documents(spark, rows), window=64)).collect()
     at = sorted({p.sequence_id for p in pieces if p.doc_id == 7})
     assert len(at) > 20 and at[-1] - at[0] > 0.8 * max(p.sequence_id for p in pieces)
+
+
+def test_ids_of_words_are_those_of_the_tokenizer():
+    """Words that go to the merges directly, with and without a sign, in any case, and those that do not."""
+    import random
+
+    rng, known = random.Random(1), packing.TokenIds(packing.TOKENIZER)
+    assert known.direct
+    letters = "abcdeXYZ'" + "éüñÀŁőßÿĳŉ" + "µªº" + "Ωσςıİ中😀" + "0123" + ".,;:!?-" + "e\u0301"
+    for _ in range(3000):
+        run = "".join(rng.choice(letters[: rng.choice((9, 19, len(letters)))]) for _ in range(rng.randrange(1, 12)))
+        want = np.array(known.model.encode(run, add_special_tokens=False).ids, "<u2").tobytes()
+        assert known[run] == want, run
