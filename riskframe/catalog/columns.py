@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from riskframe.catalog.base import EVENTS, events, table
 from riskframe.operators import columns as C
+from riskframe.operators.target_stats import ordered_target_stats as ordered_stats
 
 STATUS = {"F": 1, "O": 0}
 REQUIRED = ("k", "value", "hour", "user_id")
@@ -56,6 +57,13 @@ def one_hot(spark, sf):
     return C.one_hot(orders, levels)
 
 
+def ordered_target_stats(spark, sf):
+    """Users and hours as numbers, each row by the rows of its level before it in hash order."""
+    df = events(spark, sf).select("event_id", "user_id", "hour", "y")
+    found = ordered_stats(df, "event_id", ["user_id", "hour"], "y")
+    return found.select("event_id", *[F.round(c, 9).alias(c) for c in ("user_id_stat", "hour_stat")])
+
+
 def table_profile(spark, sf):
     orders = table(spark, sf, "orders").select(
         "o_orderkey",
@@ -89,11 +97,18 @@ QUERIES = {
         drop_key,
         reduce_columns,
         one_hot,
+        ordered_target_stats,
         table_profile,
     )
 }
 
+_BEFORE = """(coalesce(sum(y) OVER (PARTITION BY {c} ORDER BY md5('stats:42:' || event_id) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
+    + (SELECT avg(y) FROM ev)) / (count(*) OVER (PARTITION BY {c} ORDER BY md5('stats:42:' || event_id)
+    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 1.0e0)"""
+
 ORACLES = {
+    "ordered_target_stats": f"""WITH {EVENTS} SELECT event_id, round({_BEFORE.format(c='user_id')}, 9) AS user_id_stat,
+  round({_BEFORE.format(c='hour')}, 9) AS hour_stat FROM ev""",
     "encode_target": """SELECT o_orderkey,
   CAST(CASE o_orderstatus WHEN 'F' THEN 1 WHEN 'O' THEN 0 END AS INTEGER) AS y FROM orders""",
     "split_features_target": f"WITH {EVENTS} SELECT event_id, value, user_id, hour, y AS actual FROM ev",

@@ -13,6 +13,7 @@ from riskframe.operators.neighbours import score_knn as knn
 from riskframe.operators.metrics import accuracy
 from riskframe.operators.sampling import stratified_kfold, stratified_split
 from riskframe.operators.scoring import batch_score
+from riskframe.operators.vector_index import build_index, search_index, vote_of
 from riskframe.plans import evaluate
 from riskframe.plans.evaluate import Ensemble
 from riskframe.plans.package import score_registered
@@ -152,6 +153,14 @@ def score_knn_blocks(spark, sf):
     )
 
 
+def score_knn_index(spark, sf):
+    """The same vote from a stored index, searched until no cell can hold a nearer row."""
+    split = stratified_split(table(spark, sf, "embeddings"), "vec_id", "label", 0.2)
+    index = build_index(split.where("NOT is_test"), "vec_id", "embedding", "label", scratch_path(spark, "index"), cells=12)
+    found = search_index(spark, index, split.where("is_test"), "vec_id", "embedding", 5)
+    return vote_of(found, "vec_id").select("vec_id", F.col("prediction").cast("int").alias("prediction"), "votes")
+
+
 def vote_soft(spark, sf):
     df = events(spark, sf)
     return ensembles.vote_soft(df, ["p_value", "p_user", "p_event"]).select(
@@ -315,6 +324,7 @@ QUERIES = {
         fit_adaboost,
         score_knn,
         score_knn_blocks,
+        score_knn_index,
         vote_soft,
         vote_hard,
         stack_meta_features,
@@ -409,6 +419,7 @@ FROM events, (VALUES ('soft'), ('hard'), ('stack')) k(kind)""",
     "score_package": "SELECT event_id, true AS same FROM events",
     "score_knn": _knn_sql(),
     "score_knn_blocks": _knn_sql(),
+    "score_knn_index": _knn_sql(),
     "vote_soft": f"""WITH {EVENTS} SELECT event_id, y, CASE WHEN (p_value + p_user + p_event) / 3.0e0 > 0.5e0 THEN 1 ELSE 0 END AS prediction,
   round((p_value + p_user + p_event) / 3.0e0, 9) AS probability FROM ev""",
     "vote_hard": f"""WITH {EVENTS}, c AS (
