@@ -275,7 +275,8 @@ def stream_score_ensemble(spark, sf):
     stream_score(records, model, FEATURES, done, offsets, ["event_id"]).awaitTermination()
     batch = batch_score(df, model, FEATURES, ["event_id"]).select("event_id", F.col("probability").alias("batch"))
     both = spark.read.parquet(done).join(batch, "event_id")
-    return both.select("event_id", "prediction_label", (F.abs(F.col("probability") - F.col("batch")) < 1e-12).alias("same"))
+    labelled = F.col("prediction_label").isNotNull()
+    return both.select("event_id", labelled.alias("labelled"), (F.abs(F.col("probability") - F.col("batch")) < 1e-12).alias("same"))
 
 
 def score_package(spark, sf):
@@ -416,6 +417,7 @@ SELECT event_id, y, round(1.0e0 / (1.0e0 + exp(-(wa * (value - ma) + wb * (hour
 SELECT event_id, y, round(mt + skt / (skk + 10.0e0) * (k - mk), 6) AS raw FROM ev, s""",
     "save_load_ensemble": """SELECT event_id, kind, true AS same
 FROM events, (VALUES ('soft'), ('hard'), ('stack')) k(kind)""",
+    "stream_score_ensemble": "SELECT event_id, true AS labelled, true AS same FROM events",
     "score_package": "SELECT event_id, true AS same FROM events",
     "score_knn": _knn_sql(),
     "score_knn_blocks": _knn_sql(),
