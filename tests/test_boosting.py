@@ -8,6 +8,7 @@ from conftest import rows
 from riskframe.operators import boosting as B
 from riskframe.operators import learners as L
 from riskframe.operators import trees as T
+from riskframe.operators.ordering import exact_quantiles
 from riskframe.session import scratch_path
 from riskframe.sources import load_model, save_model
 
@@ -125,6 +126,34 @@ def test_loss_falls_and_profiles_are_taken_whole(df):
         L.fit_boosted_trees(df, FEATURES, "y", depht=3)
 
 
+@pytest.mark.parametrize("pivots", [3, 4096])
+def test_edges_are_the_exact_quantiles(df, monkeypatch, pivots):
+    monkeypatch.setattr(B, "PIVOTS", pivots)
+    picks = {f"q{i}": i / 16 for i in range(1, 17)}
+    want = {r["column"]: r for r in exact_quantiles(df.select(*FEATURES), FEATURES, picks).collect()}
+    for name, got in zip(FEATURES, B.bin_edges(df, FEATURES, 16)):
+        assert got.tolist() == sorted({want[name][q] for q in picks})
+
+
+def test_a_round_computes_gradients_once_and_sums_no_leaves(df, monkeypatch):
+    """A tree of depth 3 takes a pass for the root and one for each level that may still be split."""
+    passes, rounds = [], []
+    histograms, drawn_rows = B.histograms, B.drawn_rows
+    monkeypatch.setattr(B, "histograms", lambda *a: passes.append(len(a[3])) or histograms(*a))
+    monkeypatch.setattr(B, "drawn_rows", lambda *a: rounds.append(1) or drawn_rows(*a))
+    B.fit_histogram_boosting(df, FEATURES, "y", None, {**PLAIN, "rounds": 2})
+    assert len(rounds) == 2 and len(passes) <= 2 * PLAIN["depth"]
+
+
+def test_the_largest_value_is_not_taken_for_missing(spark):
+    """With a bin for each value, the rows of the largest one are split off on their own side."""
+    rows_ = [(float(i % 8), int(i % 8 == 7)) for i in range(80)] + [(None, 0)] * 10
+    table = spark.createDataFrame(rows_, "a double, y int")
+    _, (tree,), _, _ = B.fit_histogram_boosting(table, ["a"], "y", None, {**PLAIN, "depth": 1, "alpha": 0.0}, bins=8).stages[-1].parts()
+    assert tree.cover.tolist() == [90.0, 80.0, 10.0] and tree.missing_left[0]
+    assert tree.leaf_of(np.array([[np.nan], [6.0], [7.0]])).tolist() == [1, 1, 2]
+
+
 def test_odd_tables(spark, df):
     flat = spark.createDataFrame([(1.0, None, i % 2) for i in range(20)], "a double, b double, y int")
     assert {r[1] for r in rows(L.score(L.fit_boosted_trees(flat, ["a", "b"], "y", rounds=2), flat, ["y"]))} <= {0, 1}
