@@ -1,6 +1,7 @@
 import hashlib
 import math
 import random
+import threading
 
 import pytest
 from conftest import rows
@@ -130,3 +131,18 @@ def test_search_end_to_end(spark):
     check = tune.final_cv_check(df, tune.forest_learner(got[1]["params"]), ["a", "b"], "y", "id", k=2)
     means = {r["metric"]: (r["mean"], r["k"]) for r in check.collect()}
     assert means["accuracy"][0] > 0.9 and means["accuracy"][1] == 2 and "roc_auc" in means
+
+
+def test_folds_of_a_setting_are_fitted_at_once(spark):
+    """One setting, three folds: all three fits have to be under way for any of them to end."""
+    df = spark.createDataFrame([(i, float(i % 5), i % 2) for i in range(60)], "id int, a double, y int")
+    settings = spark.createDataFrame([(1, {})], "trial int, params map<string,string>")
+    meeting = threading.Barrier(3)
+
+    class Waiting(tune.Learner):
+        def fit(self, *args):
+            meeting.wait(timeout=60)
+            return super().fit(*args)
+
+    found = tune.search_trials(df, settings, lambda _: Waiting("bayes", "naive_bayes"), ["a"], "y", "id", k=3, parallelism=3)
+    assert 0 <= found.first()["score"] <= 1
