@@ -13,8 +13,8 @@ the share of bad ones from it on is least, and it lies in the middle between the
 document is scored for this without its own n-grams, as it would otherwise vouch for itself.  Without bad labels the
 threshold leaves one labelled good document of 100 below.
 
-Trusted documents are a bounded sample (``TRUSTED``) of those labelled good, and so are the bad ones that set the
-threshold; the raw counts cover all documents.  Null text has no words and fails the base rules.  Without trusted documents
+All documents labelled good are trusted, and all that are labelled set the threshold; the raw counts cover all documents.
+Ids go to every task up to ``SENT_IDS`` of them; more are joined by id.  Null text has no words and fails the base rules.  Without trusted documents
 all ratios are 0.  A text of any length is one row of its task; repeated rows have equal results, a null doc_id has no label,
 an empty table gives no rows, and columns other than doc_id and text, whatever their names, are not read.
 """
@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 
 from riskframe.llm.common import SPACE, only, text_or_empty, written
 
-#: Most labelled documents that the trusted multinomial is fitted on, first in hash order.
-TRUSTED = 20_000
+#: Most labelled ids that go to every task.
+SENT_IDS = 1 << 20
 #: Counters of the hashed table.
 BUCKETS = 1 << 20
 #: Most ratios that go to every task.
@@ -46,13 +46,17 @@ def split_words(text: Column) -> Column:
     return F.array_remove(F.split(text, SPACE), "")
 
 
-def labelled_ids(labels: DataFrame, quality: int, most: int) -> DataFrame:
-    found = labels.where(f"quality = {quality} AND doc_id IS NOT NULL").select("doc_id").distinct()
-    return found.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+def labelled_ids(labels: DataFrame, quality: int) -> DataFrame:
+    return labels.where(f"quality = {quality} AND doc_id IS NOT NULL").select("doc_id").distinct()
 
 
-def trusted_ids(labels: DataFrame, most: int = TRUSTED) -> DataFrame:
-    return labelled_ids(labels, 1, most)
+def trusted_ids(labels: DataFrame) -> DataFrame:
+    return labelled_ids(labels, 1)
+
+
+def few_or_joined(ids: DataFrame, most: int) -> DataFrame:
+    """The ids, to be sent to every task where there are few of them."""
+    return F.broadcast(ids) if ids.limit(most + 1).count() <= most else ids
 
 
 def keyed(docs: DataFrame, *more: str) -> DataFrame:
@@ -82,9 +86,10 @@ def n_grams(docs: DataFrame, buckets: int | None, *more: str) -> DataFrame:
 class Ratios:
     """Counts of n-grams and their log ratio of trusted to raw probability, add-one smoothed, in thousandths."""
 
-    def __init__(self, docs: DataFrame, trusted: DataFrame, buckets: int | None = None, frequent: int = FREQUENT):
+    def __init__(self, docs: DataFrame, trusted: DataFrame, buckets: int | None = None, frequent: int = FREQUENT, sent: int = SENT_IDS):
         self.docs, self.buckets, self.all_sent = docs, buckets, buckets is not None and buckets <= frequent
-        vouched = F.broadcast(trusted.select("doc_id", F.lit(1).alias("good")))  # TRUSTED ids at most
+        self.sent = sent
+        vouched = few_or_joined(trusted.select("doc_id", F.lit(1).alias("good")), sent)
         marked = n_grams(only(docs, "doc_id", "text").join(vouched, "doc_id", "left"), buckets, "good")
         counts = written(marked.groupBy("x").agg(F.count(F.lit(1)).alias("raw"), F.count("good").alias("good")), "n-grams")
         levels = counts.groupBy(F.ceil(F.log2("raw") * 8).alias("level")).agg(
@@ -131,7 +136,7 @@ class Ratios:
             return 0.0
         ids = good.withColumn("is_good", F.lit(True)).unionByName(bad.withColumn("is_good", F.lit(False)))
         # The labelled documents are dealt by key as texts, so that their n-grams need not move to be counted.
-        labelled = keyed(only(self.docs, "doc_id", "text").join(F.broadcast(ids), "doc_id"), "is_good").repartition("k")
+        labelled = keyed(only(self.docs, "doc_id", "text").join(few_or_joined(ids, self.sent), "doc_id"), "is_good").repartition("k")
         own = n_grams(labelled, self.buckets, "is_good", "k").groupBy("k", "is_good", "x").agg(F.count(F.lit(1)).alias("own"))
         counts = F.broadcast(self.counts) if self.all_sent else self.counts  # a row per counter
         left = F.greatest(F.lit(0), F.col("good") - F.when(F.col("is_good"), F.col("own")).otherwise(0))
@@ -161,14 +166,14 @@ def parting(rows: list[tuple[int, int, int]]) -> float:
     return at
 
 
-def quality_rules(docs: DataFrame, labels: DataFrame, buckets: int | None = BUCKETS, most: int = TRUSTED, threshold: float | None = None) -> DataFrame:
+def quality_rules(docs: DataFrame, labels: DataFrame, buckets: int | None = BUCKETS, threshold: float | None = None) -> DataFrame:
     """One row per document: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, score
     (mean log ratio in thousandths), kept.  ``buckets`` are the counters of the hashed table (None: a row per n-gram);
     ``threshold`` takes the place of the one from the labels."""
-    good = trusted_ids(labels, most)
+    good = trusted_ids(labels)
     ratios = Ratios(docs, good, buckets)
     if threshold is None:
-        threshold = ratios.threshold(good, labelled_ids(labels, 0, most))
+        threshold = ratios.threshold(good, labelled_ids(labels, 0))
     add = lambda total, x: total + x
     zero = F.lit(0).cast("long")
     lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))

@@ -91,6 +91,15 @@ def test_bad_documents_go_in_a_large_vocabulary(spark):
     assert all(got[i] for i in range(600)) and not any(got[1000 + i] for i in range(30))
 
 
+def test_all_labelled_documents_count(spark):
+    """No cap on the trusted documents; where they are many they are joined by id, with the same scores and threshold."""
+    assert quality.trusted_ids(spark.range(20_500).selectExpr("id AS doc_id", "1 AS quality")).count() == 20_500
+    docs, labels = documents(spark, rows_of()), spark.createDataFrame([(i, int(i < 20), 0) for i in range(30)], LABELS)
+    good, bad = quality.trusted_ids(labels), quality.labelled_ids(labels, 0)
+    sent, joined = (quality.Ratios(docs, good, 1 << 14, sent=n) for n in (1 << 20, 0))
+    assert same(sent.scores(), joined.scores()) and sent.threshold(good, bad) == joined.threshold(good, bad)
+
+
 def test_threshold_of_labelled_scores():
     assert quality.parting([(-900, 0, 3), (-800, 0, 1), (-600, 2, 0), (-500, 5, 0)]) == -700
     assert quality.parting([(-5, 1, 0), (7, 199, 0)]) == 7 and quality.parting([]) == 0
