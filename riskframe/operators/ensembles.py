@@ -9,7 +9,7 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskframe.jobs import run_threads
+from riskframe.jobs import run_threads, written
 from riskframe.operators.learners import Learner, score
 
 
@@ -55,8 +55,10 @@ def stack_meta_features(
 ) -> DataFrame:
     """Out-of-fold probability of each learner: (key, target, fold, one column per learner).
 
-    ``df`` carries the fold column. Each fold's models score only rows they were not fitted on.
+    ``df`` carries the fold column. Each fold's models score only rows they were not fitted on. The folded rows are written
+    once, as every pass of every fit reads them.
     """
+    df = written(df.select(*dict.fromkeys([key, target, fold, *features])), "folded")
     pairs = [(i, learner) for i in range(k) for learner in learners]
     jobs = [lambda i=i, learner=learner: learner.fit(df.where(F.col(fold) != i), features, target) for i, learner in pairs]
     fitted = dict(zip([(i, learner.name) for i, learner in pairs], run_threads(df.sparkSession, jobs, parallelism)))

@@ -128,3 +128,10 @@ def test_old_scores_are_not_taken_for_new_ones(df):
     stale = df.selectExpr("*", "0.99D AS probability", "7 AS prediction")
     got = score(Learner("margin", "linear_svm", {"max_iter": 2}).fit(df, ["a", "b"], "y"), stale)
     assert got.where("probability IS NOT NULL OR prediction > 1").count() == 0
+
+
+def test_folded_rows_are_written_once(spark, df):
+    """Fits and scores read the written folds, not what the table was made of."""
+    folded = stratified_kfold(df, "id", "y", 3)
+    meta = E.stack_meta_features(folded, BASE[:1], ["a", "b"], "y", "id", 3)
+    assert meta.inputFiles() and all("folded" in f for f in meta.inputFiles())
