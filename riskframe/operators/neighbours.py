@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -23,6 +24,7 @@ from riskframe.operators.sampling import sample_n
 # tasks get this module's functions with the job, so executors need no installed package
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
+#: Training rows of a block if not given, and queries of a block at least: each block of queries takes a copy of the cell.
 BLOCK_ROWS = 20_000
 RINGS = 16
 CHUNK_CELLS = 4_000_000
@@ -32,6 +34,16 @@ def _matrix(values: pd.Series) -> np.ndarray:
     return np.stack(values.to_numpy()).astype("float64") if len(values) else np.zeros((0, 0))
 
 
+def matrix_of(column: pa.ChunkedArray) -> np.ndarray:
+    """Vectors of equal length as a matrix, from their buffer: no object per vector."""
+    column = column.combine_chunks()
+    lengths = np.unique(column.value_lengths().to_numpy(zero_copy_only=False))
+    if len(lengths) > 1:
+        raise ValueError("vectors of different lengths")
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(float, copy=False)
+    return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 0))
+
+
 def _nearest(
     queries: np.ndarray, points: np.ndarray, keys: np.ndarray, k: int, digits: int | None = None
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -178,7 +190,7 @@ def _block_search(known, asked, key, vector, label, k, block_rows, n, seed, sche
     routed = asked.withColumn("cell", F.explode(visit(F.col(vector))))
     visits = {r["cell"]: r["count"] for r in routed.groupBy("cell").count().collect()}  # one row per cell
     train_blocks = {int(c): max(1, -(-int(m) // block_rows)) for c, m in in_cell.items()}
-    query_blocks = {int(c): max(1, -(-m // block_rows)) for c, m in visits.items()}
+    query_blocks = {int(c): max(1, -(-m // max(block_rows, BLOCK_ROWS))) for c, m in visits.items()}
 
     def per_cell(blocks: dict[int, int]):
         pairs = [F.lit(part) for item in sorted(blocks.items()) for part in item]
@@ -207,16 +219,17 @@ def _block_search(known, asked, key, vector, label, k, block_rows, n, seed, sche
         .select("cell", "t", "q", F.col(key).alias("query"), F.col(vector).alias("query_at"))
     )
 
-    def search(points: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        if points.empty or queries.empty:
-            return pd.DataFrame({key: [], "neighbour": [], "label": [], "distance": []})
-        keys, labels = points["point"].to_numpy(), points["point_label"].to_numpy()
-        q, p, d = _nearest(_matrix(queries["query_at"]), _matrix(points["point_at"]), keys, k, digits)
-        asked = queries["query"].to_numpy()[q]
-        return pd.DataFrame({key: asked, "neighbour": keys[p], "label": labels[p], "distance": d})
+    def search(points: pa.Table, queries: pa.Table) -> pa.Table:
+        if points.num_rows and queries.num_rows:
+            keys = points.column("point").to_pandas().to_numpy()
+            q, p, d = _nearest(matrix_of(queries.column("query_at")), matrix_of(points.column("point_at")), keys, k, digits)
+        else:
+            q, p, d = np.zeros(0, int), np.zeros(0, int), np.zeros(0)
+        found = (queries.column("query").take(pa.array(q)), points.column("point").take(pa.array(p)), points.column("point_label").take(pa.array(p)))
+        return pa.table([*found, pa.array(d)], names=[key, "neighbour", "label", "distance"])
 
     parts = ["cell", "t", "q"]
-    return left.groupBy(*parts).cogroup(right.groupBy(*parts)).applyInPandas(search, schema)
+    return left.groupBy(*parts).cogroup(right.groupBy(*parts)).applyInArrow(search, schema)
 
 
 def score_knn(

@@ -28,13 +28,15 @@ from pyspark.sql import functions as F
 
 from riskframe.functions import hash_order
 from riskframe.jobs import written
-from riskframe.operators.neighbours import _matrix, _nearest, nearest_neighbours
+from riskframe.operators.neighbours import _matrix, _nearest, matrix_of, nearest_neighbours
 from riskframe.operators.sampling import sample_n
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need no copy of the package
 
 #: Rows that the centres are fitted on, rounds of that fit, and rows of a block of a cell.
 SAMPLE, ROUNDS, CELL_ROWS = 20_000, 10, 20_000
+#: Queries of a group that are met at once.
+ASK_ROWS = 4096
 #: Share of the largest distance to a centre by which the product form of distances may be off.
 SLACK = 1e-6
 
@@ -168,12 +170,14 @@ def search_index(spark: SparkSession, index: VectorIndex, queries: DataFrame, ke
         routed = state.withColumn("visit", F.explode(visits_between(start, stop)("to", "bound"))).select("query", "to", "visit.cell", "visit.block")
 
         def meet(group: tuple, rows: pa.Table, asking: pa.Table) -> pa.Table:
-            points, queries_ = _matrix(rows.column("at").to_pandas()), _matrix(asking.column("to").to_pandas())
-            keys = rows.column("key").to_pandas().to_numpy()
-            if not len(points) or not len(queries_):
-                return pa.table({"query": asking.column("query").slice(0, 0), "neighbour": rows.column("key").slice(0, 0), "label": rows.column("label").slice(0, 0), "distance": pa.array([], pa.float64())})
-            q, p, d = _nearest(queries_, points, keys, k)
-            return pa.table({"query": asking.column("query").take(pa.array(q)), "neighbour": rows.column("key").take(pa.array(p)), "label": rows.column("label").take(pa.array(p)), "distance": pa.array(d)})
+            points, keys = matrix_of(rows.column("at")), rows.column("key").to_pandas().to_numpy()
+            none = pa.table({"query": asking.column("query").slice(0, 0), "neighbour": rows.column("key").slice(0, 0), "label": rows.column("label").slice(0, 0), "distance": pa.array([], pa.float64())})
+            parts = [none]
+            for at in range(0, asking.num_rows if len(points) else 0, ASK_ROWS):  # matrices of a part, however many ask
+                part = asking.slice(at, ASK_ROWS)
+                q, p, d = _nearest(matrix_of(part.column("to")), points, keys, k)
+                parts.append(pa.table({"query": part.column("query").take(pa.array(q)), "neighbour": rows.column("key").take(pa.array(p)), "label": rows.column("label").take(pa.array(p)), "distance": pa.array(d)}))
+            return pa.concat_tables(parts)
 
         found = known.select("key", "at", "label", "cell", "block").groupBy("cell", "block").cogroup(routed.groupBy("cell", "block")).applyInArrow(meet, out_type)
         place = Window.partitionBy("query").orderBy("distance", "neighbour")

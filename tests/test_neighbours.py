@@ -81,3 +81,20 @@ def test_exact_at_any_scale(spark, scale, offset, options):
         got.setdefault(r["id"], set()).add(r["neighbour"])
     for i, q in enumerate(asked):
         assert got[i] == set(np.argsort(((points - q) ** 2).sum(axis=1), kind="stable")[:4].tolist())
+
+
+def test_small_training_blocks_do_not_cut_the_queries_as_small(spark, monkeypatch):
+    """A cell's rows are copied once for each block of queries: blocks of few training rows must not multiply them."""
+    train = spark.createDataFrame(_points(300, 3, 1), SCHEMA)
+    queries = spark.createDataFrame([(1000 + i, [0.5, 0.5, 0.5], 0) for i in range(200)], SCHEMA)
+    want = {(r["id"], r["position"]): r["neighbour"] for r in N.nearest_neighbours(train, queries, "id", "v", "label", 3).collect()}
+    nearest = N._nearest
+
+    def of_all(asked, *others):
+        if len(asked) != 200:
+            raise ValueError(f"{len(asked)} of 200 queries in a block")
+        return nearest(asked, *others)
+
+    monkeypatch.setattr(N, "_nearest", of_all)
+    found = N.nearest_neighbours(train, queries, "id", "v", "label", 3, block_rows=10)
+    assert {(r["id"], r["position"]): r["neighbour"] for r in found.collect()} == want

@@ -72,3 +72,20 @@ def test_centres_cover_separate_groups():
     points = np.array([[g * 100 + rng.random(), rng.random()] for g in range(5) for _ in range(40)])
     near, gap = V.nearest_centre(points, V.fitted_centres(points, 5, 1))
     assert gap.max() < 120 and len(set(near.tolist())) == 5
+
+
+def test_queries_of_a_group_are_met_in_parts(spark, monkeypatch):
+    """However many queries come to a block, a task makes matrices of a part of them."""
+    train, queries = tables(spark)
+    index = V.build_index(train, "id", "v", "label", scratch_path(spark, "index"), cells=2)
+    nearest = N._nearest
+
+    def of_few(asked, points, keys, k, digits=None):
+        if len(asked) > 7:
+            raise ValueError("too many queries at once")
+        return nearest(asked, points, keys, k, digits)
+
+    monkeypatch.setattr(V, "ASK_ROWS", 7, raising=False)
+    monkeypatch.setattr(V, "_nearest", of_few)
+    found = V.search_index(spark, index, queries, "id", "v", 3)
+    assert same(found, N.nearest_neighbours(train, queries, "id", "v", "label", 3))
