@@ -4,6 +4,7 @@ import math
 import numpy as np
 import pytest
 from conftest import rows
+from pyspark.sql import functions as F
 
 from riskframe.operators import boosting as B
 from riskframe.operators import learners as L
@@ -192,3 +193,25 @@ def test_tree_contributions_as_by_enumeration(df):
                         chance = math.factorial(size) * math.factorial(2 - size) / math.factorial(3)
                         want += chance * (expected(tree, row, frozenset((*some, j))) - expected(tree, row, frozenset(some)))
                 assert got[i, j] == pytest.approx(want, abs=1e-10)
+
+
+def test_folds_share_coded_rows(df):
+    """Fits that leave out one fold each code the table once, and are the fits on the rows of the other folds."""
+    from riskframe.operators.learners import Learner
+
+    table = df.withColumn("fold", F.when(F.col("id") % 11 != 0, F.col("id") % 3)).withColumn("y", F.when(F.col("id") != 7, F.col("y")))
+    shared = B.coded_rows(table, FEATURES, "y", "fold", 3, bins=16)
+    for left_out in (0, 2, None):
+        rest = table.where("y IS NOT NULL") if left_out is None else table.where(f"fold <> {left_out} AND y IS NOT NULL")
+        assert [list(e) for e in shared.edges[left_out]] == [list(e) for e in B.bin_edges(rest, FEATURES, 16)]
+    for weighting in ("balanced", 1.5):
+        learner = Learner("b", "boosted_trees", {"rounds": 3, "depth": 3, "bins": 16, "profile": "deep"}, weighting)
+        one = learner.fit(rest.where("fold <> 2"), FEATURES, "y").stages[-1].parts()
+        two = learner.fit(rest.where("fold <> 2"), FEATURES, "y", None, shared, 2).stages[-1].parts()
+        assert one[2] == two[2] and one[3] == pytest.approx(two[3], abs=1e-12)
+        for a, b in zip(one[1], two[1]):
+            assert np.array_equal(a.feature, b.feature) and np.array_equal(a.threshold, b.threshold) and np.allclose(a.value, b.value)
+
+
+def test_other_labels_share_no_coded_rows(df):
+    assert B.coded_rows(df.withColumn("y", F.col("y") + 1), FEATURES, "y") is None
