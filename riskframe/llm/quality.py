@@ -83,6 +83,27 @@ def n_grams(docs: DataFrame, buckets: int | None, *more: str) -> DataFrame:
     return grams if buckets is None else grams.withColumn("x", F.pmod("x", F.lit(buckets)))
 
 
+def own_counts(labelled: DataFrame, buckets: int | None) -> DataFrame:
+    """k, is_good, x and ``own``, how often each n-gram occurs in a labelled document; rows of equal k are counted together.
+
+    A document's hashes are sorted in its row, where equal ones are a run: no table of (document, n-gram) is built."""
+    # The documents are dealt by key as texts, so that their n-grams need not move to be counted.
+    texts = labelled.repartition("k").groupBy("k", "is_good").agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("copies"))
+    place = lambda x: x if buckets is None else F.coalesce(F.pmod(x, F.lit(buckets)), F.lit(0).cast("long"))
+    hashes = texts.select("k", "is_good", "copies", F.transform(split_words(F.col("text")), lambda w: F.xxhash64(w)).alias("h"))
+    fewer = F.greatest(F.size("h") - 1, F.lit(0))
+    one = F.transform("h", lambda a: place(a))
+    two = F.zip_with(F.slice("h", F.lit(1), fewer), F.slice("h", F.lit(2), fewer), lambda a, b: place(F.xxhash64(a, b)))
+    ordered = hashes.select("k", "is_good", "copies", F.sort_array(F.concat(one, two)).alias("s"))
+    n = F.size("s")
+    last = F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: (i == n) | (F.get("s", i) != F.get("s", i - 1)))
+    runs = ordered.select("k", "is_good", "copies", "s", F.when(n > 0, last).alias("upto"))
+    before = F.concat(F.array(F.lit(0)), F.slice("upto", F.lit(1), F.greatest(F.size("upto") - 1, F.lit(0))))
+    ends = F.arrays_zip(F.transform("upto", lambda e: F.get("s", e - 1)).alias("x"), F.col("upto"), before.alias("before"))
+    rows = runs.select("k", "is_good", "copies", F.inline_outer(ends)).where("x IS NOT NULL")
+    return rows.select("k", "is_good", "x", ((F.col("upto") - F.col("before")) * F.col("copies")).alias("own"))
+
+
 class Ratios:
     """Counts of n-grams and their log ratio of trusted to raw probability, add-one smoothed, in thousandths."""
 
@@ -135,9 +156,8 @@ class Ratios:
         if not self.fitted:
             return 0.0
         ids = good.withColumn("is_good", F.lit(True)).unionByName(bad.withColumn("is_good", F.lit(False)))
-        # The labelled documents are dealt by key as texts, so that their n-grams need not move to be counted.
-        labelled = keyed(only(self.docs, "doc_id", "text").join(few_or_joined(ids, self.sent), "doc_id"), "is_good").repartition("k")
-        own = n_grams(labelled, self.buckets, "is_good", "k").groupBy("k", "is_good", "x").agg(F.count(F.lit(1)).alias("own"))
+        labelled = keyed(only(self.docs, "doc_id", "text").join(few_or_joined(ids, self.sent), "doc_id"), "is_good")
+        own = own_counts(labelled, self.buckets)
         counts = F.broadcast(self.counts) if self.all_sent else self.counts  # a row per counter
         left = F.greatest(F.lit(0), F.col("good") - F.when(F.col("is_good"), F.col("own")).otherwise(0))
         rated = own.join(counts, "x").withColumn("ratio", self.of(left, F.col("raw")) * F.col("own"))
