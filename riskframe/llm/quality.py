@@ -83,6 +83,22 @@ def n_grams(docs: DataFrame, buckets: int | None, *more: str) -> DataFrame:
     return grams if buckets is None else grams.withColumn("x", F.pmod("x", F.lit(buckets)))
 
 
+def own_grams(texts: DataFrame, buckets: int | None) -> DataFrame:
+    """k, is_good, copies, ``x`` and ``again`` for every n-gram of the texts: whether a good one holds it more than once.
+
+    A text's hashes are sorted in its row, where equal ones are neighbours: only the n-grams that come again, which are few,
+    are left to be counted by text and hash."""
+    place = lambda x: x if buckets is None else F.coalesce(F.pmod(x, F.lit(buckets)), F.lit(0).cast("long"))
+    kept = ("k", "is_good", "copies")
+    hashes = texts.select(*kept, F.transform(split_words(F.col("text")), lambda w: F.xxhash64(w)).alias("h"))
+    fewer = F.greatest(F.size("h") - 1, F.lit(0))
+    two = F.zip_with(F.slice("h", F.lit(1), fewer), F.slice("h", F.lit(2), fewer), lambda a, b: place(F.xxhash64(a, b)))
+    ordered = hashes.select(*kept, F.sort_array(F.concat(F.transform("h", place), two)).alias("x"))
+    before, then = F.concat(F.array(F.lit(None).cast("long")), F.col("x")), F.slice("x", F.lit(2), F.size("x"))
+    rows = ordered.select(*kept, F.inline(F.arrays_zip(F.col("x"), before.alias("before"), then.alias("then")))).where("x IS NOT NULL")
+    return rows.select(*kept, "x", F.expr("is_good AND (copies > 1 OR x <=> before OR x <=> then)").alias("again"))
+
+
 class Ratios:
     """Counts of n-grams and their log ratio of trusted to raw probability, add-one smoothed, in thousandths."""
 
@@ -110,7 +126,7 @@ class Ratios:
 
     def of(self, good: Column, raw: Column) -> Column:
         ratio = F.log((good + 1) / self.trusted) - F.log((raw + 1) / self.all_raw)
-        return F.round(ratio * 1000).cast("long") if self.fitted else F.lit(0).cast("long")
+        return F.rint(ratio * 1000).cast("long") if self.fitted else F.lit(0).cast("long")
 
     def scores(self) -> DataFrame:
         """k, total and n: sum of the ratios and number of the n-grams of a document; equal rows share k, and so both."""
@@ -137,10 +153,16 @@ class Ratios:
         ids = good.withColumn("is_good", F.lit(True)).unionByName(bad.withColumn("is_good", F.lit(False)))
         # The labelled documents are dealt by key as texts, so that their n-grams need not move to be counted.
         labelled = keyed(only(self.docs, "doc_id", "text").join(few_or_joined(ids, self.sent), "doc_id"), "is_good").repartition("k")
-        own = n_grams(labelled, self.buckets, "is_good", "k").groupBy("k", "is_good", "x").agg(F.count(F.lit(1)).alias("own"))
-        counts = F.broadcast(self.counts) if self.all_sent else self.counts  # a row per counter
-        left = F.greatest(F.lit(0), F.col("good") - F.when(F.col("is_good"), F.col("own")).otherwise(0))
-        rated = own.join(counts, "x").withColumn("ratio", self.of(left, F.col("raw")) * F.col("own"))
+        texts = labelled.groupBy("k", "is_good", "text").agg(F.count(F.lit(1)).alias("copies"))
+        less = lambda own: F.greatest(F.lit(0), F.col("good") - own)
+        counts = self.counts.select("x", "good", "raw", self.of(F.col("good"), F.col("raw")).alias("ratio"), self.of(less(1), F.col("raw")).alias("lone"))
+        found = own_grams(texts, self.buckets).join(F.broadcast(counts) if self.all_sent else counts, "x")  # a row per counter
+        lone = F.sum(F.col("copies") * F.when(F.col("is_good"), F.col("lone")).otherwise(F.col("ratio"))).alias("lone")
+        own = found.groupBy("k", "is_good", F.when(F.col("again"), F.col("x")).alias("x")).agg(
+            lone, F.sum("copies").alias("own"), F.max("good").alias("good"), F.max("raw").alias("raw")
+        )
+        again = self.of(less(F.col("own")), F.col("raw")) * F.col("own")
+        rated = own.withColumn("ratio", F.when(F.col("x").isNull(), F.col("lone")).otherwise(again))
         means = rated.groupBy("k", "is_good").agg(F.round(F.sum("ratio") / F.sum("own")).cast("long").alias("score"), F.sum("own").alias("n"))
         means = means.where(F.col("n") >= 2 * LEAST_WORDS - 1)
         rows = means.groupBy("score").agg(F.count_if("is_good").alias("good"), F.count_if(~F.col("is_good")).alias("bad")).orderBy("score").collect()
@@ -187,8 +209,11 @@ def quality_rules(docs: DataFrame, labels: DataFrame, buckets: int | None = BUCK
     d = d.withColumn("tri", F.transform(after(F.col("h"), 2), lambda x, i: F.xxhash64(x, F.get(F.col("h"), i + 1), F.get(F.col("h"), i + 2))))
     repeats = F.size(F.array_distinct("tri")) < F.size("tri")
     d = d.withColumn("sorted", F.when(repeats, F.sort_array(F.transform("tri", lambda x, i: F.struct(x.alias("x"), i.alias("i"))))))
-    twin = lambda e, k: (e["x"] == F.get(F.col("sorted"), k - 1)["x"]) | (e["x"] == F.get(F.col("sorted"), k + 1)["x"])
-    d = d.withColumn("at", F.sort_array(F.transform(F.filter("sorted", lambda e, k: F.coalesce(twin(e, k), F.lit(False))), lambda e: e["i"])))
+    x, i = F.col("sorted")["x"], F.col("sorted")["i"]
+    before, then = F.concat(F.array(F.lit(None).cast("long")), x), F.slice(x, F.lit(2), F.greatest(F.size(x), F.lit(0)))
+    d = d.withColumn("near", F.arrays_zip(x.alias("x"), i.alias("i"), before.alias("before"), then.alias("then")))
+    twins = F.filter("near", lambda e: F.coalesce((e["x"] == e["before"]) | (e["x"] == e["then"]), F.lit(False)))
+    d = d.withColumn("at", F.sort_array(twins["i"]))
     covered = F.transform("at", lambda p, k: F.least(F.lit(3), F.coalesce(F.get(F.col("at"), k + 1) - p, F.lit(3))).cast("long"))
     n = F.size("h").cast("long")
     # Written before it is joined: a filter on the result would otherwise be pushed into these expressions and repeat them.

@@ -3,6 +3,7 @@ import re
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from riskframe.llm import quality
 from tests.llm.tables import documents, odd_rows, same, sentence, with_clashes, words
@@ -100,6 +101,47 @@ def test_all_labelled_documents_count(spark):
     assert same(sent.scores(), joined.scores()) and sent.threshold(good, bad) == joined.threshold(good, bad)
 
 
+@pytest.mark.parametrize("buckets", [None, 64, 1 << 14])
+def test_only_n_grams_that_come_again_are_counted_by_document(spark, buckets):
+    """Without a table of all (document, n-gram); copies of a row count as one document, as their key is the same."""
+    rows = [*rows_of(), (900, "one", "en", "a", 0), (901, "", "en", "a", 0), (902, None, "en", "a", 0)]
+    docs = quality.keyed(documents(spark, rows + rows[-9:] + rows[:3]).withColumn("is_good", F.col("doc_id") % 3 > 0), "is_good")
+    got = quality.own_grams(docs.groupBy("k", "is_good", "text").agg(F.count("*").alias("copies")), buckets).collect()
+    want = Counter((r.k, r.is_good, r.x) for r in quality.n_grams(docs, buckets, "is_good", "k").collect())
+    have = Counter()
+    for r in got:
+        have[r.k, r.is_good, r.x] += r.copies
+    assert have == want and max(want.values()) > 2
+    assert all(r.again == (r.is_good and want[r.k, r.is_good, r.x] > 1) for r in got)
+    lone = sum(not r.again for r in got)
+    assert buckets == 64 or lone > len(got) / 3
+
+
+@pytest.mark.parametrize("frequent", [1 << 20, 0])
+def test_threshold_equals_that_of_a_plain_count(spark, frequent):
+    """A trusted document is scored without its own n-grams, however often it holds them and however often its row comes."""
+    rows = rows_of()
+    docs = documents(spark, rows + rows[-5:] + rows[:4])
+    labels = spark.createDataFrame([(i, int(i < 20), 0) for i in range(30)] + [(200, 0, 0), (201, 1, 0), (201, 0, 0), (204, 1, 0)], LABELS)
+    good, bad = quality.trusted_ids(labels), quality.labelled_ids(labels, 0)
+    ratios = quality.Ratios(docs, good, 1 << 12, frequent)
+    ids = good.withColumn("is_good", F.lit(True)).unionByName(bad.withColumn("is_good", F.lit(False)))
+    grams = quality.n_grams(docs.join(ids, "doc_id"), 1 << 12, "is_good")
+    counts = {r.x: (r.good, r.raw) for r in ratios.counts.collect()}
+    texts = {}
+    for r in grams.collect():
+        texts.setdefault((r.k, r.is_good), Counter())[r.x] += 1
+    half_up = lambda v: math.copysign(math.floor(abs(v) + 0.5), v)
+    ratio = lambda g, r: half_up(1000 * (math.log((g + 1) / ratios.trusted) - math.log((r + 1) / ratios.all_raw)))
+    scores = {}
+    for (_, is_good), own in texts.items():
+        if own.total() >= 2 * quality.LEAST_WORDS - 1:
+            total = sum(n * ratio(max(0, counts[x][0] - n * is_good), counts[x][1]) for x, n in own.items())
+            scores.setdefault(half_up(total / own.total()), [0, 0])[not is_good] += 1
+    assert len(scores) > 3 and all(map(sum, zip(*scores.values())))
+    assert ratios.threshold(good, bad) == quality.parting([(s, *n) for s, n in sorted(scores.items())])
+
+
 def test_threshold_of_labelled_scores():
     assert quality.parting([(-900, 0, 3), (-800, 0, 1), (-600, 2, 0), (-500, 5, 0)]) == -700
     assert quality.parting([(-5, 1, 0), (7, 199, 0)]) == 7 and quality.parting([]) == 0
