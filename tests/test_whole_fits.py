@@ -84,3 +84,10 @@ def test_rows_are_scored_as_by_the_trees_themselves(spark):
     for a, b, margin in table.select("a", "b", scorer.raw()).collect():
         x = np.array([[np.nan if v is None else v for v in (a, b)]])
         assert margin == -3.0 + sum(w * t.predict(x)[0] for t, w in zip(forest, [1.0, 0.5, 2.0]))
+
+
+def test_a_panel_fits_its_boosted_members_whole(spark, folder, fits):
+    """Each profile once for all training rows and once for each of the five folds of the stacks."""
+    assert all_queries()["model_panel"](spark, folder).count() == 9
+    assert sorted(n for s, n in fits) == [264] * 6 + [500] * 6
+    assert all(s in (B.PROFILES["leafy"], B.PROFILES["deep"]) for s, _ in fits)
