@@ -9,6 +9,7 @@ from conftest import rows
 from riskframe.catalog import all_queries
 from riskframe.operators import boosting as B
 from riskframe.operators import learners as L
+from riskframe.operators import search as R
 
 FEATURES = ["a", "b", "c"]
 
@@ -91,3 +92,17 @@ def test_a_panel_fits_its_boosted_members_whole(spark, folder, fits):
     assert all_queries()["model_panel"](spark, folder).count() == 9
     assert sorted(n for s, n in fits) == [264] * 6 + [500] * 6
     assert all(s in (B.PROFILES["leafy"], B.PROFILES["deep"]) for s, _ in fits)
+
+
+def whole_study(spark, space):
+    """The number of trees of each of the three folds' fits of each setting, as drawn from the whole space."""
+    drawn = R.param_space_sample(spark.createDataFrame([(0,), (3,)], "trial int"), "trial", space)
+    assert all(100 <= r["n_estimators"] <= 1000 for r in drawn.collect())
+    return sorted(r["n_estimators"] for r in drawn.collect() for _ in range(3))
+
+
+def test_the_leafy_study_draws_from_the_whole_space(spark, folder, fits):
+    found = all_queries()["search_trials_leafy"](spark, folder).collect()
+    assert sorted(n for s, n in fits) == whole_study(spark, R.LEAFY_SPACE)
+    assert sorted(int(r["n_estimators"]) for r in found) == sorted({n for _, n in fits})
+    assert all(s["rounds"] == n for s, n in fits)
