@@ -106,3 +106,10 @@ def test_the_leafy_study_draws_from_the_whole_space(spark, folder, fits):
     assert sorted(n for s, n in fits) == whole_study(spark, R.LEAFY_SPACE)
     assert sorted(int(r["n_estimators"]) for r in found) == sorted({n for _, n in fits})
     assert all(s["rounds"] == n for s, n in fits)
+
+
+def test_the_deep_study_draws_from_the_whole_space(spark, folder, fits):
+    found = all_queries()["search_trials_deep"](spark, folder).collect()
+    assert sorted(n for s, n in fits) == whole_study(spark, R.DEEP_SPACE)
+    assert sorted(int(r["n_estimators"]) for r in found) == sorted({n for _, n in fits})
+    assert all(s["rounds"] == n for s, n in fits)
