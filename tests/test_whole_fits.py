@@ -113,3 +113,9 @@ def test_the_deep_study_draws_from_the_whole_space(spark, folder, fits):
     assert sorted(n for s, n in fits) == whole_study(spark, R.DEEP_SPACE)
     assert sorted(int(r["n_estimators"]) for r in found) == sorted({n for _, n in fits})
     assert all(s["rounds"] == n for s, n in fits)
+
+
+def test_the_studies_together_draw_from_the_whole_spaces(spark, folder, fits):
+    found = {r["study"]: r["n_trials"] for r in all_queries()["search_studies"](spark, folder).collect()}
+    assert found == {"forest": 2, "leafy": 2, "deep": 2}
+    assert sorted(n for _, n in fits) == sorted(whole_study(spark, R.LEAFY_SPACE) + whole_study(spark, R.DEEP_SPACE))
